@@ -89,7 +89,7 @@ VIEWS = {
         FROM events WHERE event_type IN ('signup', 'purchase', 'error')""",
     "rtsp_requests": f"""
         SELECT {SECOND} AS timestamp, {SESSION} AS session_id, 'DESCRIBE' AS method, repeat('u', {K} * 25) AS url,
-               CASE WHEN {K} % 2 = 0 THEN 'Basic ' || repeat('A', {K} * 30) ELSE '' END AS authorization
+               CASE WHEN {K} % 2 = 0 THEN 'Basic ' || repeat('A', {K} * 30) ELSE '' END AS "authorization"
         FROM events""",
     "rtsp_attacks": """
         SELECT timestamp, event_id AS attack_id, source_ip_hash, source_ip_country, source_port, dest_ip, dest_port,
@@ -104,6 +104,17 @@ VIEWS = {
         SELECT TIMESTAMP '2024-01-01' + to_minutes(page_id) AS timestamp, {h('page_id % 150')} AS source_ip_hash,
                CASE WHEN page_id % 5 = 0 THEN 'xmr.nanopool.' ELSE '' END || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS query
         FROM pages""",
+    "dense_conns": f"""
+        SELECT TIMESTAMP '2024-01-01' + to_seconds(l_orderkey % 7200) AS timestamp, l_orderkey * 10 + l_linenumber AS uid,
+               {h('l_suppkey')} AS source_ip_hash,
+               {pick([22, 23, 2323, 80, 445, 502, 554, 8080, 8081, 81], 'l_partkey % 10')} AS dest_port,
+               {pick(['ssh', 'telnet', 'telnet', 'http', 'smb', 'modbus', 'rtsp', 'http', 'http', 'http'], 'l_partkey % 10')} AS protocol,
+               l_quantity / 5 AS duration, {pick(['SF', 'S0', 'REJ'], 'l_orderkey % 3')} AS conn_state,
+               {pick(['ShADadFf', 'S', ''], 'l_linenumber % 3')} AS history
+        FROM lineitem""",
+    "dense_auth": f"""
+        SELECT TIMESTAMP '2024-01-01' + to_seconds(l_orderkey % 7200) AS timestamp, {h('l_suppkey')} AS source_ip_hash,
+               l_partkey % 20 = 0 AS authenticated FROM lineitem""",
     "test_sources": f"SELECT {h('c_custkey')} AS ip_hash FROM customer WHERE c_custkey < 5",
     "signature_rows": r"""
         SELECT event_id AS row_id, 'event' AS row_kind, source_ip_hash, timestamp, protocol, dest_port,

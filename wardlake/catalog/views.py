@@ -207,3 +207,21 @@ class Views:
             f"concat(hex('DESCRIBE rtsp://'), repeat('41', 15), lpad(hex({K}), 2, '0'), '00')"
             "), CAST(event_id % 5 AS INT) + 1)) AS payload",
         )
+
+    def dense_conns(self) -> DataFrame:
+        """Two busy hours: one connection per order line, so that short windows fill up."""
+        return self.raw("lineitem").selectExpr(
+            "timestamp_seconds(1704067200 + l_orderkey % 7200) AS timestamp", "l_orderkey * 10 + l_linenumber AS uid",
+            f"{H.format('l_suppkey')} AS source_ip_hash",
+            f"{_pick([22, 23, 2323, 80, 445, 502, 554, 8080, 8081, 81], 'l_partkey % 10')} AS dest_port",
+            f"{_pick(['ssh', 'telnet', 'telnet', 'http', 'smb', 'modbus', 'rtsp', 'http', 'http', 'http'], 'l_partkey % 10')} AS protocol",
+            "l_quantity / 5 AS duration", f"{_pick(['SF', 'S0', 'REJ'], 'l_orderkey % 3')} AS conn_state",
+            f"{_pick(['ShADadFf', 'S', ''], 'l_linenumber % 3')} AS history",
+            "CAST(l_extendedprice AS BIGINT) AS orig_bytes", "CAST(l_quantity AS BIGINT) * 10 AS orig_pkts",
+        )
+
+    def dense_auth(self) -> DataFrame:
+        return self.raw("lineitem").selectExpr(
+            "timestamp_seconds(1704067200 + l_orderkey % 7200) AS timestamp", f"{H.format('l_suppkey')} AS source_ip_hash",
+            "'172.20.0.10' AS dest_ip", "22 AS dest_port", "l_partkey % 20 = 0 AS authenticated",
+        )
