@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BLOCK = 65536
 
 
 def ipv4_long(ip: Column | str) -> Column:
@@ -17,31 +20,35 @@ def ipv4_long(ip: Column | str) -> Column:
     return F.when(text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), value)
 
 
+def range_blocks(ranges: DataFrame) -> DataFrame:
+    """Ranges by the /16 block they touch: one row per block with its ranges, narrowest first.
+
+    A range of a country touches one block or is made of whole ones, so there are at
+    most 65 536 rows (the number of blocks), and a block of disjoint ranges holds at
+    most 65 536 of them; real tables have a handful.
+    """
+    first, last = F.floor(F.col("start_ip") / BLOCK), F.floor(F.col("end_ip") / BLOCK)
+    entry = F.struct(
+        (F.col("end_ip") - F.col("start_ip")).alias("width"), "country", F.col("start_ip").alias("lo"), F.col("end_ip").alias("hi")
+    )
+    touched = ranges.select(F.explode(F.sequence(first, last)).alias("_block"), entry.alias("e"))
+    return touched.groupBy("_block").agg(F.array_sort(F.collect_list("e")).alias("_ranges"))
+
+
 def geo_enrich(df: DataFrame, ip_col: str, ranges: DataFrame, out: str = "source_ip_country", default: str = "") -> DataFrame:
     """Add the country of ``ip_col``; addresses outside every range get ``default``.
 
-    Ranges are keyed by the /16 blocks they touch (a block is cut out of a longer
-    range, so a range gives at most 65 536 keys and the whole space no more
-    than that plus the number of ranges), which makes the lookup an equality
-    join on the block with a residual ``between``. Each distinct address is looked
-    up once. No broadcast is forced: Spark compares the sizes with its own limit
-    and otherwise shuffles, splitting a hot address under AQE. Overlapping ranges
-    resolve to the narrowest, then the alphabetically first.
+    An equality join on the /16 block, whose row is unique on the range side, so no
+    row of ``df`` is ever multiplied, whatever the ranges look like; the narrowest
+    range that holds the address wins. No broadcast is forced: Spark broadcasts the blocks
+    while they are under its own size limit and shuffles otherwise, when AQE splits a
+    hot block. Rows without a readable address are spread over keys that match nothing.
     """
-    blocks = ranges.select(
-        "start_ip",
-        "end_ip",
-        "country",
-        F.explode(F.sequence(F.floor(F.col("start_ip") / 65536), F.floor(F.col("end_ip") / 65536))).alias("_block"),
-    )
-    addresses = df.select(ip_col).distinct().withColumn("_ip", ipv4_long(ip_col)).filter("_ip is not null")
-    addresses = addresses.withColumn("_block", F.floor(F.col("_ip") / 65536))
-    found = (
-        addresses.join(blocks, "_block")
-        .filter(F.col("_ip").between(F.col("start_ip"), F.col("end_ip")))
-        .groupBy(ip_col)
-        .agg(F.min(F.struct((F.col("end_ip") - F.col("start_ip")).alias("w"), "country")).alias("_hit"))
-        .select(ip_col, F.col("_hit.country").alias("_country"))
-    )
-    joined = df.join(found, ip_col, "left")
-    return joined.withColumn(out, F.coalesce("_country", F.lit(default))).drop("_country")
+    ip = ipv4_long(ip_col)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    spread = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(1024))
+    keyed = df.withColumn("_ip", ip).withColumn("_block", F.coalesce(F.floor(F.col("_ip") / BLOCK), spread))
+    joined = keyed.join(range_blocks(ranges), "_block", "left")
+    hits = F.filter("_ranges", lambda r: F.col("_ip").between(r["lo"], r["hi"]))
+    found = F.try_element_at(hits, F.lit(1))["country"]
+    return joined.withColumn(out, F.coalesce(found, F.lit(default))).drop("_block", "_ip", "_ranges")

@@ -31,12 +31,11 @@ def _text(spark: SparkSession, path: str, stream: bool, files_per_trigger: int |
 
 def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """JSON lines -> fields plus ``raw_data``; empty and unreadable lines are dropped."""
-    parsed = lines.filter(F.trim("value") != "").select(
-        F.from_json("value", schema, {"mode": "PERMISSIVE", "allowNumericLeadingZeros": "true"}).alias("r"),
-        F.col("value").alias("raw_data"),
-    )
-    known = F.coalesce(*[F.col(f"r.`{f.name}`").cast("string") for f in schema.fields if _simple(f)])
-    return parsed.filter(known.isNotNull()).select("r.*", "raw_data")
+    # a generator keeps the parse in one place; a filter above a projection would repeat it
+    record = F.from_json("value", schema, {"mode": "PERMISSIVE", "allowNumericLeadingZeros": "true"})
+    parsed = lines.filter(F.trim("value") != "").select(F.inline(F.array(record)), F.col("value").alias("raw_data"))
+    known = F.coalesce(*[F.col(f"`{f.name}`").cast("string") for f in schema.fields if _simple(f)])
+    return parsed.filter(known.isNotNull())
 
 
 def _simple(field: T.StructField) -> bool:
@@ -55,10 +54,11 @@ def read_json_log(
     return parse_lines(_text(spark, path, stream, files_per_trigger), wanted)
 
 
-def read_zeek_tsv(spark: SparkSession, path: str) -> DataFrame:
+def read_zeek_tsv(spark: SparkSession, path: str, files: str = "*.log") -> DataFrame:
     """Tab-separated connection log: no comment lines, '-' unset, compressed files skipped.
 
-    Fields are read as text; numbers are cast where the rows are normalised.
+    ``files`` is the name pattern of plain logs. Fields are read as text; numbers are
+    cast where the rows are normalised.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in ZEEK_CONN_TSV])
     return (
@@ -67,7 +67,7 @@ def read_zeek_tsv(spark: SparkSession, path: str) -> DataFrame:
         .option("comment", "#")
         .option("nullValue", "-")
         .option("quote", "")
-        .option("pathGlobFilter", "*.log")
+        .option("pathGlobFilter", files)
         .csv(path)
     )
 
