@@ -1,22 +1,33 @@
 """Expiring counters and alert states on streams.
 
-The stream counts hits per (key, second) *inside* Spark first, with a watermark, so
-the keyed state function sees at most one row per key and second, in order after
-sorting, once no earlier second can arrive any more. That makes its result equal
-to the batch fold on the same rows. State per key is three numbers.
+Hits are counted per (key, second) by a watermarked aggregate first, with map-side
+combine, so the keyed processor sees at most one row per key and second, however hot
+the key, and only once no earlier second can arrive any more. Its result therefore
+equals the batch fold on the same rows. State per key is two numbers, removed by a
+timer when its window has expired.
+
+Spark keeps this state in RocksDB; :func:`use_rocksdb` selects it on a session.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+MODES = ("threshold", "both", "limit", "every")
 
 
-def _seconds(events: DataFrame, key: str, watermark: str) -> DataFrame:
+def use_rocksdb(spark: SparkSession) -> SparkSession:
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    return spark
+
+
+def _closed_seconds(events: DataFrame, key: str, watermark: str) -> DataFrame:
     return (
         events.withWatermark("timestamp", watermark)
         .groupBy(F.window("timestamp", "1 second").alias("w"), F.col(key).alias("key"))
@@ -25,49 +36,63 @@ def _seconds(events: DataFrame, key: str, watermark: str) -> DataFrame:
     )
 
 
+def _counter(n: int, window: int, mode: str):
+    """The processor as a local class, so that it travels to the tasks by value."""
+
+    class Counter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.window_state = handle.getValueState("window", "start long, seen long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            start, seen = self.window_state.get() if self.window_state.exists() else (None, 0)
+            data = pd.concat(list(rows)).sort_values("sec")
+            out = []
+            for sec, cnt in zip(data["sec"].tolist(), data["cnt"].tolist()):
+                if start is None or sec >= start + window:
+                    if start is not None:
+                        self.handle.deleteTimer((start + window) * 1000)
+                    start, seen = sec, 0
+                    self.handle.registerTimer((start + window) * 1000)
+                first, last = seen + 1, seen + cnt
+                if mode == "threshold":
+                    fired = range(-(-first // n) * n, last + 1, n)
+                elif mode == "both":
+                    fired = range(max(first, n), min(last, n) + 1)
+                elif mode == "limit":
+                    fired = range(first, min(last, n) + 1)
+                else:
+                    fired = range(max(first, n), last + 1)
+                out.extend((key[0], sec, hit) for hit in fired)
+                seen = last
+            self.window_state.update((start, seen))
+            yield pd.DataFrame(out, columns=["key", "sec", "hit"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.window_state.clear()
+            yield pd.DataFrame(columns=["key", "sec", "hit"])
+
+        def close(self) -> None:
+            pass
+
+    return Counter()
+
+
 def stream_count_alarm(
     events: DataFrame, key: str, n: int, window: int, mode: str = "threshold", watermark: str = "10 minutes"
 ) -> DataFrame:
-    """Streaming form of the expiring counter: (key, sec, hit) per firing.
-
-    Modes as in the batch form. A key's state is dropped once the watermark is
-    past the end of its window.
-    """
-    if mode not in ("threshold", "both", "limit", "every"):
+    """Streaming form of the expiring counter: (key, sec, hit) per firing; modes as in batch."""
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    columns = ["key", "sec", "hit"]
-
-    def step(ident: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, seen = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("sec")
-        out = []
-        for sec, cnt in zip(rows["sec"].tolist(), rows["cnt"].tolist()):
-            if start is None or sec >= start + window:
-                start, seen = sec, 0
-            first, last = seen + 1, seen + cnt
-            if mode == "threshold":
-                fired = range(-(-first // n) * n, last + 1, n)
-            elif mode == "both":
-                fired = range(max(first, n), min(last, n) + 1)
-            elif mode == "limit":
-                fired = range(first, min(last, n) + 1)
-            else:
-                fired = range(max(first, n), last + 1)
-            out.extend((ident[0], sec, hit) for hit in fired)
-            seen = last
-        state.update((start, seen))
-        due = (start + window) * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
+    use_rocksdb(events.sparkSession)
     return (
-        _seconds(events, key, watermark)
+        _closed_seconds(events, key, watermark)
         .groupBy("key")
-        .applyInPandasWithState(
-            step, "key string, sec long, hit long", "start long, seen long", "append", GroupStateTimeout.EventTimeTimeout
+        .transformWithStateInPandas(
+            statefulProcessor=_counter(n, window, mode),
+            outputStructType="key string, sec long, hit long",
+            outputMode="Append",
+            timeMode="EventTime",
         )
     )
 
@@ -79,38 +104,53 @@ def stream_first_sightings(events: DataFrame, key: str, ttl: int = 86400, waterm
     )
 
 
+def _holder(hold_minutes: int):
+    class Holder(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.run = handle.getValueState("run", "begun long, last long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            begun, last = self.run.get() if self.run.exists() else (-1, -1)
+            data = pd.concat(list(rows)).sort_values("sec")
+            out = []
+            for sec, breach in zip(data["sec"].tolist(), data["breach"].tolist()):
+                follows = begun >= 0 and sec == last + 60
+                if breach:
+                    begun = begun if follows else sec
+                    out.append((key[0], sec, "firing" if (sec - begun) // 60 >= hold_minutes else "pending"))
+                else:
+                    if follows and (last - begun) // 60 >= hold_minutes:
+                        out.append((key[0], sec, "resolved"))
+                    begun = -1
+                last = sec
+            self.run.update((begun, last))
+            yield pd.DataFrame(out, columns=["rule", "sec", "state"])
+
+        def close(self) -> None:
+            pass
+
+    return Holder()
+
+
 def stream_alert_states(series: DataFrame, hold_minutes: int, watermark: str = "2 minutes") -> DataFrame:
-    """Pending / firing / resolved on a stream of (rule, minute, breach)."""
-
-    def step(ident: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun, last = state.get if state.exists else (-1, -1)
-        rows = pd.concat(list(batches)).sort_values("sec")
-        out = []
-        for sec, breach in zip(rows["sec"].tolist(), rows["breach"].tolist()):
-            follows = begun >= 0 and sec == last + 60
-            if breach:
-                begun = begun if follows else sec
-                held = (sec - begun) // 60
-                out.append((ident[0], sec, "firing" if held >= hold_minutes else "pending"))
-            else:
-                if follows and (last - begun) // 60 >= hold_minutes:
-                    out.append((ident[0], sec, "resolved"))
-                begun = -1
-            last = sec
-        state.update((begun, last))
-        yield pd.DataFrame(out, columns=["rule", "sec", "state"])
-
-    # one row per rule and minute leaves the aggregate only when the minute is complete
+    """Pending / firing / resolved on a stream of (rule, minute, breach).
+
+    A minute is judged once it is complete; one row per rule and minute reaches the state.
+    """
+    use_rocksdb(series.sparkSession)
     minutes = (
         series.withWatermark("minute", watermark)
         .groupBy(F.window("minute", "1 minute").alias("w"), "rule")
         .agg(F.max("breach").alias("breach"))
-        .select("rule", F.unix_timestamp("w.start").alias("sec"), "breach")
+        .select("rule", F.window_time("w").alias("closed"), F.unix_timestamp("w.start").alias("sec"), "breach")
     )
     return (
         minutes.groupBy("rule")
-        .applyInPandasWithState(
-            step, "rule string, sec long, state string", "begun long, last long", "append", GroupStateTimeout.NoTimeout
+        .transformWithStateInPandas(
+            statefulProcessor=_holder(hold_minutes),
+            outputStructType="rule string, sec long, state string",
+            outputMode="Append",
+            timeMode="EventTime",
         )
         .select("rule", F.timestamp_seconds("sec").alias("minute"), "state")
     )
