@@ -68,7 +68,7 @@ PORTS6 = "dest_port IN (23, 2323, 22, 8080, 8081, 80)"
 MULTI = f"""SELECT CAST(make_timestamp(sec * 1000000) AS VARCHAR) AS ts, key AS source, 'multi_port_scan' AS detection_type,
   max(seen)::BIGINT AS count, 'hits: ' || count(*) FILTER (seen >= 3) AS note, key || '-multiport' AS identifier FROM (
   SELECT e.*, (SELECT count(DISTINCT f.dest_port) FROM placed f WHERE f.key = e.key AND f.anchor = e.anchor
-     AND (f.sec, f.uid) <= (e.sec, e.uid)) AS seen FROM placed e)
+     AND f.sec <= e.sec) AS seen FROM placed e)
 GROUP BY key, sec HAVING max(seen) >= 3"""
 
 

@@ -29,7 +29,7 @@ def _json(v: Views, fields: dict, extra: str = "") -> DataFrame:
     inner = ", ".join(f"{sql} AS `{name}`" for name, sql in fields.items())
     body = f"to_json(struct({inner}))"
     value = f"concat('{{', {extra}, ',', substring({body}, 2))" if extra else body
-    return v.raw("events").selectExpr(f"{value} AS value")
+    return v.base().selectExpr(f"{value} AS value")
 
 
 def cowrie(v: Views) -> DataFrame:
@@ -146,7 +146,7 @@ def zeek_tsv(v: Views) -> DataFrame:
         "history": "'ShAD'", "orig_pkts": f"{K}",
     }
     line = "concat_ws('\\t', " + ", ".join(f"CAST({cells.get(c, repr('-'))} AS STRING)" for c in ZEEK_CONN_TSV) + ")"
-    rows = v.raw("events").selectExpr(f"CASE WHEN event_id % 100 = 0 THEN array('#fields', '', {line}) ELSE array({line}) END AS l")
+    rows = v.base().selectExpr(f"CASE WHEN event_id % 100 = 0 THEN array('#fields', '', {line}) ELSE array({line}) END AS l")
     return rows.selectExpr("explode(l) AS value")
 
 

@@ -21,7 +21,8 @@ SCENARIOS = [
     for i, d in enumerate((1, 4, 7, 10, 13, 16, 19, 22, 31), start=1)
 ]
 
-K = "CAST(get_json_object(props, '$.k') AS INT)"
+# computed once per row by Views.base; the expressions below refer to the column
+K = "k"
 H = "substring(sha2(concat('salt', CAST({} AS STRING)), 256), 1, 16)"
 SECOND = "date_trunc('second', CAST(ts AS TIMESTAMP))"
 
@@ -58,15 +59,16 @@ class Views:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
-    def _events(self, start: str | None = None) -> DataFrame:
-        events = self.raw("events")
+    def base(self, start: str | None = None) -> DataFrame:
+        """The events table with the number held in ``props`` as column ``k``."""
+        events = self.raw("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         if start is None:
             return events
         moment = datetime.fromisoformat(start).strftime("%Y-%m-%d %H:%M:%S")
         return events.filter(F.expr(f"ts >= TIMESTAMP_NTZ'{moment}'"))
 
     def events(self, start: str | None = None) -> DataFrame:
-        return self._events(start).selectExpr(
+        return self.base(start).selectExpr(
             f"{SECOND} AS timestamp", "event_id", f"{SENSOR} AS honeypot_type",
             f"{H.format('user_id')} AS source_ip_hash", f"{COUNTRY} AS source_ip_country",
             "CAST(1024 + event_id % 60000 AS INT) AS source_port", f"{DEST} AS dest_ip", f"{PORT} AS dest_port",
@@ -75,7 +77,7 @@ class Views:
         )
 
     def alerts(self, start: str | None = None) -> DataFrame:
-        rows = self._events(start).filter("event_type = 'error'").selectExpr(
+        rows = self.base(start).filter("event_type = 'error'").selectExpr(
             f"{SECOND} AS timestamp", "event_id AS alert_id", f"{H.format('user_id')} AS source_ip_hash",
             f"{COUNTRY} AS source_ip_country", "CAST(1024 + event_id % 60000 AS INT) AS source_port",
             f"{DEST} AS dest_ip", f"{PORT} AS dest_port", f"{PROTOCOL} AS protocol",
@@ -86,7 +88,7 @@ class Views:
         return rows.withColumn("mitre_tactic", mitre_tactic("mitre_technique_id"))
 
     def creds(self, start: str | None = None) -> DataFrame:
-        return self._events(start).filter("event_type IN ('signup', 'purchase')").selectExpr(
+        return self.base(start).filter("event_type IN ('signup', 'purchase')").selectExpr(
             f"{SECOND} AS timestamp", "event_id", f"{H.format('user_id')} AS source_ip_hash",
             f"{SENSOR} AS honeypot_type", f"{PROTOCOL} AS protocol",
             _pick(["root", "admin", "user", "pi", "guest"], "user_id % 5") + " AS username",
@@ -95,7 +97,7 @@ class Views:
         )
 
     def conns(self, start: str | None = None) -> DataFrame:
-        return self._events(start).selectExpr(
+        return self.base(start).selectExpr(
             f"{SECOND} AS timestamp", "event_id AS uid", f"{H.format('user_id')} AS source_ip_hash",
             f"{COUNTRY} AS source_ip_country", f"{DEST} AS dest_ip", f"{PORT} AS dest_port", f"{PROTOCOL} AS protocol",
             f"{PROTOCOL} AS service", "value AS duration",
@@ -140,13 +142,13 @@ class Views:
         )
 
     def auth(self) -> DataFrame:
-        return self.raw("events").filter("event_type IN ('signup', 'purchase', 'error')").selectExpr(
+        return self.base().filter("event_type IN ('signup', 'purchase', 'error')").selectExpr(
             f"{SECOND} AS timestamp", f"{H.format('user_id')} AS source_ip_hash", f"{DEST} AS dest_ip",
             "22 AS dest_port", "event_type = 'purchase' AS authenticated",
         )
 
     def rtsp_requests(self) -> DataFrame:
-        return self.raw("events").selectExpr(
+        return self.base().selectExpr(
             f"{SECOND} AS timestamp", f"{SESSION} AS session_id", "'DESCRIBE' AS method",
             f"repeat('u', {K} * 25) AS url",
             f"CASE WHEN {K} % 2 = 0 THEN concat('Basic ', repeat('A', {K} * 30)) ELSE '' END AS authorization",
@@ -195,7 +197,7 @@ class Views:
     def byte_rows(self) -> DataFrame:
         """Binary payloads for the byte rules, built from every event."""
         two = f"lpad(hex({K} % 8), 2, '0')"
-        return self.raw("events").selectExpr(
+        return self.base().selectExpr(
             "event_id AS row_id", f"{H.format('user_id')} AS source_ip_hash", f"{SECOND} AS timestamp",
             _pick([502, 445, 47808, 161, 554], "event_id % 5") + " AS dest_port",
             _pick(["modbus", "smb", "bacnet", "snmp", "rtsp"], "event_id % 5") + " AS protocol",

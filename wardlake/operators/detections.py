@@ -7,12 +7,13 @@ identifier. Stateless ones are a filter and a projection; counting ones use
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.timing import epoch
-from .folds import anchored, count_alarm, distinct_alarm, first_in_window, per_second, trailing_count
+from .folds import anchored, count_alarm, distinct_alarm, first_in_window, fold_key, per_second, trailing_count, walk
 
 SRC = "source_ip_hash"
 DETECTION = ["ts", "source", "detection_type", "count", "note", "identifier"]
@@ -96,14 +97,14 @@ def ssh_scan(conns: DataFrame, n: int = 8, window: int = 300, max_s: float = 15)
 
 
 def multi_port_scan(
-    conns: DataFrame, ports=lists.BOT_TARGET_PORTS, n: int = 3, window: int = 300, order: str | None = "uid"
+    conns: DataFrame, ports=lists.BOT_TARGET_PORTS, n: int = 3, window: int = 300
 ) -> DataFrame:
     """Sources that reach ``n`` of the target ports in a window; one row per firing second.
 
     ``count`` is the number of ports known by then, the note gives the hits.
     """
     hits = conns.filter(F.col("dest_port").isin(*ports))
-    fired = distinct_alarm(hits, [SRC], "dest_port", n, window, order=order)
+    fired = distinct_alarm(hits, [SRC], "dest_port", n, window)
     return fired.select(
         F.timestamp_seconds("sec").alias("ts"),
         F.col(SRC).alias("source"),
@@ -229,28 +230,33 @@ def _login_seconds(auth: DataFrame) -> DataFrame:
     )
 
 
+def _failure_walk(window: int):
+    """Carry (source, window start, failures) through seconds sorted by source."""
+
+    def run(batches):
+        source, start, level = None, None, 0
+        for pdf in batches:
+            before = []
+            for src, sec, fails, wins in zip(*[pdf[c].tolist() for c in (SRC, "sec", "fails", "wins")]):
+                if src != source or (start is not None and sec >= start + window):
+                    source, start, level = src, None, 0
+                if fails and start is None:
+                    start = sec
+                before.append(level)
+                # a success puts the count to zero but does not move the window
+                level = 0 if wins else level + fails
+            yield pdf.assign(n_start=before)[[SRC, "sec", "fails", "wins", "n_start"]]
+
+    return run
+
+
 def _failure_runs(auth: DataFrame, window: int) -> DataFrame:
-    """Per second: failures counted so far (``n_start``) since window start or last success.
+    """Per second: failures so far (``n_start``) since window start or last success.
 
-    Only failures open windows. A success puts the count to zero without moving the
-    window, so the count is a running sum minus its value at the last success.
+    Only failures open windows.
     """
-    seconds = _login_seconds(auth)
-    fails = seconds.filter("fails > 0").select(SRC, "sec", F.col("fails").alias("cnt"))
-    anchors = anchored(fails, [SRC], window).select(SRC, "sec", "anchor")
-    # a success belongs to the window still open at its time
-    upto = Window.partitionBy(SRC).orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        seconds.join(anchors, [SRC, "sec"], "left")
-        .withColumn("open", F.max("anchor").over(upto))
-        .filter(F.col("open").isNotNull() & (F.col("sec") < F.col("open") + window))
-    )
-    run = Window.partitionBy(SRC, "open").orderBy("sec")
-    running = placed.withColumn("sum_to", F.sum("fails").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    at_success = F.max(F.when(F.col("wins") > 0, F.col("sum_to"))).over(
-        run.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return running.withColumn("n_start", F.col("sum_to") - F.col("fails") - F.coalesce(at_success, F.lit(0)))
+    work = _login_seconds(auth).withColumn("_fold_key", fold_key([SRC]))
+    return walk(work, _failure_walk(window), f"{SRC} string, sec long, fails long, wins long, n_start long")
 
 
 def ssh_bruteforce(auth: DataFrame, n: int = 10, window: int = 600) -> DataFrame:
@@ -274,9 +280,7 @@ def ssh_rapid(
     """Fires at the login attempt that brings the counter to ``n``, then starts from zero.
 
     Short SSH sessions count too but do not fire by themselves. Inside a second
-    attempts come before closing sessions. The counter at any moment follows from
-    running sums: without short sessions it is the hits modulo ``n``; with them the
-    excess waits for the next attempt, which :func:`_rapid_walk` carries along.
+    attempts come before closing sessions.
     """
     logins = auth.groupBy(SRC, epoch("timestamp").alias("sec")).agg(F.count(F.lit(1)).alias("tries"))
     hits = logins.withColumn("shorts", F.lit(0).cast("long"))
@@ -285,33 +289,29 @@ def ssh_rapid(
         closed = short.groupBy(SRC, epoch("timestamp").alias("sec")).agg(F.count(F.lit(1)).alias("shorts"))
         both = hits.unionByName(closed.withColumn("tries", F.lit(0).cast("long")))
         hits = both.groupBy(SRC, "sec").agg(F.sum("tries").alias("tries"), F.sum("shorts").alias("shorts"))
-    counted = anchored(hits.withColumn("cnt", F.col("tries") + F.col("shorts")), [SRC], window, n)
-    ordered = counted.repartition(SRC).sortWithinPartitions(SRC, "sec")
-    fired = ordered.mapInPandas(_rapid_walk(n), f"{SRC} string, sec long, hit long")
+    work = hits.withColumn("_fold_key", fold_key([SRC]))
+    fired = walk(work, _rapid_walk(n, window), f"{SRC} string, sec long, hit long")
     return _counted(fired, "rapid_connections", "attempts", "-rapid")
 
 
-def _rapid_walk(n: int):
-    """Carry the counter through seconds sorted by source; yields one row per firing."""
+def _rapid_walk(n: int, window: int):
+    """Carry (source, window start, counter) through sorted seconds; one row per firing."""
 
     def run(batches):
-        source, anchor, level = None, None, 0
+        source, start, level = None, 0, 0
         for pdf in batches:
-            out = {"source_ip_hash": [], "sec": [], "hit": []}
-            rows = zip(*[pdf[c].tolist() for c in ("source_ip_hash", "sec", "anchor", "tries", "shorts")])
-            for src, sec, start, tries, shorts in rows:
-                if src != source or start != anchor:
-                    source, anchor, level = src, start, 0
-                # the first attempt may find the counter above n already
+            out = []
+            for src, sec, tries, shorts in zip(*[pdf[c].tolist() for c in (SRC, "sec", "tries", "shorts")]):
+                if src != source or sec >= start + window:
+                    source, start, level = src, sec, 0
+                # short sessions may have left the counter above n; the next attempt fires
                 left, reached = tries, max(level + 1, n)
                 while left and level + left >= n:
                     left -= max(n - level, 1)
-                    out["source_ip_hash"].append(src)
-                    out["sec"].append(sec)
-                    out["hit"].append(reached)
+                    out.append((src, sec, reached))
                     level, reached = 0, n
                 level += left + shorts
-            yield pdf.iloc[:0][["source_ip_hash", "sec"]].assign(hit=0) if not out["sec"] else type(pdf)(out)
+            yield pd.DataFrame(out, columns=[SRC, "sec", "hit"])
 
     return run
 

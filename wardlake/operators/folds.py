@@ -14,12 +14,14 @@ is ever loaded whole). Events themselves are never gathered by key.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timing import epoch
 
+MODES = ("threshold", "both", "limit", "every", "none")
 _KEY = "_fold_key"
 _WIN = "_fold_window"
 
@@ -30,8 +32,21 @@ def per_second(df: DataFrame, keys: list, ts: str = "timestamp", **measures: Col
     return df.groupBy(*keys, epoch(ts).alias("sec")).agg(*aggs)
 
 
-def _walker():
-    """The walk as a closure, so that it travels to the tasks by value."""
+def fold_key(keys: list) -> Column:
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
+
+
+def walk(work: DataFrame, run, schema) -> DataFrame:
+    """Rows of ``work`` (with ``_KEY`` and ``sec``) through ``run`` in (key, second) order.
+
+    ``run`` maps an iterator of pandas batches to one; it must be a closure, so that it
+    travels to the tasks by value. A key stays in one task, its rows arrive sorted.
+    """
+    return work.repartition(_KEY).sortWithinPartitions(_KEY, "sec").mapInPandas(run, schema)
+
+
+def _windows():
+    """Carry (key, window start, hits so far) through sorted rows."""
 
     def run(batches):
         key, start, seen = None, 0, 0
@@ -45,9 +60,7 @@ def _walker():
                 starts.append(start)
                 before.append(seen)
                 seen += cnt
-            pdf["anchor"] = starts
-            pdf["n_before"] = before
-            yield pdf
+            yield pdf.assign(anchor=starts, n_before=before)
 
     return run
 
@@ -60,39 +73,34 @@ def anchored(hits: DataFrame, keys: list, window: int | str, min_hits: int | str
     cannot reach it in total before anything leaves the JVM.
     """
     win = F.col(window) if isinstance(window, str) else F.lit(window)
-    fold_key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
-    work = hits.withColumns({_KEY: fold_key, _WIN: win.cast("long")}).repartition(_KEY)
+    work = hits.withColumns({_KEY: fold_key(keys), _WIN: win.cast("long")})
     if min_hits is not None:
         need = F.col(min_hits) if isinstance(min_hits, str) else F.lit(min_hits)
-        whole = Window.partitionBy(_KEY)
-        work = work.withColumn("_total", F.sum("cnt").over(whole)).filter(F.col("_total") >= need).drop("_total")
-    work = work.sortWithinPartitions(_KEY, "sec")
-    schema = T.StructType(
-        work.schema.fields + [T.StructField("anchor", T.LongType()), T.StructField("n_before", T.LongType())]
-    )
-    return work.mapInPandas(_walker(), schema).drop(_KEY, _WIN)
+        # same partitioning and order as the walk, so this adds no shuffle and no sort
+        whole = Window.partitionBy(_KEY).orderBy("sec").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        work = work.repartition(_KEY).withColumn("_total", F.sum("cnt").over(whole))
+        work = work.filter(F.col("_total") >= need).drop("_total")
+    added = [T.StructField("anchor", T.LongType()), T.StructField("n_before", T.LongType())]
+    return walk(work, _windows(), T.StructType(work.schema.fields + added)).drop(_KEY, _WIN)
 
 
-def firings(counted: DataFrame, n: int | str, mode: str) -> DataFrame:
+def firings(counted: DataFrame, n: int | str, mode: str | Column) -> DataFrame:
     """One row per firing hit, with ``hit`` = its number inside the window.
 
     ``threshold``: every n-th hit (also "reset on fire"); ``both``: the n-th hit
-    only; ``limit``: the first n hits; ``every``: the n-th and all later hits.
+    only; ``limit``: the first n hits; ``every``: the n-th and all later hits;
+    ``none``: every hit. ``n`` and ``mode`` may be columns.
     """
-    need = (F.col(n) if isinstance(n, str) else F.lit(n)).cast("long")
-    first = F.col("n_before") + 1
-    last = F.col("n_before") + F.col("cnt")
-    if mode == "threshold":
-        lo, hi, step = F.ceil(first / need) * need, F.floor(last / need) * need, need
-    elif mode == "both":
-        lo, hi, step = F.greatest(first, need), F.least(last, need), F.lit(1)
-    elif mode == "limit":
-        lo, hi, step = first, F.least(last, need), F.lit(1)
-    elif mode == "every":
-        lo, hi, step = F.greatest(first, need), last, F.lit(1)
-    else:
+    if isinstance(mode, str) and mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    live = counted.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long"), "_step": step.cast("long")})
+    kind = F.lit(mode) if isinstance(mode, str) else mode
+    need = (F.col(n) if isinstance(n, str) else F.lit(n)).cast("long")
+    first, last = F.col("n_before") + 1, F.col("n_before") + F.col("cnt")
+    regular = kind == "threshold"
+    lo = F.when(regular, F.ceil(first / need) * need).when(kind.isin("limit", "none"), first).otherwise(F.greatest(first, need))
+    hi = F.when(regular, F.floor(last / need) * need).when(kind.isin("both", "limit"), F.least(last, need)).otherwise(last)
+    step = F.when(regular, need).otherwise(F.lit(1).cast("long"))
+    live = counted.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long"), "_step": step})
     return (
         live.filter("_lo <= _hi")
         .withColumn("hit", F.explode(F.sequence("_lo", "_hi", "_step")))
@@ -120,54 +128,50 @@ def first_in_window(df: DataFrame, keys: list, window: int | str, ts: str = "tim
     return opened.select(*df.columns)
 
 
-def distinct_alarm(
-    df: DataFrame, keys: list, item: str, n: int, window: int, ts: str = "timestamp", order: str | None = None
-) -> DataFrame:
-    """Fires on each hit once ``n`` different ``item`` values were seen in the window.
+def _distinct_walk(keys: list, n: int, window: int):
+    """Carry (key, window start, items known) through rows of (key, second, item)."""
 
-    Gives one row per firing second: ``hits`` that fired and ``distinct_items`` known at
-    the end of that second. Hits inside one second follow ``order`` (an id
-    column); the values themselves are collapsed to one row per (key, second,
-    item) first, and a window holds at most as many of them as items exist.
-    """
-    tie = F.col(order) if order else F.lit(0)
-    cells = df.groupBy(*keys, epoch(ts).alias("sec"), F.col(item).alias("_item")).agg(
-        F.count(F.lit(1)).alias("c"), F.min(tie).alias("first_id"), F.max(tie).alias("last_id")
-    )
-    seconds = cells.groupBy(*keys, "sec").agg(F.sum("c").alias("cnt"))
-    windows = anchored(seconds, keys, window, n).select(*keys, "sec", "anchor")
-    placed = cells.join(windows, [*keys, "sec"])
-    known = placed.groupBy(*keys, "anchor", "_item").agg(F.min(F.struct("sec", "first_id")).alias("at"))
-    crossing = (
-        known.groupBy(*keys, "anchor")
-        .agg(F.array_sort(F.collect_list("at")).alias("firsts"))
-        .filter(F.size("firsts") >= n)
-        .select(*keys, "anchor", "firsts", F.element_at("firsts", n).alias("cross"))
-    )
-    late = placed.join(crossing, [*keys, "anchor"]).filter(F.col("sec") >= F.col("cross.sec"))
-    if order is None:
-        return _distinct_rows(late, keys, F.sum("c"))
-    whole = late.filter((F.col("sec") > F.col("cross.sec")) | (F.col("first_id") >= F.col("cross.first_id")))
-    # a cell in the crossing second that began before the crossing is counted hit by hit
-    split = late.filter(
-        (F.col("sec") == F.col("cross.sec"))
-        & (F.col("first_id") < F.col("cross.first_id"))
-        & (F.col("last_id") >= F.col("cross.first_id"))
-    ).select(*keys, "anchor", "sec", "_item", "cross", "firsts")
-    raw = df.select(*keys, epoch(ts).alias("sec"), F.col(item).alias("_item"), tie.alias("_id"))
-    part = (
-        raw.join(split, [*keys, "sec", "_item"])
-        .filter(F.col("_id") >= F.col("cross.first_id"))
-        .groupBy(*keys, "anchor", "sec", "_item", "cross", "firsts")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    cols = [*keys, "anchor", "sec", "firsts", "c"]
-    return _distinct_rows(whole.select(*cols).unionByName(part.select(*cols)), keys, F.sum("c"))
+    def run(batches):
+        key, start, known = None, 0, set()
+        held = None  # the second being read: [key values, second, hits]
+        for pdf in batches:
+            out = []
+            columns = [pdf[c].tolist() for c in keys]
+            for i, (k, sec, item, cnt) in enumerate(
+                zip(pdf[_KEY].tolist(), pdf["sec"].tolist(), pdf["_item"].tolist(), pdf["cnt"].tolist())
+            ):
+                if held and (k != key or sec != held[1]):
+                    if len(known) >= n:
+                        out.append((*held[0], held[1], start, held[2], len(known)))
+                    held = None
+                if k != key or sec >= start + window:
+                    key, start, known = k, sec, set()
+                known.add(item)
+                if held:
+                    held[2] += cnt
+                else:
+                    held = [[c[i] for c in columns], sec, cnt]
+            yield pd.DataFrame(out, columns=[*keys, "sec", "anchor", "hits", "distinct_items"])
+        if held and len(known) >= n:
+            yield pd.DataFrame(
+                [(*held[0], held[1], start, held[2], len(known))], columns=[*keys, "sec", "anchor", "hits", "distinct_items"]
+            )
+
+    return run
 
 
-def _distinct_rows(late: DataFrame, keys: list, hits: Column) -> DataFrame:
-    known = F.size(F.filter("firsts", lambda at: at["sec"] <= F.col("sec")))
-    return late.groupBy(*keys, "anchor", "sec").agg(hits.alias("hits"), F.max(known).alias("distinct_items"))
+def distinct_alarm(df: DataFrame, keys: list, item: str, n: int, window: int, ts: str = "timestamp") -> DataFrame:
+    """Fires on each hit once ``n`` different ``item`` values were seen in the window.
+
+    Gives one row per firing second with the ``hits`` in it and the ``distinct_items``
+    known by its end. Table time has whole seconds, so hits of one second have no order
+    among themselves and count together. Hits are summed per (key, second, item) first.
+    """
+    cells = df.groupBy(*keys, epoch(ts).alias("sec"), F.col(item).alias("_item")).agg(F.count(F.lit(1)).alias("cnt"))
+    work = cells.withColumn(_KEY, fold_key(keys))
+    kept = [f for f in work.schema.fields if f.name in keys]
+    longs = [T.StructField(c, T.LongType()) for c in ("sec", "anchor", "hits", "distinct_items")]
+    return walk(work, _distinct_walk(keys, n, window), T.StructType(kept + longs))
 
 
 def trailing_count(df: DataFrame, keys: list, seconds: int, more_than: int, ts: str = "timestamp") -> DataFrame:

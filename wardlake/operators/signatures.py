@@ -207,13 +207,9 @@ def apply_rates(hits: DataFrame) -> DataFrame:
     carrying its rule's count and window.
     """
     keys = ["sid", "source_ip_hash"]
-    cells = _rate_columns(per_second(hits, keys))
-    free = cells.filter("_kind = 'none'").withColumn("hit", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cnt"))))
-    counted = anchored(cells.filter("_kind <> 'none'"), keys, "_secs", "_n")
-    fired = [firings(counted.filter(F.col("_kind") == kind), "_n", kind) for kind in ("threshold", "both")]
-    out = ["timestamp", "sid", "source_ip_hash", "hit"]
-    parts = [p.withColumn("timestamp", F.timestamp_seconds("sec")).select(*out) for p in (free, *fired)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counted = anchored(_rate_columns(per_second(hits, keys)), keys, "_secs", "_n")
+    fired = firings(counted, "_n", F.col("_kind"))
+    return fired.select(F.timestamp_seconds("sec").alias("timestamp"), "sid", "source_ip_hash", "hit")
 
 
 # --- suppression and output
