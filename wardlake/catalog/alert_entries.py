@@ -27,6 +27,23 @@ def trailing(table: str, cond: str, minutes: int, limit: int, key: str = "") ->
             f"FROM {table} WHERE {cond}) GROUP BY m{', ' + key if key else ''}")
 
 
+
+
+def _rule_views(v):
+    views = al.rule_views(v.events(), v.alerts(), v.creds(), v.files())
+    counts = [df.agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("rows")) for name, df in views.items()]
+    out = counts[0]
+    for part in counts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+add("l0_rule_views", _rule_views, q(
+    "SELECT 'suricata_alerts' AS view, count(*) AS rows FROM ids_alerts UNION ALL "
+    "SELECT 'cowrie_auth', count(*) FROM credentials UNION ALL SELECT 'dionaea_binaries', count(*) FROM downloaded_files UNION ALL "
+    "SELECT 'cowrie_sessions', count(*) FROM honeypot_events WHERE honeypot_type = 'cowrie' UNION ALL "
+    "SELECT 'dionaea_connections', count(*) FROM honeypot_events WHERE honeypot_type = 'dionaea' UNION ALL "
+    "SELECT 'conpot_events', count(*) FROM honeypot_events WHERE honeypot_type = 'conpot'", HE, IA, CR, DF))
 add("l1_alert_rate", lambda v: al.alert_rate(v.alerts(), 1), q(trailing(IA, "true", 1, 1), IA))
 THREE = "honeypot_type IN ('cowrie', 'dionaea', 'conpot')"
 add("l2_connection_spike", lambda v: al.connection_spike(v.events(), 1), q(trailing(HE, THREE, 1, 1), HE))

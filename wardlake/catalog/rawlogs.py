@@ -29,7 +29,8 @@ def _json(v: Views, fields: dict, extra: str = "") -> DataFrame:
     inner = ", ".join(f"{sql} AS `{name}`" for name, sql in fields.items())
     body = f"to_json(struct({inner}))"
     value = f"concat('{{', {extra}, ',', substring({body}, 2))" if extra else body
-    return v.base().selectExpr(f"{value} AS value")
+    # a generator, so that filters on the text above do not write it a second time
+    return v.base().selectExpr(f"inline(array(struct({value} AS value)))")
 
 
 def cowrie(v: Views) -> DataFrame:

@@ -115,7 +115,7 @@ VIEWS = {
     "dense_auth": f"""
         SELECT TIMESTAMP '2024-01-01' + to_seconds(l_orderkey % 7200) AS timestamp, {h('l_suppkey')} AS source_ip_hash,
                l_partkey % 20 = 0 AS authenticated FROM lineitem""",
-    "test_sources": f"SELECT {h('c_custkey')} AS ip_hash FROM customer WHERE c_custkey < 5",
+    "test_sources": f"SELECT {h('c_custkey')} AS ip_hash FROM customer WHERE c_nationkey = 0",
     "signature_rows": r"""
         SELECT event_id AS row_id, 'event' AS row_kind, source_ip_hash, timestamp, protocol, dest_port,
                command AS payload, '' AS uri, '' AS user_agent, '' AS header, '' AS method, '' AS body

@@ -176,8 +176,8 @@ class Views:
         )
 
     def test_sources(self) -> DataFrame:
-        """The sources of the first five customers."""
-        return self.raw("customer").filter("c_custkey < 5").selectExpr(f"{H.format('c_custkey')} AS ip_hash")
+        """Test runs come from the customers of one nation."""
+        return self.raw("customer").filter("c_nationkey = 0").selectExpr(f"{H.format('c_custkey')} AS ip_hash")
 
     def signature_rows(self) -> DataFrame:
         """Shell commands and web requests as one set of matchable rows."""

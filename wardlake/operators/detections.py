@@ -316,47 +316,110 @@ def _rapid_walk(n: int, window: int):
     return run
 
 
+def scanner_condition(conns: DataFrame, max_s: float = 3) -> Column:
+    quiet = F.col("service") == "" if "service" in conns.columns else F.col("conn_state") != "SF"
+    return (F.col("dest_port") == 22) & (F.col("duration") < max_s) & quiet
+
+
 def ssh_scanner(conns: DataFrame, max_s: float = 3) -> DataFrame:
     """Connections to the SSH port closed early without an SSH exchange.
 
     "No exchange" is an empty service name, or where the table has none, a
     connection state other than a normal close.
     """
-    quiet = F.col("service") == "" if "service" in conns.columns else F.col("conn_state") != "SF"
-    cond = (F.col("dest_port") == 22) & (F.col("duration") < max_s) & quiet
-    return flag(conns, cond, "scanner", F.lit("quick disconnect"), F.concat(F.col(SRC), F.col("timestamp").cast("string")))
+    ident = F.concat(F.col(SRC), F.col("timestamp").cast("string"))
+    return flag(conns, scanner_condition(conns, max_s), "scanner", F.lit("quick disconnect"), ident)
 
 
 def weak_username(creds: DataFrame, users=lists.WEAK_USERS) -> DataFrame:
     return flag(creds, F.col("username").isin(*users), "weak_credentials", F.col("username"))
 
 
-def ssh_log(auth: DataFrame, conns: DataFrame, creds: DataFrame, **limits) -> DataFrame:
-    """All SSH detections as one log with the counter the detection saw."""
-    fails = limits.get("fails", 10)
-    rapid = limits.get("rapid", 15)
-    window = limits.get("window", 600)
-    parts = [
-        ssh_bruteforce(auth, fails, window),
-        ssh_success_after_failures(auth, window),
-        ssh_rapid(auth, conns, rapid, window),
-        ssh_scanner(conns),
-        weak_username(creds),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    kind = F.col("detection_type")
-    # one destination host serves SSH per row of the log; the port is fixed by the detections
-    return out.select(
-        "ts",
-        F.col("source").alias("src"),
-        F.lit(22).alias("dst_port"),
-        kind,
-        F.when(kind == "rapid_connections", F.col("count")).alias("conn_attempts"),
-        F.when(kind.isin("bruteforce", "bruteforce_success"), F.col("count")).alias("failed_logins"),
-        "note",
+LOG_SCHEMA = f"{SRC} string, sec long, dst string, dst_port int, detection_type string, conn_attempts long, failed_logins long"
+
+
+def _log_walk(fails_n: int, rapid_n: int, window: int):
+    """Both SSH counters of a source side by side, each in its own expiring window.
+
+    Every firing carries both values as they stood at that attempt. Inside a second:
+    failures, successes, closing short sessions.
+    """
+
+    def run(batches):
+        source, fail_at, fails, try_at, tries = None, None, 0, None, 0
+        columns = [SRC, "sec", "fails", "wins", "shorts", "dst", "dst_port"]
+        names = [SRC, "sec", "dst", "dst_port", "detection_type", "conn_attempts", "failed_logins"]
+        for pdf in batches:
+            out = []
+            for src, sec, failed, won, shorts, dst, port in zip(*[pdf[c].tolist() for c in columns]):
+                if src != source:
+                    source, fail_at, fails, try_at, tries = src, None, 0, None, 0
+                if fail_at is not None and sec >= fail_at + window:
+                    fail_at, fails = None, 0
+                if try_at is None or sec >= try_at + window:
+                    try_at, tries = sec, 0
+                for attempt in range(failed + won):
+                    tries += 1
+                    kind = None
+                    if attempt < failed:
+                        fail_at = sec if fail_at is None else fail_at
+                        fails += 1
+                        kind = "bruteforce" if fails >= fails_n else None
+                    elif fails:
+                        kind = "bruteforce_success"
+                    if kind:
+                        out.append((src, sec, dst, port, kind, tries, fails))
+                    if attempt >= failed:
+                        fails = 0
+                    if tries >= rapid_n:
+                        out.append((src, sec, dst, port, "rapid_connections", tries, fails))
+                        tries = 0
+                tries += shorts
+            yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def ssh_log(
+    auth: DataFrame, conns: DataFrame, creds: DataFrame, fails: int = 10, rapid: int = 15, window: int = 600, max_s: float = 5
+) -> DataFrame:
+    """All SSH detections as one log: destination, kind, both counters, note.
+
+    The counters are those the detection saw; scanner and weak-name rows have none. The
+    destination is that of an attempt of the firing second; a credential has none.
+    """
+    when = epoch("timestamp").alias("sec")
+    zero = F.lit(0).cast("long")
+    logins = auth.groupBy(SRC, when).agg(
+        F.count_if(~F.col("authenticated")).alias("fails"), F.count_if("authenticated").alias("wins"), zero.alias("shorts"),
+        F.min("dest_ip").alias("dst"), F.min("dest_port").alias("dst_port"),
+    )
+    short = conns.filter((F.col("dest_port") == 22) & (F.col("protocol") == "ssh") & (F.col("duration") < max_s))
+    closed = short.groupBy(SRC, when).agg(
+        zero.alias("fails"), zero.alias("wins"), F.count(F.lit(1)).alias("shorts"),
+        F.min("dest_ip").alias("dst"), F.min("dest_port").alias("dst_port"),
+    )
+    seconds = logins.unionByName(closed).groupBy(SRC, "sec").agg(
+        *[F.sum(c).alias(c) for c in ("fails", "wins", "shorts")], F.min("dst").alias("dst"), F.min("dst_port").alias("dst_port")
     )
+    work = seconds.withColumn("_fold_key", fold_key([SRC]))
+    counted = walk(work, _log_walk(fails, rapid, window), LOG_SCHEMA)
+    saw = F.concat_ws(" ", F.col("conn_attempts").cast("string"), F.lit("attempts,"), F.col("failed_logins").cast("string"), F.lit("failed"))
+    counted = counted.select(
+        F.timestamp_seconds("sec").alias("ts"), F.col(SRC).alias("src"), "dst", "dst_port", "detection_type", "conn_attempts",
+        "failed_logins", saw.alias("note"),
+    )
+
+    def plain(rows, dst, port, kind, note):
+        return rows.select(
+            F.col("timestamp").alias("ts"), F.col(SRC).alias("src"), dst.alias("dst"), port.cast("int").alias("dst_port"),
+            F.lit(kind).alias("detection_type"), F.lit(None).cast("long").alias("conn_attempts"),
+            F.lit(None).cast("long").alias("failed_logins"), note.alias("note"),
+        )
+
+    quick = plain(conns.filter(scanner_condition(conns)), F.col("dest_ip"), F.col("dest_port"), "scanner", F.lit("quick disconnect"))
+    weak = plain(creds.filter(F.col("username").isin(*lists.WEAK_USERS)), F.lit(""), F.lit(22), "weak_credentials", F.col("username"))
+    return counted.unionByName(quick).unionByName(weak)
 
 
 # --- downloads

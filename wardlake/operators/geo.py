@@ -9,23 +9,22 @@ from pyspark.sql import types as T
 BLOCK = 65536
 
 
+# four numbers of 0 to 255 with dots between them
+IPV4 = r"^((25[0-5]|2[0-4]\d|[01]?\d?\d)(\.(?!$)|$)){4}$"
+
+
 def ipv4_long(ip: Column | str) -> Column:
     """Dotted IPv4 text as a number; anything else is null."""
     text = F.col(ip) if isinstance(ip, str) else ip
-    octets = F.split(text, r"\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        part = octets.getItem(i).try_cast("int")
-        value = value * 256 + F.when(part.between(0, 255), part)
-    return F.when(text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), value)
+    value = F.aggregate(F.split(text, r"\."), F.lit(0).cast("long"), lambda acc, part: acc * 256 + part.cast("long"))
+    return F.when(text.rlike(IPV4), value)
 
 
 def range_blocks(ranges: DataFrame) -> DataFrame:
     """Ranges by the /16 block they touch: one row per block with its ranges, narrowest first.
 
-    A range of a country touches one block or is made of whole ones, so there are at
-    most 65 536 rows (the number of blocks), and a block of disjoint ranges holds at
-    most 65 536 of them; real tables have a handful.
+    There are at most 65 536 rows (the number of blocks), and a block of disjoint
+    ranges holds at most 65 536 of them; real tables have a handful.
     """
     first, last = F.floor(F.col("start_ip") / BLOCK), F.floor(F.col("end_ip") / BLOCK)
     entry = F.struct(

@@ -725,13 +725,21 @@ def to_sensor(df, dest_ip, as_of, minutes=10, ties=()):
 
 
 def false_positive_candidates(alerts, test_sources, start, end, more_than=100):
-    """Signatures that fire often while nobody is known to attack."""
-    quiet = between(alerts, start, end).join(
-        test_sources.select(F.col("ip_hash").alias(SRC)).distinct(), SRC, "left_anti"
+    """Signatures that fire often while nobody is known to attack.
+
+    Alerts are counted per signature and source before the anti join, so a busy source is
+    a few rows there, and the sources of a signature are simply its rows.
+    """
+    cells = (
+        between(alerts, start, end)
+        .groupBy("signature_id", F.col("alert_signature").alias("signature"), SRC)
+        .agg(n_rows().alias("n"))
     )
+    known = test_sources.select(F.col("ip_hash").alias(SRC)).distinct()
     grouped = (
-        quiet.groupBy("signature_id", F.col("alert_signature").alias("signature"))
-        .agg(n_rows().alias("alert_count"), uniq(SRC).alias("unique_sources"))
+        cells.join(known, SRC, "left_anti")
+        .groupBy("signature_id", "signature")
+        .agg(F.sum("n").alias("alert_count"), n_rows().alias("unique_sources"))
         .filter(F.col("alert_count") > more_than)
     )
     return top(grouped, "alert_count", ["signature_id", "signature"], None)

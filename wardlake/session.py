@@ -18,7 +18,7 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, app: str = "wardlake") -> SparkSession:
+def local_session(cores: int | str = 8, app: str = "wardlake", checkpoint_dir: str | None = None) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,6 +27,8 @@ def local_session(cores: int | str = 8, app: str = "wardlake") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -41,6 +43,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# temporary folders of local sessions, by application id
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
@@ -48,14 +54,15 @@ def shared_folder(spark: SparkSession) -> str:
     back to a temporary folder; on a cluster a missing setting is an error,
     because a machine-local folder would be lost with its machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="wardlake-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="wardlake-")
+    return _LOCAL[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
