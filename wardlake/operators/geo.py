@@ -16,7 +16,13 @@ IPV4 = r"^((25[0-5]|2[0-4]\d|[01]?\d?\d)(\.(?!$)|$)){4}$"
 def ipv4_long(ip: Column | str) -> Column:
     """Dotted IPv4 text as a number; anything else is null."""
     text = F.col(ip) if isinstance(ip, str) else ip
-    value = F.aggregate(F.split(text, r"\."), F.lit(0).cast("long"), lambda acc, part: acc * 256 + part.cast("long"))
+    octets = (
+        F.substring_index(text, ".", 1),
+        F.substring_index(F.substring_index(text, ".", 2), ".", -1),
+        F.substring_index(F.substring_index(text, ".", -2), ".", 1),
+        F.substring_index(text, ".", -1),
+    )
+    value = sum(o.cast("long") * 256 ** (3 - i) for i, o in enumerate(octets))
     return F.when(text.rlike(IPV4), value)
 
 
@@ -24,14 +30,18 @@ def range_blocks(ranges: DataFrame) -> DataFrame:
     """Ranges by the /16 block they touch: one row per block with its ranges, narrowest first.
 
     There are at most 65 536 rows (the number of blocks), and a block of disjoint
-    ranges holds at most 65 536 of them; real tables have a handful.
+    ranges holds at most 65 536 of them; real tables have a handful. ``_whole`` is the
+    country of a block that lies in a single range, which needs no further look.
     """
     first, last = F.floor(F.col("start_ip") / BLOCK), F.floor(F.col("end_ip") / BLOCK)
     entry = F.struct(
         (F.col("end_ip") - F.col("start_ip")).alias("width"), "country", F.col("start_ip").alias("lo"), F.col("end_ip").alias("hi")
     )
     touched = ranges.select(F.explode(F.sequence(first, last)).alias("_block"), entry.alias("e"))
-    return touched.groupBy("_block").agg(F.array_sort(F.collect_list("e")).alias("_ranges"))
+    blocks = touched.groupBy("_block").agg(F.array_sort(F.collect_list("e")).alias("_ranges"))
+    only = F.element_at("_ranges", 1)
+    covers = (F.size("_ranges") == 1) & (only["lo"] <= F.col("_block") * BLOCK) & (only["hi"] >= F.col("_block") * BLOCK + BLOCK - 1)
+    return blocks.withColumn("_whole", F.when(covers, only["country"]))
 
 
 def geo_enrich(df: DataFrame, ip_col: str, ranges: DataFrame, out: str = "source_ip_country", default: str = "") -> DataFrame:
@@ -49,5 +59,5 @@ def geo_enrich(df: DataFrame, ip_col: str, ranges: DataFrame, out: str = "source
     keyed = df.withColumn("_ip", ip).withColumn("_block", F.coalesce(F.floor(F.col("_ip") / BLOCK), spread))
     joined = keyed.join(range_blocks(ranges), "_block", "left")
     hits = F.filter("_ranges", lambda r: F.col("_ip").between(r["lo"], r["hi"]))
-    found = F.try_element_at(hits, F.lit(1))["country"]
-    return joined.withColumn(out, F.coalesce(found, F.lit(default))).drop("_block", "_ip", "_ranges")
+    found = F.coalesce("_whole", F.try_element_at(hits, F.lit(1))["country"])
+    return joined.withColumn(out, F.coalesce(found, F.lit(default))).drop("_block", "_ip", "_ranges", "_whole")
