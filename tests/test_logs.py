@@ -125,3 +125,32 @@ def test_stream_counter_equals_the_batch_fold(spark, rows, tmp_path):
     fired = drain(spark, stateful.stream_count_alarm(stream_of(spark, tmp_path, df), "source_ip_hash", 4, 120, "threshold", "30 seconds"), tmp_path)
     closed = max(s for _, s in events) - 30
     assert rows(fired) == [r for r in loops.alarm(events, 4, 120, "threshold") if r[1] + 1 <= closed]
+
+
+def test_append_routed_and_aliases(spark, rows, tmp_path):
+    from wardlake.schemas import ALIASES
+
+    df = spark.createDataFrame(
+        [("2024-01-01 00:00:00", "cowrie", "u", "p"), ("2024-02-01 00:00:00", "dionaea", None, None)],
+        "timestamp string, honeypot_name string, username string, password string",
+    )
+    df = n.rename_aliases(df, ALIASES)
+    assert "honeypot_type" in df.columns
+    tables.append_routed(df, {"honeypot_events": lambda x: x, "credentials": n.to_credentials}, str(tmp_path))
+    assert rows(tables.read_table(spark, "honeypot_events", str(tmp_path)), "month", "honeypot_type") == [("2024-01", "cowrie"), ("2024-02", "dionaea")]
+    assert rows(tables.read_table(spark, "credentials", str(tmp_path)), "username", "month") == [("u", "2024-01")]
+
+
+def test_cluster_by_spreads_a_frequent_value(spark):
+    df = spark.range(4000).selectExpr("IF(id % 10 < 9, 'hot', 'cold') AS c", "timestamp_seconds(id) AS timestamp")
+    out = tables.cluster_by(df, ["c"], 8)
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= 6 and max(sizes) < 1500
+
+
+def test_stream_dedupe_keeps_one_per_identifier(spark, rows, tmp_path):
+    df = spark.range(60).selectExpr("timestamp_seconds(1704067200 + id) AS ts", "'k' AS detection_type", "concat('s', id % 3) AS identifier")
+    path = str(tmp_path / "stream")
+    df.write.parquet(path)
+    out = drain(spark, stateful.stream_dedupe(spark.readStream.schema(df.schema).parquet(path)), tmp_path)
+    assert rows(out, "identifier") == [("s0",), ("s1",), ("s2",)]

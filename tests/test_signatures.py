@@ -111,6 +111,16 @@ def test_own_rates(spark, rows):
     assert fired == [(1000020, 12), (2000003, 1), (2000028, 1)]
 
 
+def test_rates_agree_on_lists_and_single_hits(spark, rows):
+    df = spark.range(3000).selectExpr(
+        "concat('s', id % 2) AS source_ip_hash", "timestamp_seconds(1704067200 + id * 13 % 400) AS timestamp", "'tcp' AS protocol",
+        "element_at(array(23, 81, 8080, 502), CAST(id % 4 AS INT) + 1) AS dest_port", "IF(id % 3 = 0, 'S0', 'SF') AS conn_state",
+        "IF(id % 5 = 0, '', 'S') AS history")
+    single = rows(s.apply_rates(s.scan_hits(df)), "sid", "source_ip_hash", F.unix_timestamp("timestamp"), "hit")
+    listed = rows(s.apply_rates(s.scan_hits(df, as_list=True)), "sid", "source_ip_hash", F.unix_timestamp("timestamp"), "hit")
+    assert single == listed and len({r[0] for r in single}) >= 4
+
+
 def test_suppression(spark, rows):
     df = spark.createDataFrame(
         [(1, 2000024, "192.168.1.7"), (2, 2000024, "192.168.2.7"), (3, 2000005, "192.168.1.50"), (4, 2000005, "192.168.1.51"), (5, 2000024, None)],

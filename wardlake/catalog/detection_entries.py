@@ -389,7 +389,7 @@ def own_rates() -> str:
              "dense_conns", recursive=True, extra=chain_sql(cells, "(" + _by_rule(2, "1").format(k="c.key") + ")"))
 
 
-add("r5_own_rates", lambda v: s.apply_rates(s.scan_hits(v.dense_conns())), own_rates())
+add("r5_own_rates", lambda v: s.apply_rates(s.scan_hits(v.dense_conns(), as_list=True)), own_rates())
 add("r8_suppress", lambda v: s.suppress(
     v.alerts().withColumns({"sid": F.col("signature_id"), "src_ip": F.concat(F.lit("192.168."), F.col("alert_id") % 4, F.lit("."), F.col("alert_id") % 250)}),
     [(2000024, "192.168.1.0/24"), (2000005, "192.168.1.50")]).select("alert_id", "signature_id"), q(

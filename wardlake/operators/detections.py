@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.timing import epoch
-from .folds import anchored, count_alarm, distinct_alarm, first_in_window, fold_key, per_second, trailing_count, walk
+from .folds import anchored, count_alarm, distinct_alarm, first_in_window, per_second, trailing_count, walk
 
 SRC = "source_ip_hash"
 DETECTION = ["ts", "source", "detection_type", "count", "note", "identifier"]
@@ -255,8 +255,7 @@ def _failure_runs(auth: DataFrame, window: int) -> DataFrame:
 
     Only failures open windows.
     """
-    work = _login_seconds(auth).withColumn("_fold_key", fold_key([SRC]))
-    return walk(work, _failure_walk(window), f"{SRC} string, sec long, fails long, wins long, n_start long")
+    return walk(_login_seconds(auth), [SRC], _failure_walk(window), f"{SRC} string, sec long, fails long, wins long, n_start long")
 
 
 def ssh_bruteforce(auth: DataFrame, n: int = 10, window: int = 600) -> DataFrame:
@@ -289,8 +288,7 @@ def ssh_rapid(
         closed = short.groupBy(SRC, epoch("timestamp").alias("sec")).agg(F.count(F.lit(1)).alias("shorts"))
         both = hits.unionByName(closed.withColumn("tries", F.lit(0).cast("long")))
         hits = both.groupBy(SRC, "sec").agg(F.sum("tries").alias("tries"), F.sum("shorts").alias("shorts"))
-    work = hits.withColumn("_fold_key", fold_key([SRC]))
-    fired = walk(work, _rapid_walk(n, window), f"{SRC} string, sec long, hit long")
+    fired = walk(hits, [SRC], _rapid_walk(n, window), f"{SRC} string, sec long, hit long")
     return _counted(fired, "rapid_connections", "attempts", "-rapid")
 
 
@@ -402,8 +400,7 @@ def ssh_log(
     seconds = logins.unionByName(closed).groupBy(SRC, "sec").agg(
         *[F.sum(c).alias(c) for c in ("fails", "wins", "shorts")], F.min("dst").alias("dst"), F.min("dst_port").alias("dst_port")
     )
-    work = seconds.withColumn("_fold_key", fold_key([SRC]))
-    counted = walk(work, _log_walk(fails, rapid, window), LOG_SCHEMA)
+    counted = walk(seconds, [SRC], _log_walk(fails, rapid, window), LOG_SCHEMA)
     saw = F.concat_ws(" ", F.col("conn_attempts").cast("string"), F.lit("attempts,"), F.col("failed_logins").cast("string"), F.lit("failed"))
     counted = counted.select(
         F.timestamp_seconds("sec").alias("ts"), F.col(SRC).alias("src"), "dst", "dst_port", "detection_type", "conn_attempts",

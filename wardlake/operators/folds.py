@@ -36,13 +36,15 @@ def fold_key(keys: list) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
 
 
-def walk(work: DataFrame, run, schema) -> DataFrame:
-    """Rows of ``work`` (with ``_KEY`` and ``sec``) through ``run`` in (key, second) order.
+def walk(work: DataFrame, keys: list, run, schema, placed: bool = False) -> DataFrame:
+    """Rows of ``work`` (with ``sec``) through ``run`` in (keys, second) order.
 
     ``run`` maps an iterator of pandas batches to one; it must be a closure, so that it
     travels to the tasks by value. A key stays in one task, its rows arrive sorted.
+    ``placed``: the caller has partitioned the rows by some of the keys already.
     """
-    return work.repartition(_KEY).sortWithinPartitions(_KEY, "sec").mapInPandas(run, schema)
+    spread = work if placed else work.repartition(*keys)
+    return spread.sortWithinPartitions(*keys, "sec").mapInPandas(run, schema)
 
 
 def _windows():
@@ -65,23 +67,25 @@ def _windows():
     return run
 
 
-def anchored(hits: DataFrame, keys: list, window: int | str, min_hits: int | str | None = None) -> DataFrame:
+def anchored(
+    hits: DataFrame, keys: list, window: int | str, min_hits: int | str | None = None, placed: bool = False
+) -> DataFrame:
     """Add ``anchor`` (window start) and ``n_before`` (hits earlier in the window).
 
-    ``hits`` has one row per key and ``sec`` with ``cnt``; ``window`` is a number of
+    ``hits`` has rows of key and ``sec`` with ``cnt``; ``window`` is a number of
     seconds or a column holding it. ``min_hits`` (number or column) drops keys that
-    cannot reach it in total before anything leaves the JVM.
+    cannot reach it in total before anything leaves the JVM. ``placed`` as in :func:`walk`.
     """
     win = F.col(window) if isinstance(window, str) else F.lit(window)
-    work = hits.withColumns({_KEY: fold_key(keys), _WIN: win.cast("long")})
+    work = hits if placed else hits.repartition(*keys)
     if min_hits is not None:
         need = F.col(min_hits) if isinstance(min_hits, str) else F.lit(min_hits)
         # same partitioning and order as the walk, so this adds no shuffle and no sort
-        whole = Window.partitionBy(_KEY).orderBy("sec").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        work = work.repartition(_KEY).withColumn("_total", F.sum("cnt").over(whole))
-        work = work.filter(F.col("_total") >= need).drop("_total")
+        whole = Window.partitionBy(*keys).orderBy("sec").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        work = work.withColumn("_total", F.sum("cnt").over(whole)).filter(F.col("_total") >= need).drop("_total")
+    work = work.withColumns({_KEY: fold_key(keys), _WIN: win.cast("long")})
     added = [T.StructField("anchor", T.LongType()), T.StructField("n_before", T.LongType())]
-    return walk(work, _windows(), T.StructType(work.schema.fields + added)).drop(_KEY, _WIN)
+    return walk(work, keys, _windows(), T.StructType(work.schema.fields + added), placed=True).drop(_KEY, _WIN)
 
 
 def firings(counted: DataFrame, n: int | str, mode: str | Column) -> DataFrame:
@@ -171,7 +175,7 @@ def distinct_alarm(df: DataFrame, keys: list, item: str, n: int, window: int, ts
     work = cells.withColumn(_KEY, fold_key(keys))
     kept = [f for f in work.schema.fields if f.name in keys]
     longs = [T.StructField(c, T.LongType()) for c in ("sec", "anchor", "hits", "distinct_items")]
-    return walk(work, _distinct_walk(keys, n, window), T.StructType(kept + longs))
+    return walk(work, keys, _distinct_walk(keys, n, window), T.StructType(kept + longs))
 
 
 def trailing_count(df: DataFrame, keys: list, seconds: int, more_than: int, ts: str = "timestamp") -> DataFrame:

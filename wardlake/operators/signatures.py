@@ -134,8 +134,17 @@ def rule_condition(rule: Rule, cols: set) -> Column | None:
     return cond
 
 
-def match_rules(rows: DataFrame, binary: bool = False, rules=RULES) -> DataFrame:
-    """Rows × matching rule ids (column ``sid``).
+def _hits(rows: DataFrame, conds: dict, as_list: bool) -> DataFrame:
+    """One row per hit, or rows with the list of their hits."""
+    sids = F.array_compact(F.array(*[F.when(cond, F.lit(sid)) for sid, cond in conds.items()]))
+    if as_list:
+        # through a generator, so that the filter does not evaluate every rule a second time
+        return rows.withColumn("sids", F.explode(F.array(sids))).filter(F.size("sids") > 0)
+    return rows.withColumn("sid", F.explode(sids))
+
+
+def match_rules(rows: DataFrame, binary: bool = False, rules=RULES, as_list: bool = False) -> DataFrame:
+    """Rows × matching rule ids (column ``sid``; with ``as_list`` a row keeps all its ids in ``sids``).
 
     ``binary=False`` evaluates the text rules on a text payload; ``binary=True`` the
     byte rules on a binary payload, read as one character per byte.
@@ -148,12 +157,11 @@ def match_rules(rows: DataFrame, binary: bool = False, rules=RULES) -> DataFrame
         for r in rules
         if is_binary(r) == binary and (cond := rule_condition(r, set(rows.columns))) is not None
     }
-    sids = F.array_compact(F.array(*[F.when(cond, F.lit(sid)) for sid, cond in conds.items()]))
-    hits = work.withColumn("sid", F.explode(sids)).drop("_transport")
+    hits = _hits(work, conds, as_list).drop("_transport")
     return hits.withColumn("payload", F.col("_kept")).drop("_kept") if binary else hits
 
 
-def scan_hits(conns: DataFrame, rules=RULES) -> DataFrame:
+def scan_hits(conns: DataFrame, rules=RULES, as_list: bool = False) -> DataFrame:
     """Connection rows × rules on flags or on mere contact (no contents).
 
     A lone SYN shows as state S0, a packet without flags as an empty history.
@@ -170,8 +178,7 @@ def scan_hits(conns: DataFrame, rules=RULES) -> DataFrame:
         elif r.flags == "0":
             cond = cond & (F.coalesce("history", F.lit("")) == "")
         conds[r.sid] = cond & (F.col("_transport") == r.proto)
-    sids = F.array_compact(F.array(*[F.when(cond, F.lit(sid)) for sid, cond in conds.items()]))
-    return conns.withColumn("_transport", transport("protocol")).withColumn("sid", F.explode(sids)).drop("_transport")
+    return _hits(conns.withColumn("_transport", transport("protocol")), conds, as_list).drop("_transport")
 
 
 def beacon_hits(conns: DataFrame, max_bytes: int = 100) -> DataFrame:
@@ -204,10 +211,19 @@ def apply_rates(hits: DataFrame) -> DataFrame:
     """Every rule's own rate over its hits; rules without one alert on each hit.
 
     One pass for all rules: hits are summed per (rule, source, second), each row
-    carrying its rule's count and window.
+    carrying its rule's count and window. Hits in list form (``sids``) are cheaper: rows are
+    summed per (source, second, list), shuffled by source and multiplied by their rules
+    inside the task that then counts them.
     """
-    keys = ["sid", "source_ip_hash"]
-    counted = anchored(_rate_columns(per_second(hits, keys)), keys, "_secs", "_n")
+    keys = ["source_ip_hash", "sid"]
+    listed = "sids" in hits.columns
+    if listed:
+        # two lists of one second may share a rule; its hits then come as two rows of that second
+        cells = per_second(hits, ["source_ip_hash", "sids"]).repartition("source_ip_hash")
+        cells = cells.withColumn("sid", F.explode("sids")).drop("sids")
+    else:
+        cells = per_second(hits, keys)
+    counted = anchored(_rate_columns(cells), keys, "_secs", "_n", placed=listed)
     fired = firings(counted, "_n", F.col("_kind"))
     return fired.select(F.timestamp_seconds("sec").alias("timestamp"), "sid", "source_ip_hash", "hit")
 

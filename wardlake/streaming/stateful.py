@@ -104,6 +104,11 @@ def stream_first_sightings(events: DataFrame, key: str, ttl: int = 86400, waterm
     )
 
 
+def stream_dedupe(detections: DataFrame, ttl: str = "1 hour") -> DataFrame:
+    """Hold back repeats of a detection's identifier for at least ``ttl`` of event time."""
+    return detections.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["detection_type", "identifier"])
+
+
 def _holder(hold_minutes: int):
     class Holder(StatefulProcessor):
         def init(self, handle) -> None:
