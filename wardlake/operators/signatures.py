@@ -112,7 +112,7 @@ def _byte_test(buffer: Column, rule: Rule) -> Column:
     return (found != "") & hit
 
 
-def _gate(rule: Rule, cols: set) -> Column:
+def _gate(rule: Rule) -> Column:
     cond = F.lit(True)
     if rule.ports:
         cond = F.col("dest_port").isin(*rule.ports)
@@ -126,7 +126,7 @@ def rule_condition(rule: Rule, cols: set) -> Column | None:
     buffers = {c.buffer for c in rule.contents}
     if not rule.contents or not buffers <= cols or (rule.proto == "http" and "method" not in cols):
         return None
-    cond = _gate(rule, cols)
+    cond = _gate(rule)
     for chain in _chains(rule):
         cond = cond & _match(F.coalesce(F.col(chain[0].buffer), F.lit("")), chain)
     if rule.byte_test:
