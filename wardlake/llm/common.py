@@ -23,8 +23,7 @@ def lower_ascii(text: Column) -> Column:
 
 def space_words(text: Column) -> Column:
     """Array of the runs of non-space characters; empty for null, empty or blank text."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

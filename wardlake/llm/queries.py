@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import langid, licenses, quality, secrets, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,3 +19,33 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op9_quality"] = op9_quality
+
+
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    out = licenses.scan(table(spark, folder, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
+QUERIES["op2_licenses"] = op2_licenses
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
+QUERIES["op6_secrets"] = op6_secrets
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
+QUERIES["op10_language"] = op10_language
