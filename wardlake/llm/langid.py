@@ -30,7 +30,7 @@ PER_LANGUAGE = 1500
 CLUSTERS = 4
 MAX_LANGUAGES = 200
 #: A text is rejected below this share of the cosine that 99 of 100 training texts of the language reach.
-FLOOR_SHARE = 0.5
+FLOOR_SHARE = 0.25
 CHUNK = 1 << 20
 UNKNOWN = "und"
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
