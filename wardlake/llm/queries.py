@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality, secrets, toxicity
+from . import langid, licenses, neardup, quality, secrets, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_language"] = op10_language
+
+
+def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.link(table(spark, folder, "documents"))
+
+
+QUERIES["op4_neardup"] = op4_neardup
