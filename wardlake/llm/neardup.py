@@ -108,18 +108,23 @@ def least_matches(threshold: int = THRESHOLD, miss: float = MISS) -> tuple[int,
     return tuple(out)
 
 
-def read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            found = shingles(text)
-            if len(found):
-                rows.append((doc_id, len(found), hashlib.md5(found.tobytes()).digest(), signature(found).tobytes()))
-            else:
-                rows.append((doc_id, 0, None, None))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "signature"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+def read_texts(size: int):
+    """Function over (doc_id, text) rows that yields set size, class (digest of the set) and signature."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+                found = shingles(text, size)
+                if len(found):
+                    rows.append((doc_id, len(found), hashlib.md5(found.tobytes()).digest(), signature(found).tobytes()))
+                else:
+                    rows.append((doc_id, 0, None, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "signature"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return run
 
 
 def band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,10 +262,13 @@ def units_of(bands: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored)."""
+def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    ``size`` is the number of words of a shingle.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    read = cut(docs.mapInPandas(read_texts, "doc_id long, n_shingles long, class binary, signature binary"), "shingled")
+    read = cut(docs.mapInPandas(read_texts(size), "doc_id long, n_shingles long, class binary, signature binary"), "shingled")
     classes = read.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = cut(classes, "classes")
     signatures = classes.select("class", "signature")
@@ -273,7 +281,7 @@ def link(docs: DataFrame) -> DataFrame:
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [s for s in map(shingles, batch["text"]) if len(s)]
+            found = [s for s in (shingles(t, size) for t in batch["text"]) if len(s)]
             yield pd.DataFrame([(hashlib.md5(s.tobytes()).digest(), s.tobytes()) for s in found], columns=["class", "hashes"])
 
     sets = cut(texts.mapInPandas(full, "class binary, hashes binary"), "sets")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, neardup, quality, secrets, toxicity
+from . import decontaminate, langid, licenses, linededup, mixing, neardup, quality, secrets, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,119 @@ def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op4_neardup"] = op4_neardup
+
+
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES["op3_decontaminate"] = op3_decontaminate
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", "mixed.n_words", "mixed.turn", "mixed.block", "mixed.place")
+
+
+QUERIES["op7_mixing"] = op7_mixing
+
+
+def op8_linededup(spark: SparkSession, folder: str) -> DataFrame:
+    out = linededup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    left = F.sha2(F.coalesce("deduped.text", F.lit("")), 256).alias("text_sha256")
+    return out.select("doc_id", "deduped.n_lines", "deduped.n_removed", "deduped.removed", left)
+
+
+QUERIES["op8_linededup"] = op8_linededup
+
+
+# --- URL filters: captures are the pages, fetched on a day that follows from the page's hash; the dated list entries
+# follow from the hosts and paths of the pages themselves, so captures and lists both grow with the table
+
+_FIRST_DAY = "2024-01-01"
+
+
+def _digits(text: Column, at: int) -> Column:
+    return F.conv(F.substring(F.md5(text), at, 4), 16, 10).cast("int")
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    day = F.date_add(F.lit(_FIRST_DAY).cast("date"), F.pmod(_digits(F.col("page_id").cast("string"), 1), F.lit(365)))
+    return pages.select("page_id", "url", day.alias("fetched_on"))
+
+
+def page_lists(pages: DataFrame) -> DataFrame:
+    """A third of the hosts is listed for a while, some twice; a tenth of the first path parts; some hosts are allowed."""
+    urls = pages.select(F.explode(urlfilter.url_keys(F.col("url"))).alias("k")).select("k.kind", "k.value").distinct()
+    day = lambda at, span: F.pmod(_digits(F.col("value"), at), F.lit(span))
+    start, length = day(1, 200), day(5, 120) + 10
+    kind = F.pmod(_digits(F.col("value"), 9), F.lit(30))
+    dated = lambda name, effect, n, action: F.struct(
+        F.lit(name).alias("list"), F.lit(effect).alias("effect"), n.alias("day"), F.lit(action).alias("action")
+    )
+    none = F.array().cast("array<struct<list:string,effect:string,day:int,action:string>>")
+    entries = (
+        F.when((F.col("kind") == "domain") & (kind < 5), F.array(dated("spam", "block", start, "add"), dated("spam", "block", start + length, "remove")))
+        .when((F.col("kind") == "domain") & (kind < 10), F.array(
+            dated("adult", "block", start, "add"), dated("adult", "block", start + length, "remove"),
+            dated("adult", "block", start + length + 20, "add")))
+        .when((F.col("kind") == "domain") & (kind < 12), F.array(dated("trusted", "allow", start, "add")))
+        .when((F.col("kind") == "prefix") & (kind < 3), F.array(dated("paths", "block", start, "add"), dated("paths", "block", start + length, "remove")))
+        .when((F.col("kind") == "url") & (kind < 2), F.array(dated("urls", "block", start, "add")))
+        .otherwise(none)
+    )
+    rows = urls.select("kind", "value", F.explode(entries).alias("e"))
+    listed = F.date_add(F.lit(_FIRST_DAY).cast("date"), F.col("e.day")).alias("listed_on")
+    return rows.select("e.list", "e.effect", "kind", "value", listed, "e.action")
+
+
+def op1_urlfilter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    out = urlfilter.evaluate(page_captures(pages), page_lists(pages))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return out.select("page_id", "url", text("fetched_on"), "blocked", "allowed", "lists", text("since"))
+
+
+QUERIES["op1_urlfilter"] = op1_urlfilter
+ORACLES["op1_urlfilter"] = r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + (('0x' || substr(md5(page_id::VARCHAR), 1, 4))::INT % 365) AS fetched_on FROM pages),
+parts AS (
+  SELECT DISTINCT url, host, host || CASE WHEN path = '' THEN '/' ELSE path END AS plain FROM (
+    SELECT url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#@]+)', 1)), '.') AS host,
+           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages WHERE url IS NOT NULL) WHERE host <> ''),
+url_keys AS (
+  SELECT url, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, NULL), '.') AS value
+  FROM parts, unnest(generate_series(1, len(string_split(host, '.')))) AS g(i)
+  UNION ALL
+  SELECT url, 'prefix', array_to_string(list_slice(string_split(plain, '/'), 1, i), '/') || '/'
+  FROM parts, unnest(generate_series(1, len(string_split(plain, '/')) - 1)) AS g(i)
+  UNION ALL SELECT url, 'url', plain FROM parts),
+numbers AS (
+  SELECT kind, value, ('0x' || substr(md5(value), 1, 4))::INT % 200 AS s, ('0x' || substr(md5(value), 5, 4))::INT % 120 + 10 AS l,
+         ('0x' || substr(md5(value), 9, 4))::INT % 30 AS k
+  FROM (SELECT DISTINCT kind, value FROM url_keys)),
+entries AS (
+  SELECT 'spam' AS list, 'block' AS effect, kind, value, s AS day, 'add' AS action FROM numbers WHERE kind = 'domain' AND k < 5
+  UNION ALL SELECT 'spam', 'block', kind, value, s + l, 'remove' FROM numbers WHERE kind = 'domain' AND k < 5
+  UNION ALL SELECT 'adult', 'block', kind, value, s, 'add' FROM numbers WHERE kind = 'domain' AND k >= 5 AND k < 10
+  UNION ALL SELECT 'adult', 'block', kind, value, s + l, 'remove' FROM numbers WHERE kind = 'domain' AND k >= 5 AND k < 10
+  UNION ALL SELECT 'adult', 'block', kind, value, s + l + 20, 'add' FROM numbers WHERE kind = 'domain' AND k >= 5 AND k < 10
+  UNION ALL SELECT 'trusted', 'allow', kind, value, s, 'add' FROM numbers WHERE kind = 'domain' AND k >= 10 AND k < 12
+  UNION ALL SELECT 'paths', 'block', kind, value, s, 'add' FROM numbers WHERE kind = 'prefix' AND k < 3
+  UNION ALL SELECT 'paths', 'block', kind, value, s + l, 'remove' FROM numbers WHERE kind = 'prefix' AND k < 3
+  UNION ALL SELECT 'urls', 'block', kind, value, s, 'add' FROM numbers WHERE kind = 'url' AND k < 2),
+states AS (
+  SELECT c.url, c.fetched_on, e.list, e.effect, e.kind, e.value, DATE '2024-01-01' + e.day AS listed_on, e.action,
+         row_number() OVER (PARTITION BY c.url, c.fetched_on, e.list, e.effect, e.kind, e.value ORDER BY e.day DESC) AS latest
+  FROM (SELECT DISTINCT url, fetched_on FROM captures) c JOIN url_keys u ON u.url = c.url
+  JOIN entries e ON e.kind = u.kind AND e.value = u.value AND DATE '2024-01-01' + e.day <= c.fetched_on),
+verdicts AS (
+  SELECT url, fetched_on, bool_or(effect = 'block') AS blocking, bool_or(effect = 'allow') AS allowed,
+         string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(listed_on) FILTER (effect = 'block') AS since
+  FROM states WHERE latest = 1 AND action = 'add' GROUP BY url, fetched_on)
+SELECT page_id, c.url, strftime(c.fetched_on, '%Y-%m-%d') AS fetched_on, coalesce(blocking, false) AND NOT coalesce(allowed, false) AS blocked,
+       coalesce(allowed, false) AS allowed, coalesce(lists, '') AS lists, strftime(since, '%Y-%m-%d') AS since
+FROM captures c LEFT JOIN verdicts v ON v.url = c.url AND v.fetched_on = c.fetched_on
+"""
