@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Three patterns (the base) give assigned values, access keys and hexadecimal keys. Other long tokens are
-scored by two first-order Markov models over characters: one learned from the values the base found, one from the tokens of
-the same texts that the base left alone. A token whose log-likelihood ratio for each character is high enough and that
-mixes letters with digits or cases is reported as ``markov``. Only DataFrame functions are used.
+Three patterns (the base) give assigned values, access keys and hexadecimal keys. Other long tokens that mix letters
+with digits or cases are scored by two first-order Markov models over characters: one learned from the values the base
+found, one from the tokens the base left alone that do not mix. A token whose mean log-likelihood ratio for a
+transition is high enough is reported as ``markov``. Only DataFrame functions are used.
 
 The models are learned from a bounded sample of documents (``train_documents``); every whole text is scanned.
 Places count code points, ends are exclusive.
@@ -40,6 +40,9 @@ ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,}"
 #: Least log-likelihood ratio of a token for each of its transitions, in nats.
 LEAST_RATIO = 0.7
 TRAIN_DOCUMENTS = 20_000
+SMOOTHING = 20.0
+#: One transition counts so many nats at most: a few unseen characters do not make a token random.
+MOST_EACH = 2.0
 
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
@@ -79,6 +82,11 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def mixed(token: Column) -> Column:
+    """Letters with digits, or cases that change several times: only such tokens can be reported."""
+    return (token.rlike("[0-9]") & token.rlike("[A-Za-z]")) | token.rlike("[a-z].*[A-Z].*[a-z].*[A-Z]")
+
+
 def transitions(tokens: Column) -> Column:
     """Array of the transitions of a token, each as one number; characters outside the alphabet are left out."""
     n = len(ALPHABET)
@@ -101,25 +109,35 @@ def learn(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> list[float]:
     texts = sample(docs.select(F.col("text")).filter(F.col("text").isNotNull()), limit)
     out = texts.select("text", base_spans(F.col("text")).alias("base"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    ordinary = F.filter(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0)), lambda t: ~mixed(t))
     tokens = F.concat(
         F.transform("base", lambda b: F.struct(F.lit(True).alias("random"), b["value"].alias("token"))),
-        F.transform(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0)), lambda t: F.struct(F.lit(False).alias("random"), t.alias("token"))),
+        F.transform(ordinary, lambda t: F.struct(F.lit(False).alias("random"), t.alias("token"))),
     )
     out = out.select(F.explode(tokens).alias("t")).select("t.random", "t.token")
     # equal tokens are added up first; the tokens of one kind then weigh as often as they occur
     out = out.groupBy("random", "token").agg(F.count("*").alias("n")).filter(F.length("token") > 1)
     cells = out.select("random", "n", F.explode(transitions(F.col("token"))).alias("cell")).groupBy("random", "cell").agg(F.sum("n").alias("n"))
     size = len(ALPHABET)
-    counts = {True: [1.0] * size * size, False: [1.0] * size * size}
+    counts = {kind: [0.0] * size * size for kind in (True, False)}
     for row in cells.collect():  # at most two for each pair of characters
         if 0 <= row.cell < size * size:
             counts[row.random][row.cell] += row.n
-    ratios = []
+    random, ordinary = (chances(counts[kind], size) for kind in (True, False))
+    # samples of random strings show some alphabets only; half of the model is the even distribution
+    ratios = (math.log(0.5 * r + 0.5 / size) - math.log(o) for r, o in zip(random, ordinary, strict=True))
+    return [min(MOST_EACH, max(-MOST_EACH, x)) for x in ratios]
+
+
+def chances(counts: list[float], size: int) -> list[float]:
+    """P(b | a) of a first-order model, smoothed by P(b): rare first characters fall back on it."""
+    total = sum(counts) + 0.5 * size
+    single = [(sum(counts[b::size]) + 0.5) / total for b in range(size)]
+    out = []
     for a in range(size):
-        rows = {k: counts[k][a * size : (a + 1) * size] for k in counts}
-        totals = {k: math.log(sum(v)) for k, v in rows.items()}
-        ratios += [math.log(r) - totals[True] - math.log(o) + totals[False] for r, o in zip(rows[True], rows[False], strict=True)]
-    return ratios
+        row = counts[a * size : (a + 1) * size]
+        out += [(n + SMOOTHING * p) / (sum(row) + SMOOTHING) for n, p in zip(row, single, strict=True)]
+    return out
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, limit: int = TRAIN_DOCUMENTS, least_ratio: float = LEAST_RATIO) -> DataFrame:
@@ -132,10 +150,9 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, limit: int = TRAIN_
 
     def random_looking(x: Column) -> Column:
         token = x["value"]
-        mixed = (token.rlike("[0-9]") & token.rlike("[A-Za-z]")) | (token.rlike("[a-z].*[A-Z].*[a-z].*[A-Z]"))
         ratio = F.aggregate(transitions(token), F.lit(0.0), lambda s, c: s + F.get(weights, c)) / (F.length(token) - 1)
         apart = ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-        return mixed & apart & (ratio >= least_ratio)
+        return mixed(token) & apart & (ratio >= least_ratio)
 
     found = F.filter("tokens", random_looking)
     return out.select("doc_id", F.sort_array(F.concat("base", found)).alias("spans"))
