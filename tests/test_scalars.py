@@ -8,6 +8,7 @@ from wardlake.functions import classify, identity
 from wardlake.functions.timing import between, on_day, parse_ts, since
 from wardlake.operators import geo
 from wardlake.operators import normalise as n
+from wardlake.sources.logs import parse_lines, raw_schema
 
 
 def one(spark, rows, schema, **cols):
@@ -73,6 +74,23 @@ def test_technique_in_every_metadata_shape(spark, rows, meta):
     assert rows(df) == [("T1190",)]
 
 
+@pytest.mark.parametrize(
+    "meta, tactic",
+    [
+        ('["mitre_technique_id T1572","mitre_tactic_id lateral-movement"]', "lateral-movement"),
+        ('{"mitre_technique_id":"T1572","mitre_tactic_id":"lateral-movement"}', "lateral-movement"),
+        ('[{"mitre_technique_id":"T1572"},{"mitre_tactic_id":"TA0008"}]', "Lateral Movement"),
+        ('{"mitre_technique_id":["T1190"],"mitre_tactic":["Discovery"]}', "Discovery"),
+        ('["mitre_tactic TA0099","mitre_technique_id T1190"]', "Initial Access"),
+        ('{"mitre_tactic_id":"TA0010"}', "Exfiltration"),
+    ],
+)
+def test_tactic_in_every_metadata_shape(spark, rows, meta, tactic):
+    line = '{"event_type":"alert","timestamp":"2024-01-01T00:00:00Z","src_ip":"1.2.3.4","alert":{"signature":"s","metadata":%s}}' % meta
+    raw = parse_lines(spark.createDataFrame([(line,)], "value string"), raw_schema("suricata"))
+    assert rows(n.ids_normalise(raw, "salt"), "mitre_tactic") == [(tactic,)]
+
+
 def test_metadata_without_technique(spark, rows):
     df = one(spark, [("[]",), ("null",), (None,), ("{}",), ("oops",)], "m string", t=n.mitre_extract("m", "mitre_technique_id"))
     assert rows(df) == [("",)] * 5

@@ -90,14 +90,15 @@ def test_byte_rules(spark):
 
 def test_scan_rules_and_beacons(spark, rows):
     df = spark.createDataFrame(
-        [("a", 2323, "S0", "S", "tcp", 50, 1), ("b", 81, "S0", "", "tcp", 900, 3), ("c", 502, "SF", "S", "modbus", 0, 0)],
-        "uid string, dest_port int, conn_state string, history string, protocol string, orig_bytes long, orig_pkts long",
+        [("a", 2323, "S0", "S", "tcp", 50, 1, True), ("b", 81, "S0", "", "tcp", 900, 3, True), ("c", 502, "SF", "S", "modbus", 0, 0, True)],
+        "uid string, dest_port int, conn_state string, history string, protocol string, orig_bytes long, orig_pkts long, local_orig boolean",
     )
     hits = {}
     for uid, sid in rows(s.scan_hits(df), "uid", "sid"):
         hits.setdefault(uid, set()).add(sid)
     assert hits == {"a": {2000003, 2000025, 1000025}, "b": {2000025, 1000020, 1000025, 1000026}, "c": {2000037}}
     assert rows(s.beacon_hits(df), "uid", "sid") == [("a", 1000027)]
+    assert rows(s.beacon_hits(df.withColumn("local_orig", F.lit(False)))) == []
 
 
 def test_own_rates(spark, rows):

@@ -523,12 +523,12 @@ add("q42_stage_paths", lambda v: a.stage_paths(a.staged(v.events(), v.alerts(),
 
 
 def _heat(v):
-    return a.heat_map(v.alerts(), ["Credential Access", "Initial Access", "Discovery", "Command and Control"])
+    return a.heat_map(v.alerts(), ["Credential Access", "Initial Access"])
 
 
 add("q43_heat_map", _heat, q("SELECT mitre_technique_id, " + ", ".join(
-    f"count(*) FILTER (mitre_tactic = '{t}') AS \"{t}\""
-    for t in ("Credential Access", "Initial Access", "Discovery", "Command and Control")) +
+    f"count(*) FILTER (mitre_tactic = '{t}') AS \"{t}\"" for t in ("Credential Access", "Initial Access")) +
+    ", count(*) FILTER (mitre_tactic NOT IN ('Credential Access', 'Initial Access')) AS other"
     " FROM ids_alerts WHERE mitre_technique_id <> '' GROUP BY 1", IA))
 add("q44_country_flows", lambda v: a.country_flows(v.events()), q(
     "SELECT source_ip_country, dest_port, protocol, count(*) AS events FROM honeypot_events GROUP BY 1, 2, 3", HE))

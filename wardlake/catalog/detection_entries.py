@@ -403,7 +403,7 @@ add("r8_suppress_sources", lambda v: s.suppress_sources(
     "(SELECT ip_hash FROM test_sources))", IA, "test_sources"))
 add("r9_beacon_1d", lambda v: s.rate(s.beacon_hits(v.conns()), 3, 86400, "threshold"), rated(
     3, 86400, "threshold", "SELECT 1000027 AS sid, source_ip_hash, timestamp FROM network_connections "
-    "WHERE orig_pkts > 0 AND orig_bytes / orig_pkts < 100", NC))
+    "WHERE local_orig AND orig_pkts > 0 AND orig_bytes / orig_pkts < 100", NC))
 add("r10_alert_rows", lambda v: s.to_alerts(s.scan_hits(v.conns()).select("uid", "sid", "source_ip_hash", "timestamp")).select(
     "uid", "signature_id", "alert_signature", "alert_category", "revision", "mitre_technique_id", "mitre_tactic"), q(
     f"""SELECT uid, sid::BIGINT AS signature_id, m AS alert_signature, c AS alert_category, 1 AS revision,

@@ -185,7 +185,8 @@ add("e17_e18_ids_alerts", lambda v: n.ids_normalise(parsed(v, "suricata"), SALT,
     alert_severity="CAST(1 + event_id % 4 AS INTEGER)", signature_id=f"CAST(2000000 + {K} AS BIGINT)", revision="1",
     payload=f"CASE WHEN event_id % 2 = 0 THEN 'p' || {K} ELSE '' END",
     mitre_technique_id=f"CASE WHEN event_id % 5 = 4 THEN '' ELSE {TECH} END",
-    mitre_tactic=f"CASE event_id % 5 WHEN 4 THEN '' WHEN 2 THEN 'Named' ELSE {TACTIC} END"))
+    mitre_tactic=f"CASE event_id % 5 WHEN 4 THEN '' WHEN 2 THEN 'Named' WHEN 0 THEN 'Exfiltration' WHEN 3 THEN 'Impact' "
+    f"ELSE CASE WHEN {K} % 2 = 0 THEN 'lateral-movement' ELSE {TACTIC} END END"))
 TECHNIQUES = ["T1595.001", "T1078", "T1190", "T1059.004", "T1053", "T1056", "T1110.001", "T1557", "T1046", "T1082", "T1083", "T1021",
               "T1210", "T1074", "T1071", "T1105", "T1498", "T1584.005", "T0802", "T0846", "T0836", "T0831", "T0815", "T0855", "T1", ""]
 add("e19_tactic_names", lambda v: v.raw("events").selectExpr(

@@ -108,10 +108,10 @@ TECH = _pick(["T1190", "T1110.001", "T0855", "T9999", "T1046"], f"{K} % 5")
 
 
 def suricata(v: Views) -> DataFrame:
-    meta = (f"CASE event_id % 5 WHEN 0 THEN concat('[\"mitre_technique_id ', {TECH}, '\",\"mitre_tactic_id TA0001\"]') "
-            f"WHEN 1 THEN concat('{{\"mitre_technique_id\":\"', {TECH}, '\"}}') "
+    meta = (f"CASE event_id % 5 WHEN 0 THEN concat('[\"mitre_technique_id ', {TECH}, '\",\"mitre_tactic_id TA0010\"]') "
+            f"WHEN 1 THEN concat('{{\"mitre_technique_id\":\"', {TECH}, '\"', CASE WHEN {K} % 2 = 0 THEN ',\"mitre_tactic_id\":\"lateral-movement\"' ELSE '' END, '}}') "
             f"WHEN 2 THEN concat('[{{\"mitre_technique_id\":\"', {TECH}, '\"}},{{\"mitre_tactic\":\"Named\"}}]') "
-            f"WHEN 3 THEN concat('{{\"mitre_technique_id\":[\"', {TECH}, '\"]}}') ELSE 'null' END")
+            f"WHEN 3 THEN concat('{{\"mitre_technique_id\":[\"', {TECH}, '\"],\"mitre_tactic_id\":[\"TA0040\"]}}') ELSE 'null' END")
     alert = (f"concat('\"alert\":{{\"signature\":\"SIG\",\"category\":\"cat\",\"severity\":', 1 + event_id % 4, ',\"signature_id\":', "
              f"2000000 + {K}, ',\"rev\":1,\"metadata\":', {meta}, '}}')")
     return _json(v, {

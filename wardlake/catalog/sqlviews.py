@@ -53,7 +53,7 @@ VIEWS = {
                {DEST} AS dest_ip, {PORT} AS dest_port, {PROTOCOL} AS protocol, {PROTOCOL} AS service, value AS duration,
                {K} * 60 AS orig_bytes, {K} * 3 AS orig_pkts,
                {pick(['SF', 'S0', 'REJ', 'RSTO', 'RSTR'], 'event_id % 5')} AS conn_state,
-               {pick(['ShADadFf', 'S', '', 'ShR'], 'event_id % 4')} AS history
+               {pick(['ShADadFf', 'S', '', 'ShR'], 'event_id % 4')} AS history, event_id % 3 <> 1 AS local_orig
         FROM events""",
     "http_requests": f"""
         SELECT TIMESTAMP '2024-01-01' + to_minutes(page_id) AS timestamp, {h('page_id % 150')} AS source_ip_hash,

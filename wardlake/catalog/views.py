@@ -103,7 +103,7 @@ class Views:
             f"{PROTOCOL} AS service", "value AS duration",
             f"CAST({K} * 60 AS BIGINT) AS orig_bytes", f"CAST({K} * 3 AS BIGINT) AS orig_pkts",
             _pick(["SF", "S0", "REJ", "RSTO", "RSTR"], "event_id % 5") + " AS conn_state",
-            _pick(["ShADadFf", "S", "", "ShR"], "event_id % 4") + " AS history",
+            _pick(["ShADadFf", "S", "", "ShR"], "event_id % 4") + " AS history", "event_id % 3 <> 1 AS local_orig",
         )
 
     def requests(self) -> DataFrame:

@@ -125,3 +125,21 @@ PROTOCOL_SIDS = {
     "Modbus": ((2000019, 2000020), 0.80),
     "SNMP": ((1000013,), 0.80),
 }
+
+# Tactics by number.
+TACTIC_NUMBERS = {
+    "TA0043": "Reconnaissance",
+    "TA0042": "Resource Development",
+    "TA0001": "Initial Access",
+    "TA0002": "Execution",
+    "TA0003": "Persistence",
+    "TA0004": "Privilege Escalation",
+    "TA0005": "Defense Evasion",
+    "TA0006": "Credential Access",
+    "TA0007": "Discovery",
+    "TA0008": "Lateral Movement",
+    "TA0009": "Collection",
+    "TA0010": "Exfiltration",
+    "TA0011": "Command and Control",
+    "TA0040": "Impact",
+}

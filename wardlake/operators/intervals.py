@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timing import epoch, since
+from ..functions.timing import as_datetime, between, epoch, since
 
 
 def _bucket(sec: Column, width: int) -> Column:
@@ -56,7 +58,9 @@ def correlate(
     recent = since(events, as_of, days=days).select(
         F.col("timestamp").alias("honeypot_time"), "event_id", "source_ip_hash", "honeypot_type", "dest_port", "event_type"
     )
-    marks = alerts.select(
+    # an alert that can pair lies in the events' span, widened on both sides
+    end, reach = as_datetime(as_of), timedelta(seconds=seconds)
+    marks = between(alerts, end - timedelta(days=days) - reach, end + reach).select(
         F.col("timestamp").alias("ids_time"), "alert_id", "source_ip_hash", "alert_signature", "mitre_technique_id"
     )
     order = [F.desc("honeypot_time"), "source_ip_hash", "event_id"]

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import classify
+from ..functions import classify, lists
+from ..functions.classify import lookup
 from ..functions.identity import anon_ip
 from ..functions.timing import parse_ts
 from ..schemas import TABLES
@@ -200,10 +201,9 @@ def mitre_extract(metadata: Column | str, key: str) -> Column:
         return F.when(raw.startswith("["), first).otherwise(raw)
 
     def of_item(item):
-        words = F.split(F.trim(item), r"\s+")
-        return F.when(F.ltrim(item).startswith("{"), of_object(item)).when(
-            item.contains(key), F.element_at(words, -1)
-        )
+        word = F.split(F.trim(item), r"\s+")
+        rest = F.trim(F.regexp_replace(F.trim(item), r"^\S+", ""))
+        return F.when(F.ltrim(item).startswith("{"), of_object(item)).when(F.element_at(word, 1) == key, rest)
 
     found = F.filter(F.transform(items, of_item), lambda v: v.isNotNull())
     listed = F.try_element_at(found, F.lit(-1))
@@ -213,13 +213,15 @@ def mitre_extract(metadata: Column | str, key: str) -> Column:
 def ids_normalise(raw: DataFrame, salt: str, ranges: DataFrame | None = None) -> DataFrame:
     """Alert rows of an event log, flattened to ``ids_alerts``.
 
-    The tactic is the one named in the metadata, else derived from the technique.
+    The tactic is the one named in the metadata (``mitre_tactic_id``, else ``mitre_tactic``; numbers of
+    tactics become their names), else it is derived from the technique.
     """
     df = raw.filter(F.col("event_type") == "alert").withColumn("timestamp", parse_ts("timestamp"))
     df = _identify(df, "src_ip", salt, ranges)
     technique = mitre_extract("alert.metadata", "mitre_technique_id")
-    named = mitre_extract("alert.metadata", "mitre_tactic")
-    named = F.when(named.rlike("^TA[0-9]"), "").otherwise(named)
+    named = [mitre_extract("alert.metadata", key) for key in ("mitre_tactic_id", "mitre_tactic")]
+    named = F.when(named[0] != "", named[0]).otherwise(named[1])
+    named = lookup(named, lists.TACTIC_NUMBERS, F.when(named.rlike("^TA[0-9]"), "").otherwise(named))
     df = df.withColumns({"_technique": technique, "_named": named})
     return conform(
         df.select(

@@ -182,9 +182,12 @@ def scan_hits(conns: DataFrame, rules=RULES, as_list: bool = False) -> DataFrame
 
 
 def beacon_hits(conns: DataFrame, max_bytes: int = 100) -> DataFrame:
-    """Connections whose mean packet from the originator is smaller than ``max_bytes``."""
+    """Outbound connections whose mean packet from the originator is smaller than ``max_bytes``.
+
+    Outbound: the originator is on the home side (``local_orig``); an unknown side is not outbound.
+    """
     mean = F.col("orig_bytes") / F.when(F.col("orig_pkts") > 0, F.col("orig_pkts"))
-    return conns.filter(mean < max_bytes).withColumn("sid", F.lit(1000027))
+    return conns.filter(F.col("local_orig") & (mean < max_bytes)).withColumn("sid", F.lit(1000027))
 
 
 # --- rates

@@ -781,11 +781,13 @@ def stage_paths(stages):
 
 
 def heat_map(alerts, tactics: list | None = None):
-    """Techniques × tactics. With ``tactics`` given, no extra pass looks for them."""
+    """Techniques × tactics; ``other`` counts the alerts of every tactic that is no column, so none is lost."""
     named = alerts.filter(F.col("mitre_technique_id") != "")
     columns = tactics or sorted(set(lists.TACTICS.values()) | {"Unknown"})
-    counts = named.groupBy("mitre_technique_id").pivot("mitre_tactic", columns).agg(n_rows())
-    return counts.na.fill(0)
+    tactic = F.col("mitre_tactic")
+    column = F.when(tactic.isin(columns), tactic).otherwise("other")
+    counts = named.withColumn("_column", column).groupBy("mitre_technique_id").pivot("_column", [*columns, "other"])
+    return counts.agg(n_rows()).na.fill(0)
 
 
 def country_flows(events):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,14 @@ def _windows(df: DataFrame, scenarios: list, *extra) -> DataFrame:
     Scenarios are a hand-written list of test runs, so they become constants of one
     projection; a row meets each of them in place instead of through a join.
     """
-    inside = [
-        F.when(F.col("timestamp").between(stamp(as_datetime(lo)), stamp(as_datetime(hi))), F.lit(name))
-        for name, lo, hi in scenarios
-    ]
+    spans = [(name, as_datetime(lo), as_datetime(hi)) for name, lo, hi in scenarios]
+    held = [F.col("timestamp").between(stamp(lo), stamp(hi)) for _, lo, hi in spans]
+    inside = [F.when(cond, F.lit(name)) for cond, (name, _, _) in zip(held, spans, strict=True)]
+    # stated as a filter as well: a condition inside the array would not reach the scan
+    df = df.filter(reduce(or_, held, F.lit(False)))
+    if "month" in df.columns:
+        months = [F.col("month").between(lo.strftime("%Y-%m"), hi.strftime("%Y-%m")) for _, lo, hi in spans]
+        df = df.filter(reduce(or_, months, F.lit(False)))
     return df.select(F.explode(F.array_compact(F.array(*inside))).alias("scenario"), *extra)
 
 
