@@ -147,23 +147,40 @@ class Index:
         total = np.concatenate(([0.0], np.cumsum(self.most[ids])))
         starts = np.arange(0, max(1, len(words) - ENTRY), ENTRY)
         ends = np.minimum(starts + 2 * ENTRY, len(words))
-        best: dict[int, tuple] = {}
+        hits: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
         for k in np.flatnonzero(total[ends] - total[starts] >= LEAST_SHARE - 1e-6):
             start, end = int(starts[k]), int(ends[k])
             terms = np.unique(ids[start:end])
             terms = terms[terms < none]
             if self.most[terms].sum() < LEAST_SHARE - 1e-6:
                 continue
+            shares: dict[int, float] = {}
             for entry, share in self.search(terms.tolist(), LEAST_SHARE):
-                item = self.item_of[entry]
-                item_id, question, answer = self.items[item]
-                reach = len(question) + len(answer)
-                region = words[max(0, start - reach) : end + reach]
-                there = shingle_set(region)
-                q, a = overlap(question, region, there), overlap(answer, region, there)
-                if q >= LEAST_OVERLAP and a >= LEAST_OVERLAP and (item not in best or share > best[item][1]):
-                    best[item] = (item_id, min(1.0, share), q, a, start)
-        yield from best.values()
+                shares[self.item_of[entry]] = max(share, shares.get(self.item_of[entry], 0.0))
+            for item, share in shares.items():
+                hits[item].append((start, end, min(1.0, share)))
+        for item, places in hits.items():
+            yield from self._verified(item, places, words)
+
+    def _verified(self, item: int, places: list[tuple[int, int, float]], words: list[str]) -> Iterator[tuple]:
+        """The best-covered region of a document in which the item's question and answer stand, if there is one."""
+        item_id, question, answer = self.items[item]
+        reach = len(question) + len(answer)
+        regions: list[list] = []  # of passages so near to each other that the item could span them: start, end, share, first
+        for start, end, share in places:
+            if regions and start - reach <= regions[-1][1]:
+                regions[-1][1:3] = end + reach, max(share, regions[-1][2])
+            else:
+                regions.append([max(0, start - reach), end + reach, share, start])
+        best = None
+        for start, end, share, first in regions:
+            region = words[start:end]
+            there = shingle_set(region)
+            q, a = overlap(question, region, there), overlap(answer, region, there)
+            if q >= LEAST_OVERLAP and a >= LEAST_OVERLAP and (best is None or share > best[1]):
+                best = (item_id, share, q, a, first)
+        if best:
+            yield best
 
 
 def contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> DataFrame:
