@@ -6,7 +6,8 @@
    pair goes if the posterior probability that its similarity reaches the threshold is below ``MISS``.
 3. Survivors are confirmed on full sets. First a spanning forest of each bucket's survivors by estimated similarity, then, with
    the components this gives, every survivor between different components. A pair inside one component cannot change
-   the result and is not confirmed, which saves nearly all work in a group of copies.
+   the result and is not confirmed, which saves nearly all work in a group of copies. The second time the sets travel to the
+   buckets, one row for each member and not for each pair, and only links come out.
 
 A bucket over ``BLOCK`` classes is cut into blocks, and pairs of blocks go to different tasks; no bucket is capped.
 
@@ -135,7 +136,8 @@ def band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = np.full((len(batch), BANDS), 0, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in range(ROWS):
             keys = _mix(keys * _BAND_FACTORS[r] + signatures[:, :, r])
-        yield pd.DataFrame({"key": keys.reshape(-1).astype(np.int64), "class": np.repeat(batch["class"].to_numpy(), BANDS)})
+        names, bands = np.repeat(batch["class"].to_numpy(), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(batch))
+        yield pd.DataFrame({"band": bands, "key": keys.reshape(-1).astype(np.int64), "class": names})
 
 
 def surviving(signatures: np.ndarray, a: np.ndarray, b: np.ndarray, needed: tuple[int, ...]) -> tuple[np.ndarray, ...]:
@@ -190,51 +192,114 @@ def unit_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def compare(all_between: bool):
-    """Function over rows sorted by unit that yields survivors: a forest of each unit, or all between components."""
+def by_unit(one):
+    """Function over rows sorted by unit: ``one`` gets frames of whole units and yields frames."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = frame.iloc[-1] if len(frame) else None
-            if last is None:
+            if not len(frame):
                 continue
+            last = frame.iloc[-1]
             same = (frame["key"] == last["key"]) & (frame["i"] == last["i"]) & (frame["j"] == last["j"])
             rest = frame[same].reset_index(drop=True)  # the last unit may go on
             yield from one(frame[~same].reset_index(drop=True))
         if rest is not None:
             yield from one(rest)
 
+    return run
+
+
+def _survivors(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Surviving row pairs of the units of a frame, those between different roots if roots are known."""
+    signatures = np.frombuffer(b"".join(frame["signature"]), dtype=np.uint16).reshape(-1, HASHES)
+    a, b = unit_pairs(frame)
+    if "root" in frame:
+        root = pd.factorize(frame["root"])[0]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        # of all bands that two classes share, the first one decides on them
+        keep = np.zeros(len(a), dtype=bool)
+        for at in range(0, len(a), 100_000):
+            part = slice(at, at + 100_000)
+            same = (signatures[a[part]] == signatures[b[part]]).reshape(-1, BANDS, ROWS).all(axis=2)
+            keep[part] = same.argmax(axis=1) == frame["band"].to_numpy()[a[part]]
+        a, b = a[keep], b[keep]
+    return surviving(signatures, a, b, least_matches())
+
+
+def _named(frame: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    names = frame["class"].to_numpy()
+    return pd.DataFrame([(x, y) if x < y else (y, x) for x, y in zip(names[a], names[b], strict=True)], columns=["a", "b"])
+
+
+def _forest_pairs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    if len(frame) > 1:
+        a, b, matches = _survivors(frame)
+        pick = forest(a, b, matches)
+        yield _named(frame, a[pick], b[pick])
+
+
+def _open_members(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    if len(frame) > 1:
+        a, b, _ = _survivors(frame)
+        yield frame.iloc[np.unique(np.concatenate((a, b)))][list(MEMBER)]
+
+
+def _links(threshold: int):
     def one(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        frame = frame.drop_duplicates(list(MEMBER), ignore_index=True)
         if len(frame) < 2:
             return
-        signatures = np.frombuffer(b"".join(frame["signature"]), dtype=np.uint16).reshape(-1, HASHES)
-        a, b = unit_pairs(frame)
-        if all_between:
-            root = pd.factorize(frame["root"])[0]
-            apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
-        a, b, matches = surviving(signatures, a, b, least_matches())
-        if not len(a):
-            return
-        if not all_between:
-            pick = forest(a, b, matches)
-            a, b = a[pick], b[pick]
-        names = frame["class"].to_numpy()
-        yield pd.DataFrame([(x, y) if x < y else (y, x) for x, y in zip(names[a], names[b], strict=True)], columns=["a", "b"])
+        a, b, matches = _survivors(frame)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["hashes"]]
+        roots = pd.factorize(frame["root"])[0].tolist()
+        up = list(range(len(frame)))
 
-    return run
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        found = []
+        for k in np.argsort(-matches, kind="stable").tolist():
+            x, y = top(roots[a[k]]), top(roots[b[k]])
+            if x != y and _similar(sets[a[k]], sets[b[k]], threshold):
+                up[x] = y
+                found.append(k)
+        yield _named(frame, a[found], b[found])
+
+    return one
+
+
+def _similar(one: np.ndarray, two: np.ndarray, threshold: int) -> bool:
+    if 100 * min(len(one), len(two)) < threshold * max(len(one), len(two)):
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= threshold * (len(one) + len(two) - both)
+
+
+MEMBER = ("band", "key", "i", "j", "block", "class")
+_MEMBER_TYPES = "band int, key long, i int, j int, block int, class binary"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
+
+
+def forest_pairs(units: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the survivors of each unit, best estimates first."""
+    return _dealt(units.join(signatures, "class")).mapInPandas(by_unit(_forest_pairs), "a binary, b binary").distinct()
 
 
-def candidates(units: DataFrame, signatures: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(a, b) class pairs that pass the Bayesian comparison: a forest, or with ``roots`` all between components."""
-    rows = units.join(signatures, "class")
-    if roots is not None:
-        rows = rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-        rows = rows.withColumn("root", F.coalesce("root", "class"))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
-    return rows.mapInPandas(compare(roots is not None), "a binary, b binary").distinct()
+def links_between(units: DataFrame, signatures: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): confirmed links that join all components with a link between them."""
+    roots = roots.select(F.col("node").alias("class"), "root")
+    rooted = lambda rows: rows.join(signatures, "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    members = cut(_dealt(rooted(units)).mapInPandas(by_unit(_open_members), _MEMBER_TYPES), "open")
+    rows = _dealt(rooted(members).join(sets, "class"))
+    return rows.mapInPandas(by_unit(_links(threshold)), "a binary, b binary").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -242,24 +307,20 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["hashes_a"], batch["hashes_b"], strict=True):
-                one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(one) + len(two) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            sets = ([np.frombuffer(x, dtype=np.uint64) for x in batch[c]] for c in ("hashes_a", "hashes_b"))
+            yield batch.loc[[_similar(x, y, threshold) for x, y in zip(*sets, strict=True)], ["a", "b"]]
 
     side = lambda name: sets.select(F.col("class").alias(name), F.col("hashes").alias(f"hashes_{name}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(check, "a binary, b binary").distinct()
 
 
 def units_of(bands: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, i, j, block, class): the comparisons of each bucket, large buckets by pairs of blocks."""
+    """(band, key, i, j, block, class): the comparisons of each bucket, large buckets by pairs of blocks."""
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = bands.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class")
+    return rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class")
 
 
 def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -272,7 +333,7 @@ def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     classes = read.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = cut(classes, "classes")
     signatures = classes.select("class", "signature")
-    bands = cut(signatures.mapInPandas(band_rows, "key long, class binary"), "bands")
+    bands = cut(signatures.mapInPandas(band_rows, "band int, key long, class binary"), "bands")
     units = cut(units_of(bands), "units")
 
     # full sets only of classes that share a bucket, read again from their texts
@@ -285,11 +346,9 @@ def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pd.DataFrame([(hashlib.md5(s.tobytes()).digest(), s.tobytes()) for s in found], columns=["class", "hashes"])
 
     sets = cut(texts.mapInPandas(full, "class binary, hashes binary"), "sets")
-    first = cut(candidates(units, signatures), "pairs")
-    sure = cut(confirm(first, sets), "links")
+    sure = cut(confirm(cut(forest_pairs(units, signatures), "pairs"), sets), "links")
     roots = components(sure)
-    second = candidates(units, signatures, roots).join(first, ["a", "b"], "left_anti")
-    more = cut(confirm(cut(second, "pairs"), sets), "links")
+    more = cut(links_between(units, signatures, sets, roots), "links")
     roots = components(sure.union(more)) if not more.isEmpty() else roots
 
     least = roots.join(classes.select(F.col("class").alias("node"), "rep"), "node")
