@@ -1,10 +1,12 @@
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 import loops
 from wardlake.operators import normalise as n
 from wardlake.sources import logs, tables
+from wardlake.sources.tail import TailReader
 from wardlake.streaming import ingest, stateful
 
 SALT = "salt"
@@ -74,10 +76,10 @@ def test_fan_out_of_one_log(spark, rows, tmp_path):
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     write(tmp_path / "in" / "cowrie.json", [login(1, True), login(2, True)])
-    raw = logs.read_json_log(spark, str(tmp_path / "in"), "cowrie")
-    run = ingest.write_batch(ingest.TARGETS["cowrie"], str(tmp_path / "t"), None, n.cowrie_normalise, SALT)
-    run(raw, 0)
-    run(raw, 0)
+    lines = spark.read.text(str(tmp_path / "in")).selectExpr("'f' AS file", "0L AS offset", "value")
+    run = ingest.write_batch("cowrie", str(tmp_path / "t"), SALT)
+    run(lines, 0)
+    run(lines, 0)
     assert ingest.read_ingested(spark, "honeypot_events", str(tmp_path / "t")).count() == 2
 
 
@@ -154,3 +156,67 @@ def test_stream_dedupe_keeps_one_per_identifier(spark, rows, tmp_path):
     df.write.parquet(path)
     out = drain(spark, stateful.stream_dedupe(spark.readStream.schema(df.schema).parquet(path)), tmp_path)
     assert rows(out, "identifier") == [("s0",), ("s1",), ("s2",)]
+
+
+def test_a_growing_and_rotated_log_loses_no_line(spark, rows, tmp_path):
+    folder, root, checkpoint = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "state")
+    folder.mkdir()
+    log = folder / "cowrie.json"
+
+    def sessions():
+        ingest.ingest(spark, "cowrie", str(folder), root, checkpoint, SALT, pattern="cowrie.json*").awaitTermination()
+        return [r[0] for r in rows(tables.read_table(spark, "honeypot_events", root), "session_id")]
+
+    text = lambda i: json.dumps(login(i, True)) + "\n"
+    log.write_text(text(1))
+    assert sessions() == ["s1"]
+    with log.open("a") as f:
+        f.write(text(2) + text(3) + text(4)[:20])
+    assert sessions() == ["s1", "s2", "s3"]  # the unfinished line waits
+    with log.open("a") as f:
+        f.write(text(4)[20:] + text(5))
+    log.rename(folder / "cowrie.json.1")
+    log.write_text(text(6))
+    (folder / "cowrie.json.2.gz").write_bytes(b"x")
+    assert sessions() == ["s1", "s2", "s3", "s4", "s5", "s6"]
+    assert sessions() == ["s1", "s2", "s3", "s4", "s5", "s6"]
+
+
+def test_ranges_of_a_log_hold_every_line_once(tmp_path):
+    lines = ["x" * (i % 37) + str(i) for i in range(500)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\nunfinished")
+    for size in (7, 64, 1000, 1 << 20):
+        reader = TailReader({"path": str(tmp_path), "rangebytes": size})
+        end = reader.latestOffset()
+        got = [v for p in reader.partitions(reader.initialOffset(), end) for b in reader.read(p) for v in b.column("value").to_pylist()]
+        assert got == lines
+        assert reader.partitions(end, end) == []
+
+
+def test_real_events_of_one_second_stay_and_redelivered_lines_go(spark, rows):
+    same = [("s", datetime(2024, 1, 1), "command", f"cmd {i}") for i in range(3)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(same)] + [(*same[0], 0)], "event_id string, timestamp timestamp, event_type string, raw string, at int")
+    lined = df.withColumn("line_id", logs.line_id(F.lit("f"), F.col("at"), F.col("raw"))).drop("at")
+    assert rows(ingest.batch_without_repeats(lined), "raw") == [("cmd 0",), ("cmd 1",), ("cmd 2",)]
+
+
+def test_every_line_is_accepted_or_rejected(spark, rows):
+    good = json.dumps(login(1, True))
+    lines = [good, "", "oops", "{}", '{"eventid":"x","timestamp":"never"}', good]
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "file string, offset long, value string")
+    kept, bad = logs.split_lines(df, "cowrie")
+    assert kept.count() == 2
+    assert rows(bad, "offset", "reason") == [(1, "empty"), (2, "unreadable"), (3, "unreadable"), (4, "time")]
+
+
+def test_upkeep_of_one_layout(spark, rows, tmp_path):
+    root = str(tmp_path)
+    at = lambda *t: spark.createDataFrame([(datetime(*d), "cowrie") for d in t], "timestamp timestamp, honeypot_type string")
+    tables.append_table(at((2023, 1, 5), (2024, 1, 5)), "honeypot_events", root)
+    tables.write_rows(tables.with_month(n.conform(at((2024, 1, 6)), "honeypot_events"), "honeypot_events"), "honeypot_events", root, "b-1")
+    count = lambda: tables.read_table(spark, "honeypot_events", root).count()
+    assert count() == 3
+    tables.compact(spark, "honeypot_events", root, "2024-01")
+    assert count() == 3 and len(list((tmp_path / "honeypot_events" / "month=2024-01").iterdir())) == 1
+    assert tables.expire(spark, "honeypot_events", root, "2024-02-01") == ["2023-01"]
+    assert count() == 2

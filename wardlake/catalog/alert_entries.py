@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import normalise as n
 from ..plans import alerts as al
 from ..plans import evaluation as ev
 from ..session import scratch_path
+from ..sources import tables
+from ..sources.logs import line_id
 from ..streaming import ingest, rollup, stateful
 from . import rawlogs
-from .ingest_entries import COWRIE_SQL, EVENT_COLS
+from .ingest_entries import CONN_SQL, COWRIE_SQL, EVENT_COLS, HTTP_SQL, on_ids
 from .registry import add, chain_sql, fire_sql, window
 from .sqlviews import q
 from .views import AS_OF, SALT, SCENARIOS
@@ -202,6 +205,52 @@ def _ingested(v):
 add("s1_stream_ingest", _ingested, COWRIE_SQL)
 
 
+def _tailed(v, kind, lines, table):
+    """A network log tailed into its table."""
+    source = rawlogs.write_lines(lines, "tail-net")
+    root, checkpoint = scratch_path(v.spark, "tables"), scratch_path(v.spark, "tail-state")
+    ingest.ingest(v.spark, kind, source, root, checkpoint, SALT).awaitTermination()
+    return tables.read_table(v.spark, table, root)
+
+
+add("s3_stream_conn", lambda v: _tailed(v, "zeek_conn", rawlogs.zeek_conn(v), "network_connections").select(*CONN_SQL), on_ids("true", **CONN_SQL))
+add("s3_stream_http", lambda v: _tailed(v, "zeek_http", rawlogs.zeek_http(v), "http_requests").select(*HTTP_SQL), on_ids("true", **HTTP_SQL))
+
+
+def _rejects(v):
+    """Good lines and, for every third event, one that cannot be read; accepted and rejected add up."""
+    junk = v.base().filter("event_id % 3 = 0").selectExpr(
+        "CASE event_id % 9 WHEN 0 THEN concat('not json ', event_id) WHEN 3 THEN ' ' ELSE "
+        "concat('{\"eventid\":\"x', event_id, '\",\"timestamp\":\"soon\"}') END AS value")
+    source = rawlogs.write_lines(rawlogs.cowrie(v).unionByName(junk), "tail-junk")
+    root, checkpoint = scratch_path(v.spark, "tables"), scratch_path(v.spark, "tail-state")
+    ingest.ingest(v.spark, "cowrie", source, root, checkpoint, SALT).awaitTermination()
+    bad = ingest.read_rejected(v.spark, root).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    return bad.unionByName(tables.read_table(v.spark, HE, root).agg(F.lit("accepted").alias("reason"), F.count(F.lit(1)).alias("rows")))
+
+
+add("s1_rejects", _rejects, """SELECT CASE event_id % 9 WHEN 0 THEN 'unreadable' WHEN 3 THEN 'empty' ELSE 'time' END AS reason, count(*) AS rows
+    FROM events WHERE event_id % 3 = 0 GROUP BY 1 UNION ALL SELECT 'accepted', count(*) FROM events""")
+
+
+def _upkeep(v):
+    """Half of the rows appended, half ingested as a batch that is retried; one month compacted, old months expired."""
+    root = scratch_path(v.spark, "upkeep")
+    part = lambda k: v.events().filter(F.col("event_id") % 2 == k)
+    old = v.events().withColumn("timestamp", F.add_months("timestamp", -24).cast("timestamp"))
+    tables.append_table(part(0), HE, root)
+    tables.append_table(old, HE, root)
+    for _ in range(2):
+        tables.write_rows(tables.with_month(n.conform(part(1), HE), HE), HE, root, "cowrie-000000000000")
+    tables.compact(v.spark, HE, root, "2024-01", 4)
+    tables.expire(v.spark, HE, root, AS_OF)
+    return tables.read_table(v.spark, HE, root).groupBy("month", "honeypot_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+add("s9_upkeep", _upkeep, q(
+    "SELECT strftime(timestamp, '%Y-%m') AS month, honeypot_type, count(*) AS rows FROM honeypot_events GROUP BY ALL", HE))
+
+
 def _stream_scan(v):
     hits = v.dense_conns().filter(F.col("dest_port").isin(23, 2323) & (F.col("duration") < 10)).select("timestamp", "source_ip_hash")
     alarms = stateful.stream_count_alarm(_replay(v, hits, "scan"), "source_ip_hash", 5, 300)
@@ -225,15 +274,20 @@ add("l7_stream_states", _stream_states, q(
     f"AND minute + INTERVAL 1 minute <= TIMESTAMP '{HI}' - INTERVAL 2 minute", HE, extra=f"{SERIES},\n{GRID},\n{STATES}"))
 
 
+def _lined(v):
+    """Events with the identity of the line they came from."""
+    return v.events().withColumn("line_id", line_id(F.lit("events.log"), F.col("event_id"), F.col("raw_data")))
+
+
 def _repeated(v):
     """A redelivered stream: each row twice, one copy dropped."""
-    rows = v.events()
+    rows = _lined(v)
     kept = ingest.without_repeats(_replay(v, rows.unionByName(rows), "repeat"))
     return _drain(v, kept.select("event_id", "event_type", "timestamp"), "repeat")
 
 
 add("q45_stream_repeats", _repeated, q(
     "SELECT event_id, event_type, CAST(timestamp AS VARCHAR) AS timestamp FROM honeypot_events", HE))
-add("q45_batch_repeats", lambda v: ingest.batch_without_repeats(v.events().unionByName(v.events())).select(
+add("q45_batch_repeats", lambda v: ingest.batch_without_repeats(_lined(v).unionByName(_lined(v))).select(
     "event_id", "event_type", "timestamp"), q(
     "SELECT event_id, event_type, CAST(timestamp AS VARCHAR) AS timestamp FROM honeypot_events", HE))

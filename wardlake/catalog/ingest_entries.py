@@ -221,10 +221,13 @@ add("e21_zeek_conn", lambda v: n.conform(n.zeek_conn_normalise(parsed(v, "zeek_c
 add("e21_zeek_payload_size", lambda v: n.zeek_conn_normalise(parsed(v, "zeek_conn"), SALT).select("uid", "payload_size", "metadata"), on_ids(
     "true", uid="'C' || event_id", payload_size=f"(CASE WHEN event_id % 4 <> 0 THEN {K} * 10 ELSE 0 END + {K})::BIGINT",
     metadata="'{\"conn_state\":\"SF\",\"history\":\"ShAD\"}'"))
+HTTP_SQL = {
+    "timestamp": TS, "source_ip_hash": HASH, "source_port": PORT, "dest_ip": DEST, "dest_port": "80", "method": "'GET'", "host": "'h'",
+    "uri": f"'/' || {K}", "user_agent": "CASE WHEN event_id % 2 = 0 THEN 'curl' ELSE '' END", "referrer": "''", "status_code": "200",
+    "response_body_len": "event_id", "request_body": "''",
+}
 add("e22_zeek_http", lambda v: n.zeek_http_normalise(parsed(v, "zeek_http"), SALT, v.geo_ranges()), on_ids(
-    "true", timestamp=TS, source_ip_hash=HASH, source_ip_country=COUNTRY, source_port=PORT, dest_ip=DEST, dest_port="80", method="'GET'",
-    host="'h'", uri=f"'/' || {K}", user_agent="CASE WHEN event_id % 2 = 0 THEN 'curl' ELSE '' END", referrer="''", status_code="200",
-    response_body_len="event_id", request_body="''"))
+    "true", **HTTP_SQL, source_ip_country=COUNTRY))
 
 # --- camera and router sensors
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.timing import epoch
-from .folds import anchored, count_alarm, distinct_alarm, first_in_window, per_second, trailing_count, walk
+from .folds import anchored, count_alarm, distinct_alarm, first_in_window, per_second, reachable, trailing_count, walk
 
 SRC = "source_ip_hash"
 DETECTION = ["ts", "source", "detection_type", "count", "note", "identifier"]
@@ -250,17 +250,19 @@ def _failure_walk(window: int):
     return run
 
 
-def _failure_runs(auth: DataFrame, window: int) -> DataFrame:
+def _failure_runs(auth: DataFrame, window: int, condition: Column) -> DataFrame:
     """Per second: failures so far (``n_start``) since window start or last success.
 
-    Only failures open windows.
+    Only failures open windows. ``condition`` names the sources that can fire, by ``_fails`` and ``_wins`` in all.
     """
-    return walk(_login_seconds(auth), [SRC], _failure_walk(window), f"{SRC} string, sec long, fails long, wins long, n_start long")
+    live = reachable(_login_seconds(auth), [SRC], condition, _fails=F.sum("fails"), _wins=F.sum("wins"))
+    schema = f"{SRC} string, sec long, fails long, wins long, n_start long"
+    return walk(live, [SRC], _failure_walk(window), schema, placed=True)
 
 
 def ssh_bruteforce(auth: DataFrame, n: int = 10, window: int = 600) -> DataFrame:
     """Fires on the n-th and every later failure since window start or last success."""
-    runs = _failure_runs(auth, window)
+    runs = _failure_runs(auth, window, F.col("_fails") >= n)
     lo, hi = F.greatest(F.col("n_start") + 1, F.lit(n).cast("long")), F.col("n_start") + F.col("fails")
     fired = runs.withColumns({"_lo": lo, "_hi": hi}).filter("fails > 0 and _lo <= _hi")
     fired = fired.withColumn("hit", F.explode(F.sequence("_lo", "_hi")))
@@ -269,7 +271,7 @@ def ssh_bruteforce(auth: DataFrame, n: int = 10, window: int = 600) -> DataFrame
 
 def ssh_success_after_failures(auth: DataFrame, window: int = 600) -> DataFrame:
     """A success after failures; ``count`` is the number of failures it ends."""
-    ended = _failure_runs(auth, window).withColumn("hit", F.col("n_start") + F.col("fails"))
+    ended = _failure_runs(auth, window, (F.col("_fails") > 0) & (F.col("_wins") > 0)).withColumn("hit", F.col("n_start") + F.col("fails"))
     return _counted(ended.filter("wins > 0 and hit > 0"), "bruteforce_success", "failures before success", "-success")
 
 
@@ -288,7 +290,8 @@ def ssh_rapid(
         closed = short.groupBy(SRC, epoch("timestamp").alias("sec")).agg(F.count(F.lit(1)).alias("shorts"))
         both = hits.unionByName(closed.withColumn("tries", F.lit(0).cast("long")))
         hits = both.groupBy(SRC, "sec").agg(F.sum("tries").alias("tries"), F.sum("shorts").alias("shorts"))
-    fired = walk(hits, [SRC], _rapid_walk(n, window), f"{SRC} string, sec long, hit long")
+    live = reachable(hits, [SRC], (F.col("_tries") + F.col("_shorts") >= n) & (F.col("_tries") > 0), _tries=F.sum("tries"), _shorts=F.sum("shorts"))
+    fired = walk(live, [SRC], _rapid_walk(n, window), f"{SRC} string, sec long, hit long", placed=True)
     return _counted(fired, "rapid_connections", "attempts", "-rapid")
 
 
@@ -333,20 +336,24 @@ def weak_username(creds: DataFrame, users=lists.WEAK_USERS) -> DataFrame:
     return flag(creds, F.col("username").isin(*users), "weak_credentials", F.col("username"))
 
 
-LOG_SCHEMA = f"{SRC} string, sec long, dst string, dst_port int, detection_type string, conn_attempts long, failed_logins long"
+LOG_SCHEMA = (
+    f"{SRC} string, sec long, dst string, dst_port int, detection_type string, lo long, hi long, step long, "
+    "tries long, turn long, fails long, failed long"
+)
 
 
 def _log_walk(fails_n: int, rapid_n: int, window: int):
     """Both SSH counters of a source side by side, each in its own expiring window.
 
-    Every firing carries both values as they stood at that attempt. Inside a second:
-    failures, successes, closing short sessions.
+    Inside a second: failures, successes, closing short sessions. The attempts of a second are numbered from 1;
+    each kind fires at a range of them, given by its ends and step, so a second costs the same however
+    many attempts it has. ``turn`` is the attempt that first brings the rapid counter to its limit.
     """
 
     def run(batches):
         source, fail_at, fails, try_at, tries = None, None, 0, None, 0
         columns = [SRC, "sec", "fails", "wins", "shorts", "dst", "dst_port"]
-        names = [SRC, "sec", "dst", "dst_port", "detection_type", "conn_attempts", "failed_logins"]
+        names = [SRC, "sec", "dst", "dst_port", "detection_type", "lo", "hi", "step", "tries", "turn", "fails", "failed"]
         for pdf in batches:
             out = []
             for src, sec, failed, won, shorts, dst, port in zip(*[pdf[c].tolist() for c in columns]):
@@ -356,23 +363,15 @@ def _log_walk(fails_n: int, rapid_n: int, window: int):
                     fail_at, fails = None, 0
                 if try_at is None or sec >= try_at + window:
                     try_at, tries = sec, 0
-                for attempt in range(failed + won):
-                    tries += 1
-                    kind = None
-                    if attempt < failed:
-                        fail_at = sec if fail_at is None else fail_at
-                        fails += 1
-                        kind = "bruteforce" if fails >= fails_n else None
-                    elif fails:
-                        kind = "bruteforce_success"
-                    if kind:
-                        out.append((src, sec, dst, port, kind, tries, fails))
-                    if attempt >= failed:
-                        fails = 0
-                    if tries >= rapid_n:
-                        out.append((src, sec, dst, port, "rapid_connections", tries, fails))
-                        tries = 0
-                tries += shorts
+                attempts, turn = failed + won, max(1, rapid_n - tries)
+                ranges = [("bruteforce", max(1, fails_n - fails), failed, 1), ("rapid_connections", turn, attempts, rapid_n)]
+                if won and fails + failed:
+                    ranges.append(("bruteforce_success", failed + 1, failed + 1, 1))
+                out += [(src, sec, dst, port, k, lo, hi, by, tries, turn, fails, failed) for k, lo, hi, by in ranges if lo <= hi]
+                if failed and fail_at is None:
+                    fail_at = sec
+                fails = 0 if won else fails + failed
+                tries = (tries + attempts if attempts < turn else (attempts - turn) % rapid_n) + shorts
             yield pd.DataFrame(out, columns=names)
 
     return run
@@ -400,7 +399,17 @@ def ssh_log(
     seconds = logins.unionByName(closed).groupBy(SRC, "sec").agg(
         *[F.sum(c).alias(c) for c in ("fails", "wins", "shorts")], F.min("dst").alias("dst"), F.min("dst_port").alias("dst_port")
     )
-    counted = walk(seconds, [SRC], _log_walk(fails, rapid, window), LOG_SCHEMA)
+    can_fire = (F.col("_fails") >= fails) | ((F.col("_fails") > 0) & (F.col("_wins") > 0))
+    can_fire = can_fire | (F.col("_fails") + F.col("_wins") + F.col("_shorts") >= rapid)
+    live = reachable(seconds, [SRC], can_fire, _fails=F.sum("fails"), _wins=F.sum("wins"), _shorts=F.sum("shorts"))
+    counted = walk(live, [SRC], _log_walk(fails, rapid, window), LOG_SCHEMA, placed=True)
+    counted = counted.withColumn("at", F.explode(F.sequence("lo", "hi", "step")))
+    # the counters as the attempt saw them: the rapid one starts anew after each turn, a success ends the failures
+    since_turn = (F.col("at") - F.col("turn") - 1) % rapid + 1
+    seen = F.when(F.col("at") <= F.col("failed"), F.col("fails") + F.col("at"))
+    seen = seen.when(F.col("detection_type") == "bruteforce_success", F.col("fails") + F.col("failed")).otherwise(0)
+    counted = counted.withColumn("failed_logins", seen)
+    counted = counted.withColumn("conn_attempts", F.when(F.col("at") <= F.col("turn"), F.col("tries") + F.col("at")).otherwise(since_turn))
     saw = F.concat_ws(" ", F.col("conn_attempts").cast("string"), F.lit("attempts,"), F.col("failed_logins").cast("string"), F.lit("failed"))
     counted = counted.select(
         F.timestamp_seconds("sec").alias("ts"), F.col(SRC).alias("src"), "dst", "dst_port", "detection_type", "conn_attempts",

@@ -47,6 +47,17 @@ def walk(work: DataFrame, keys: list, run, schema, placed: bool = False) -> Data
     return spread.sortWithinPartitions(*keys, "sec").mapInPandas(run, schema)
 
 
+def reachable(work: DataFrame, keys: list, condition: Column, placed: bool = False, **totals: Column) -> DataFrame:
+    """Rows placed by key, without the keys whose ``totals`` over all their seconds fail the ``condition``.
+
+    Such a key can never fire, so it need not leave the JVM. Partitioning and order are those of the walk.
+    ``placed`` as in :func:`walk`.
+    """
+    whole = Window.partitionBy(*keys).orderBy("sec").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = (work if placed else work.repartition(*keys)).withColumns({name: total.over(whole) for name, total in totals.items()})
+    return summed.filter(condition).drop(*totals)
+
+
 def _windows():
     """Carry (key, window start, hits so far) through sorted rows."""
 
@@ -172,10 +183,14 @@ def distinct_alarm(df: DataFrame, keys: list, item: str, n: int, window: int, ts
     among themselves and count together. Hits are summed per (key, second, item) first.
     """
     cells = df.groupBy(*keys, epoch(ts).alias("sec"), F.col(item).alias("_item")).agg(F.count(F.lit(1)).alias("cnt"))
-    work = cells.withColumn(_KEY, fold_key(keys))
+    # kinds of items of a key: a key has few rows of first sight, so this is summed before the walk
+    known = Window.partitionBy(*keys, "_item").orderBy("sec")
+    firsts = cells.repartition(*keys).withColumn("_first", (F.row_number().over(known) == 1).cast("int"))
+    wide = reachable(firsts, keys, F.col("_kinds") >= n, placed=True, _kinds=F.sum("_first")).drop("_first")
+    work = wide.withColumn(_KEY, fold_key(keys))
     kept = [f for f in work.schema.fields if f.name in keys]
     longs = [T.StructField(c, T.LongType()) for c in ("sec", "anchor", "hits", "distinct_items")]
-    return walk(work, keys, _distinct_walk(keys, n, window), T.StructType(kept + longs))
+    return walk(work, keys, _distinct_walk(keys, n, window), T.StructType(kept + longs), placed=True)
 
 
 def trailing_count(df: DataFrame, keys: list, seconds: int, more_than: int, ts: str = "timestamp") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,6 +45,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it (as ``--py-files`` would)."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="wardlake-code-")
+        context.addPyFile(shutil.make_archive(f"{folder}/wardlake", "zip", home, "wardlake"))
+        _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
 # temporary folders of local sessions, by application id
 _LOCAL: dict[str, str] = {}
 

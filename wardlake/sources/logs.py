@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timing import parse_ts
 from ..schemas import RAW, ZEEK_CONN_TSV
 
 SENSOR_LOGS = ("cowrie", "dionaea", "conpot", "rtsp", "upnp", "suricata")
@@ -38,6 +39,29 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     return parsed.filter(known.isNotNull())
 
 
+def split_lines(lines: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, offset, value) of one log -> rows as ``parse_lines`` gives them, and the rejected lines with a reason.
+
+    ``empty``, ``unreadable`` (no JSON, or none of the kind's fields), ``time`` (unreadable time: no query and no
+    retention would ever see the row). Every line is in exactly one of the two.
+    """
+    schema = raw_schema(kind)
+    record = F.from_json("value", schema, {"mode": "PERMISSIVE", "allowNumericLeadingZeros": "true"})
+    parsed = lines.select("file", "offset", "value", F.inline(F.array(record)))
+    known = F.coalesce(*[F.col(f"`{f.name}`").cast("string") for f in schema.fields if _simple(f)])
+    time = parse_ts("ts" if kind.startswith("zeek_") else "timestamp")
+    reason = F.when(F.trim("value") == "", "empty").when(known.isNull(), "unreadable").when(time.isNull(), "time")
+    parsed = parsed.withColumn("_reason", reason)
+    good = parsed.filter(F.col("_reason").isNull()).withColumn("raw_data", F.col("value")).drop("file", "offset", "value", "_reason")
+    bad = parsed.filter(F.col("_reason").isNotNull()).select(F.lit(kind).alias("kind"), "file", "offset", F.col("_reason").alias("reason"), "value")
+    return good, bad
+
+
+def line_id(file, offset, value):
+    """Identity of a log line: equal only for a line that is delivered again, not for a line like it."""
+    return F.sha2(F.concat_ws("|", file, offset.cast("string"), value), 256)
+
+
 def _simple(field: T.StructField) -> bool:
     return not isinstance(field.dataType, (T.StructType, T.MapType, T.ArrayType))
 

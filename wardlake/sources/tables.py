@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timing import as_datetime, since, stamp
 from ..operators.normalise import conform
@@ -21,7 +23,7 @@ def with_month(df: DataFrame, table: str) -> DataFrame:
 
 
 def append_table(df: DataFrame, table: str, root: str, files_per_month: int | None = None) -> str:
-    """Append conformed rows below ``root/table``, one folder per month.
+    """Append conformed rows below ``root/table``: a folder for each month, in it one for each append or batch.
 
     Rows are sorted by month and the table's sort key inside each task, so a task
     keeps one file open and row groups carry tight statistics. Tasks stay as they are,
@@ -32,9 +34,14 @@ def append_table(df: DataFrame, table: str, root: str, files_per_month: int | No
     rows = with_month(conform(df, table), table)
     if files_per_month:
         rows = rows.repartitionByRange(files_per_month, "month", *t.sort)
-    rows = rows.sortWithinPartitions("month", *t.sort)
+    return write_rows(rows, table, root, f"append-{uuid.uuid4().hex}")
+
+
+def write_rows(rows: DataFrame, table: str, root: str, batch: str) -> str:
+    """Write rows with their month as the folders of ``batch``; writing the same batch again replaces them."""
     path = f"{root}/{table}"
-    writer = rows.write.mode("append").partitionBy("month")
+    rows = rows.withColumn("batch", F.lit(batch)).sortWithinPartitions("month", *TABLES[table].sort)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch")
     for col in ("source_ip_hash", "md5_hash", "sha256_hash"):
         if col in rows.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{col}", "true")
@@ -43,8 +50,9 @@ def append_table(df: DataFrame, table: str, root: str, files_per_month: int | No
 
 
 def read_table(spark: SparkSession, table: str, root: str) -> DataFrame:
-    schema = TABLES[table].schema.add("month", "string")
-    return spark.read.schema(schema).parquet(f"{root}/{table}")
+    """The table with its ``month``, whoever wrote it: appends, imports and ingested batches share one layout."""
+    schema = T.StructType([*TABLES[table].schema.fields, T.StructField("month", T.StringType()), T.StructField("batch", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{root}/{table}").drop("batch")
 
 
 def route(df: DataFrame, targets: dict[str, Column]) -> dict[str, DataFrame]:
@@ -120,10 +128,47 @@ def apply_ttl(df: DataFrame, as_of, days: int, col: str = "timestamp") -> DataFr
 
 
 def expired_months(spark: SparkSession, table: str, root: str, as_of) -> DataFrame:
-    """Months of a stored table that lie wholly outside its retention."""
+    """Months of a stored table that lie wholly outside its retention, by the names of its folders."""
     limit = as_datetime(as_of) - timedelta(days=TABLES[table].ttl_days)
-    months = read_table(spark, table, root).select("month").distinct()
-    return months.filter(F.col("month") < limit.strftime("%Y-%m"))
+    months = [name.removeprefix("month=") for name in _folders(spark, f"{root}/{table}") if name.startswith("month=")]
+    gone = [(m,) for m in months if m < limit.strftime("%Y-%m")]
+    return spark.createDataFrame(gone, "month string")
+
+
+def expire(spark: SparkSession, table: str, root: str, as_of) -> list[str]:
+    """Drop the folders of expired months; a month partly within retention stays whole."""
+    months = sorted(r.month for r in expired_months(spark, table, root, as_of).collect())
+    for month in months:
+        _delete(spark, f"{root}/{table}/month={month}")
+    return months
+
+
+def compact(spark: SparkSession, table: str, root: str, month: str, files: int = 1) -> None:
+    """Rewrite one month's many small batches as ``files`` ranges in the table's sort order.
+
+    Not for a month that is still written to: a reader between the write and the removal would see rows twice.
+    """
+    old = [f"{root}/{table}/month={month}/{name}" for name in _folders(spark, f"{root}/{table}/month={month}")]
+    rows = read_table(spark, table, root).filter(F.col("month") == month)
+    rows = rows.repartitionByRange(files, *TABLES[table].sort)
+    write_rows(rows, table, root, f"compact-{uuid.uuid4().hex}")
+    for path in old:
+        _delete(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    jpath, store = _path(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(jpath) if s.isDirectory()] if store.exists(jpath) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath, store = _path(spark, path)
+    store.delete(jpath, True)
 
 
 def cluster_by(df: DataFrame, cols: list, partitions: int | None = None) -> DataFrame:

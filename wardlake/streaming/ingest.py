@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import normalise as n
-from ..sources.logs import read_json_log
-from ..sources.tables import with_month
-from ..schemas import TABLES
+from ..sources.logs import split_lines
+from ..sources.tables import read_table, with_month, write_rows
+from ..sources.tail import tail_lines
 
 TARGETS: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] = {
     "cowrie": {
@@ -33,6 +33,8 @@ TARGETS: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] = {
         "upnp_attacks": lambda df: n.sensor_attacks(df, "upnp"),
     },
     "suricata": {"ids_alerts": lambda df: df},
+    "zeek_conn": {"network_connections": lambda df: df},
+    "zeek_http": {"http_requests": lambda df: df},
 }
 
 NORMALISERS = {
@@ -42,54 +44,65 @@ NORMALISERS = {
     "rtsp": n.rtsp_normalise,
     "upnp": n.upnp_normalise,
     "suricata": n.ids_normalise,
+    "zeek_conn": n.zeek_conn_normalise,
+    "zeek_http": n.zeek_http_normalise,
 }
+REJECTED = "rejected_lines"
 
 
-def write_batch(targets: dict, root: str, ranges: DataFrame | None, normaliser, salt: str):
-    """A ``foreachBatch`` function that writes one batch to all its tables.
+def write_batch(kind: str, root: str, salt: str, ranges: DataFrame | None = None):
+    """A ``foreachBatch`` function that writes one batch of lines to all tables of its kind, and what it rejects.
 
-    Each batch owns a folder ``batch=<id>`` per table and overwrites it, so a batch
-    that is retried after a lost driver or executor leaves no duplicate rows.
+    The batch's folders are replaced when it is retried after a lost driver or executor, so
+    no row is doubled. Accepted and rejected lines together are the lines read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = normaliser(batch, salt, ranges).persist()
+        batch = batch.persist()
+        label = f"{kind}-{batch_id:012d}"
         try:
-            for table, project in targets.items():
-                out = with_month(n.conform(project(rows), table), table)
-                out = out.sortWithinPartitions("month", *TABLES[table].sort)
-                out.write.mode("overwrite").partitionBy("month").parquet(f"{root}/{table}/batch={batch_id}")
+            good, bad = split_lines(batch, kind)
+            rows = NORMALISERS[kind](good, salt, ranges)
+            for table, project in TARGETS[kind].items():
+                write_rows(with_month(n.conform(project(rows), table), table), table, root, label)
+            writer = bad.withColumn("batch", F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("batch").parquet(f"{root}/{REJECTED}")
         finally:
-            rows.unpersist()
+            batch.unpersist()
 
     return run
 
 
 def ingest(
-    spark, kind: str, path: str, root: str, checkpoint: str, salt: str,
-    ranges: DataFrame | None = None, files_per_trigger: int | None = 1000, once: bool = True,
+    spark, kind: str, folder: str, root: str, checkpoint: str, salt: str,
+    ranges: DataFrame | None = None, pattern: str = "*", once: bool = True, every: str = "1 minute",
 ) -> StreamingQuery:
-    """Tail one sensor's log into its tables; ``once`` stops when the backlog is done."""
-    lines = read_json_log(spark, path, kind, stream=True, files_per_trigger=files_per_trigger)
-    writer = lines.writeStream.foreachBatch(write_batch(TARGETS[kind], root, ranges, NORMALISERS[kind], salt))
+    """Tail the logs of one kind in ``folder`` into their tables; ``once`` stops when the backlog is done."""
+    writer = tail_lines(spark, folder, pattern).writeStream.foreachBatch(write_batch(kind, root, salt, ranges))
     writer = writer.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
 
 
 def read_ingested(spark, table: str, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}").drop("batch")
+    return read_table(spark, table, root)
+
+
+def read_rejected(spark, root: str) -> DataFrame:
+    schema = "kind string, file string, offset long, reason string, value string, batch string"
+    return spark.read.schema(schema).parquet(f"{root}/{REJECTED}").drop("batch")
 
 
 def without_repeats(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop redelivered events of a stream; rows later than ``delay`` may pass twice."""
-    keys = ["event_id", "timestamp", "event_type"]
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(keys)
+    """Drop redelivered lines of a stream, by ``line_id``; those later than ``delay`` may pass twice.
+
+    Events of one session, second and type stay: they come from different lines.
+    """
+    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["line_id"])
 
 
 def batch_without_repeats(events: DataFrame) -> DataFrame:
-    """The same on a table, exact: one row per (event_id, timestamp, event_type), the smallest."""
-    keys = ["event_id", "timestamp", "event_type"]
-    rest = [c for c in events.columns if c not in keys]
-    one = events.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r"))
-    return one.select(*keys, "r.*").select(*events.columns)
+    """The same on a table, exact: one row of each ``line_id``, the smallest."""
+    rest = [c for c in events.columns if c != "line_id"]
+    one = events.groupBy("line_id").agg(F.min(F.struct(*rest)).alias("r"))
+    return one.select("line_id", "r.*").select(*events.columns)
