@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the smallest node of the component.
+def stars(edges: DataFrame, rounds: int = 60, settle: bool = True) -> DataFrame:
+    """Edges (a, b), a > b, with the same components as ``edges``, nearer to one star for each component.
 
     Alternates large stars (every neighbour above a node is linked to the smallest around it) and small stars
-    (every neighbour below, and the node) until nothing changes. Minima are pre-aggregated, so a node with very many
-    neighbours is a skewed join at most; each round is written to the shared folder.
+    (every neighbour below, and the node) until nothing changes, or for ``rounds`` without ``settle``. Minima are
+    pre-aggregated, so a node with very many neighbours is a skewed join at most; each round is written to the shared folder.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            break
+            return now
         seen = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -31,6 +31,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")
         )
         now = cut(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "edges")
-    else:
+    if settle:
         raise RuntimeError("components did not settle")
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b); root is the smallest node of the component."""
+    now = stars(edges)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

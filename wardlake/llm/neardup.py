@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .graph import components
+from .graph import components, stars
 
 SHINGLE, THRESHOLD = 4, 80  # words; percent
 BANDS, ROWS = 32, 4
@@ -347,9 +347,10 @@ def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     sets = cut(texts.mapInPandas(full, "class binary, hashes binary"), "sets")
     sure = cut(confirm(cut(forest_pairs(units, signatures), "pairs"), sets), "links")
-    roots = components(sure)
-    more = cut(links_between(units, signatures, sets, roots), "links")
-    roots = components(sure.union(more)) if not more.isEmpty() else roots
+    # two rounds join most of each component; what they leave apart is only compared once more
+    near = stars(sure, rounds=2, settle=False)
+    roots = near.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    roots = components(near.union(links_between(units, signatures, sets, roots)))
 
     least = roots.join(classes.select(F.col("class").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
