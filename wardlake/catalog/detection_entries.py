@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import lists
 from ..operators import detections as d
 from ..operators import signatures as s
 from .registry import add, chain_sql, fire_sql
@@ -105,7 +104,7 @@ PORTSM = "dest_port IN (3333, 4444, 5555, 7777, 8888, 9999, 14444)"
 add("d_cry_1_mining_port", lambda v: d.mining_port(v.conns()), flagged(
     NC, PORTSM, "mining_port", "CAST(dest_port AS VARCHAR)"))
 add("d_cry_2_pool_query", lambda v: d.pool_query(v.dns()), flagged(
-    "dns_queries", rx("query", lists.MINING_POOLS), "pool_query", "query"))
+    "dns_queries", rx("query", "minergate|nicehash|pool[.]ntp[.]org|supportxmr|moneropool|nanopool|f2pool|slushpool|antpool|poolto"), "pool_query", "query"))
 add("d_cry_3_miner_download", lambda v: d.miner_download(v.requests()), flagged(
     HR, rx("uri", "xmrig|cpuminer|cgminer|bfgminer|ethminer|phoenixminer|claymore|ewbf|ccminer"), "miner_download", "uri"))
 add("d_cry_4_mining_session", lambda v: d.mining_session(v.conns(), min_s=200), flagged(
@@ -186,6 +185,8 @@ add("d_ssh_3_rapid_7d", lambda v: d.ssh_rapid(v.auth(), None, 6, WEEK), rapid(6,
 add("d_ssh_3_rapid_with_sessions_7d", lambda v: d.ssh_rapid(v.auth(), v.conns(), 6, WEEK, 100))
 add("d_ssh_4_scanner", lambda v: d.ssh_scanner(v.conns().drop("service")), flagged(
     NC, "dest_port = 22 AND duration < 3 AND conn_state <> 'SF'", "scanner", "'quick disconnect'", f"source_ip_hash || {TS}"))
+add("d_ssh_4_scanner_by_service", lambda v: d.ssh_scanner(v.conns()), flagged(
+    NC, "dest_port = 22 AND duration < 3 AND service = ''", "scanner", "'quick disconnect'", f"source_ip_hash || {TS}"))
 add("d_ssh_5_weak_username", lambda v: d.weak_username(v.creds()), flagged(
     CR, "username IN ('root', 'admin', 'user', 'test', 'guest', 'pi', 'ubuntu', 'oracle', 'support', 'default', 'user1', "
     "'administrator', 'Administrator', 'daemon', 'ftp', 'postgres', 'mysql', 'www-data', 'nobody')",

@@ -243,9 +243,11 @@ add("e23_rtsp_attacks", lambda v: n.sensor_attacks(n.rtsp_normalise(parsed(v, "r
     attack_type="CASE WHEN event_id % 4 = 0 THEN 'CVE-2014-8361 buffer overflow' ELSE '' END",
     rtsp_method=pick(["OPTIONS", "DESCRIBE", "SETUP"], "event_id % 3"),
     attack_details=f"CASE WHEN event_id % 4 = 0 THEN '{{\"type\":\"buffer_overflow\",\"header_length\":' || {K} || '}}' ELSE '{{}}' END"))
-add("e24_upnp_events", lambda v: n.sensor_events(n.upnp_normalise(parsed(v, "upnp"), SALT), "upnp").filter(
-    ~F.col("event_id").rlike("^[0-9a-f]{32}$")).select("timestamp", "event_id", "source_ip_hash", "dest_port", "event_type", "command", "raw_data"),
-    on_ids("event_id % 2 = 0", timestamp=TS, event_id=SESSION, source_ip_hash=HASH, dest_port="CASE WHEN event_id % 5 = 0 THEN 49152 ELSE 1900 END",
+# a generated id is a hash of the line; here it only has to be one
+add("e24_upnp_events", lambda v: n.sensor_events(n.upnp_normalise(parsed(v, "upnp"), SALT), "upnp").withColumn(
+    "event_id", F.when(F.col("event_id").rlike("^[0-9a-f]{32}$"), "generated").otherwise(F.col("event_id"))).select(
+        "timestamp", "event_id", "source_ip_hash", "dest_port", "event_type", "command", "raw_data"),
+    on_ids("true", timestamp=TS, event_id=f"CASE WHEN event_id % 2 = 0 THEN {SESSION} ELSE 'generated' END", source_ip_hash=HASH, dest_port="CASE WHEN event_id % 5 = 0 THEN 49152 ELSE 1900 END",
            event_type="CASE WHEN event_id % 3 = 0 THEN 'attack_detected' ELSE 'soap_request' END", command="'AddPortMapping'",
            raw_data="'urn:x#AddPortMapping'"))
 add("e24_upnp_ids", lambda v: n.sensor_events(n.upnp_normalise(parsed(v, "upnp"), SALT), "upnp").agg(

@@ -50,7 +50,7 @@ VIEWS = {
         FROM events WHERE event_type IN ('signup', 'purchase')""",
     "network_connections": f"""
         SELECT {SECOND} AS timestamp, event_id AS uid, {h('user_id')} AS source_ip_hash, {COUNTRY} AS source_ip_country,
-               {DEST} AS dest_ip, {PORT} AS dest_port, {PROTOCOL} AS protocol, {PROTOCOL} AS service, value AS duration,
+               {DEST} AS dest_ip, {PORT} AS dest_port, {PROTOCOL} AS protocol, CASE WHEN event_id % 7 = 0 THEN '' ELSE {PROTOCOL} END AS service, value AS duration,
                {K} * 60 AS orig_bytes, {K} * 3 AS orig_pkts,
                {pick(['SF', 'S0', 'REJ', 'RSTO', 'RSTR'], 'event_id % 5')} AS conn_state,
                {pick(['ShADadFf', 'S', '', 'ShR'], 'event_id % 4')} AS history, event_id % 3 <> 1 AS local_orig

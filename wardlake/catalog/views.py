@@ -100,7 +100,7 @@ class Views:
         return self.base(start).selectExpr(
             f"{SECOND} AS timestamp", "event_id AS uid", f"{H.format('user_id')} AS source_ip_hash",
             f"{COUNTRY} AS source_ip_country", f"{DEST} AS dest_ip", f"{PORT} AS dest_port", f"{PROTOCOL} AS protocol",
-            f"{PROTOCOL} AS service", "value AS duration",
+            f"CASE WHEN event_id % 7 = 0 THEN '' ELSE {PROTOCOL} END AS service", "value AS duration",
             f"CAST({K} * 60 AS BIGINT) AS orig_bytes", f"CAST({K} * 3 AS BIGINT) AS orig_pkts",
             _pick(["SF", "S0", "REJ", "RSTO", "RSTR"], "event_id % 5") + " AS conn_state",
             _pick(["ShADadFf", "S", "", "ShR"], "event_id % 4") + " AS history", "event_id % 3 <> 1 AS local_orig",
