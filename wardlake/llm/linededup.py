@@ -28,7 +28,8 @@ LONGEST = 40  # doublings; a run of 2^40 lines is out of reach
 
 
 def row_key(docs: DataFrame) -> Column:
-    return F.unhex(F.md5(F.concat_ws(":", docs["doc_id"].cast("string"), F.coalesce(docs["text"], F.lit("\u0000")))))
+    parts = F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), docs["text"].isNull().cast("string"), F.coalesce(docs["text"], F.lit(""))
+    return F.unhex(F.md5(F.concat_ws(":", *parts)))
 
 
 def line_places(docs: DataFrame) -> DataFrame:

@@ -139,10 +139,10 @@ parts AS (
            regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path
     FROM pages WHERE url IS NOT NULL) WHERE host <> ''),
 url_keys AS (
-  SELECT url, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, NULL), '.') AS value
+  SELECT url, 'domain' AS kind, array_to_string(string_split(host, '.')[i:], '.') AS value
   FROM parts, unnest(generate_series(1, len(string_split(host, '.')))) AS g(i)
   UNION ALL
-  SELECT url, 'prefix', array_to_string(list_slice(string_split(plain, '/'), 1, i), '/') || '/'
+  SELECT url, 'prefix', array_to_string(string_split(plain, '/')[1:i], '/') || '/'
   FROM parts, unnest(generate_series(1, len(string_split(plain, '/')) - 1)) AS g(i)
   UNION ALL SELECT url, 'url', plain FROM parts),
 numbers AS (
