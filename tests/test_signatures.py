@@ -88,6 +88,14 @@ def test_byte_rules(spark):
     assert byte_sids(spark, big[:-1] + b"\x00", 554, "rtsp") == set()
 
 
+def test_rules_that_lack_a_column_are_named(spark):
+    whole = spark.createDataFrame([], COLS + ", history string")
+    assert s.not_evaluated(whole) == []
+    assert s.not_evaluated(whole.drop("history")) == [r.sid for r in RULES if not r.contents and r.flags == "0"]
+    missing = s.not_evaluated(whole.drop("uri"))
+    assert missing and all(any(c.buffer == "uri" for c in r.contents) for r in RULES if r.sid in missing)
+
+
 def test_scan_rules_and_beacons(spark, rows):
     df = spark.createDataFrame(
         [("a", 2323, "S0", "S", "tcp", 50, 1, True), ("b", 81, "S0", "", "tcp", 900, 3, True), ("c", 502, "SF", "S", "modbus", 0, 0, True)],

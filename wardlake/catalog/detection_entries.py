@@ -183,7 +183,7 @@ def rapid(n: int, seconds: int, auth: str) -> str:
 add("d_ssh_3_rapid", lambda v: d.ssh_rapid(v.dense_auth()), rapid(15, 600, DA))
 add("d_ssh_3_rapid_7d", lambda v: d.ssh_rapid(v.auth(), None, 6, WEEK), rapid(6, WEEK, "ssh_auth"))
 add("d_ssh_3_rapid_with_sessions_7d", lambda v: d.ssh_rapid(v.auth(), v.conns(), 6, WEEK, 100))
-add("d_ssh_4_scanner", lambda v: d.ssh_scanner(v.conns().drop("service")), flagged(
+add("d_ssh_4_scanner", lambda v: d.ssh_scanner(v.conns(), by="conn_state"), flagged(
     NC, "dest_port = 22 AND duration < 3 AND conn_state <> 'SF'", "scanner", "'quick disconnect'", f"source_ip_hash || {TS}"))
 add("d_ssh_4_scanner_by_service", lambda v: d.ssh_scanner(v.conns()), flagged(
     NC, "dest_port = 22 AND duration < 3 AND service = ''", "scanner", "'quick disconnect'", f"source_ip_hash || {TS}"))

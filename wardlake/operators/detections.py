@@ -317,19 +317,22 @@ def _rapid_walk(n: int, window: int):
     return run
 
 
-def scanner_condition(conns: DataFrame, max_s: float = 3) -> Column:
-    quiet = F.col("service") == "" if "service" in conns.columns else F.col("conn_state") != "SF"
+def scanner_condition(max_s: float = 3, by: str = "service") -> Column:
+    """``by`` says what shows that no SSH exchange took place: an empty ``service``, or a ``conn_state`` but SF."""
+    if by not in ("service", "conn_state"):
+        raise ValueError(f"by is service or conn_state, not {by!r}")
+    quiet = F.col("service") == "" if by == "service" else F.col("conn_state") != "SF"
     return (F.col("dest_port") == 22) & (F.col("duration") < max_s) & quiet
 
 
-def ssh_scanner(conns: DataFrame, max_s: float = 3) -> DataFrame:
+def ssh_scanner(conns: DataFrame, max_s: float = 3, by: str = "service") -> DataFrame:
     """Connections to the SSH port closed early without an SSH exchange.
 
-    "No exchange" is an empty service name, or where the table has none, a
+    "No exchange" is an empty service name; for tables without one, ``by="conn_state"`` takes a
     connection state other than a normal close.
     """
     ident = F.concat(F.col(SRC), F.col("timestamp").cast("string"))
-    return flag(conns, scanner_condition(conns, max_s), "scanner", F.lit("quick disconnect"), ident)
+    return flag(conns, scanner_condition(max_s, by), "scanner", F.lit("quick disconnect"), ident)
 
 
 def weak_username(creds: DataFrame, users=lists.WEAK_USERS) -> DataFrame:
@@ -378,7 +381,8 @@ def _log_walk(fails_n: int, rapid_n: int, window: int):
 
 
 def ssh_log(
-    auth: DataFrame, conns: DataFrame, creds: DataFrame, fails: int = 10, rapid: int = 15, window: int = 600, max_s: float = 5
+    auth: DataFrame, conns: DataFrame, creds: DataFrame, fails: int = 10, rapid: int = 15, window: int = 600, max_s: float = 5,
+    scanner_by: str = "service",
 ) -> DataFrame:
     """All SSH detections as one log: destination, kind, both counters, note.
 
@@ -423,7 +427,7 @@ def ssh_log(
             F.lit(None).cast("long").alias("failed_logins"), note.alias("note"),
         )
 
-    quick = plain(conns.filter(scanner_condition(conns)), F.col("dest_ip"), F.col("dest_port"), "scanner", F.lit("quick disconnect"))
+    quick = plain(conns.filter(scanner_condition(by=scanner_by)), F.col("dest_ip"), F.col("dest_port"), "scanner", F.lit("quick disconnect"))
     weak = plain(creds.filter(F.col("username").isin(*lists.WEAK_USERS)), F.lit(""), F.lit(22), "weak_credentials", F.col("username"))
     return counted.unionByName(quick).unionByName(weak)
 

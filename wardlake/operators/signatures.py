@@ -134,6 +134,13 @@ def rule_condition(rule: Rule, cols: set) -> Column | None:
     return cond
 
 
+def not_evaluated(rows: DataFrame, rules=RULES) -> list[int]:
+    """Rules that ``match_rules`` and ``scan_hits`` leave out over these rows, as a column they look at is missing."""
+    cols = set(rows.columns)
+    missing = [r.sid for r in rules if r.contents and rule_condition(r, cols) is None]
+    return missing + [r.sid for r in rules if not r.contents and r.flags == "0" and "history" not in cols]
+
+
 def _hits(rows: DataFrame, conds: dict, as_list: bool) -> DataFrame:
     """One row per hit, or rows with the list of their hits."""
     sids = F.array_compact(F.array(*[F.when(cond, F.lit(sid)) for sid, cond in conds.items()]))
@@ -147,7 +154,8 @@ def match_rules(rows: DataFrame, binary: bool = False, rules=RULES, as_list: boo
     """Rows × matching rule ids (column ``sid``; with ``as_list`` a row keeps all its ids in ``sids``).
 
     ``binary=False`` evaluates the text rules on a text payload; ``binary=True`` the
-    byte rules on a binary payload, read as one character per byte.
+    byte rules on a binary payload, read as one character per byte. :func:`not_evaluated` names the rules
+    that these rows lack a column for.
     """
     work = rows.withColumn("_transport", transport("protocol"))
     if binary:
@@ -165,7 +173,7 @@ def scan_hits(conns: DataFrame, rules=RULES, as_list: bool = False) -> DataFrame
     """Connection rows × rules on flags or on mere contact (no contents).
 
     A lone SYN shows as state S0, a packet without flags as an empty history.
-    Where the table has no history column, rules for the latter are left out.
+    Where the table has no history column, rules for the latter are left out (:func:`not_evaluated`).
     """
     has_history = "history" in conns.columns
     conds = {}
