@@ -3,8 +3,9 @@
 Test items are cut into entries of at most ``ENTRY`` words and indexed: for each word the entries that have it, with their BM25
 weight as a share of the entry's own sum, in blocks with their largest weight. Every document is cut into overlapping
 passages of twice that length, so an entry that stands in a document stands whole in one passage. Each passage is a query:
-block-max WAND finds all entries of which it holds at least ``LEAST_SHARE`` of the weight. Finds are verified near the passage:
-shares of the five-word shingles of the item's question and of its answer.
+the block maxima of all passages of a document are summed at once, and where a block can reach the bound, block-max WAND finds
+all entries of which the passage holds at least ``LEAST_SHARE`` of the weight. Finds are verified near the passage: shares of
+the five-word shingles of the item's question and of its answer.
 
 Items are indexed in blocks of ``ITEMS``; each block is broadcast and all documents are read against it. The number of
 documents only adds tasks.
@@ -32,7 +33,9 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 ENTRY, LEAST_SHARE = 64, 0.5
 SHINGLE, LEAST_OVERLAP = 5, 0.8
-BLOCK, ITEMS = 16, 20_000
+BLOCK, ITEMS = 2, 20_000
+#: Passages of a document whose block sums are taken at once.
+TOGETHER = 512
 K1, B = 1.2, 0.75
 
 
@@ -100,6 +103,31 @@ class Index:
                 blocks[e // BLOCK] = max(x, blocks.get(e // BLOCK, 0.0))
             self.block_most.append(blocks)
 
+        self.blocks = max(1, -(-len(entries) // BLOCK))
+        # the same maxima as arrays, term after term: first place, blocks, maxima
+        sizes = [len(b) for b in self.block_most] + [0]
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        self.flat_block = np.array([k for b in self.block_most for k in b], dtype=np.int64)
+        self.flat_most = np.array([x for b in self.block_most for x in b.values()])
+
+    def promising(self, ids: np.ndarray, passages: int) -> np.ndarray:
+        """Passages in which some block's maxima reach the bound: no other can hold a find.
+
+        ``ids`` are the terms of a run of half-passages of ``ENTRY`` words; a passage is two of them.
+        """
+        half, known = np.arange(len(ids)) // ENTRY, ids < len(self.terms)
+        half, terms = half[known], ids[known]
+        both = np.concatenate((half, half - 1)), np.concatenate((terms, terms))
+        inside = (both[0] >= 0) & (both[0] < passages)
+        pairs = np.unique(both[0][inside] * len(self.first) + both[1][inside])
+        passage, term = pairs // len(self.first), pairs % len(self.first)
+        sizes = self.first[term + 1] - self.first[term]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[term] - (ends - sizes), sizes)
+        cells = np.repeat(passage, sizes) * self.blocks + self.flat_block[at]
+        sums = np.bincount(cells, self.flat_most[at], minlength=passages * self.blocks).reshape(passages, self.blocks)
+        return np.flatnonzero(sums.max(axis=1) >= LEAST_SHARE - 1e-6)
+
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All entries with a summed weight of at least ``least``: block-max WAND over the postings of the terms."""
         at = {t: 0 for t in terms}
@@ -144,16 +172,17 @@ class Index:
         words = words_of(text)
         none, get = len(self.terms), self.terms.get
         ids = np.fromiter((get(w, none) for w in words), dtype=np.int64, count=len(words))
-        total = np.concatenate(([0.0], np.cumsum(self.most[ids])))
         starts = np.arange(0, max(1, len(words) - ENTRY), ENTRY)
         ends = np.minimum(starts + 2 * ENTRY, len(words))
         hits: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
-        for k in np.flatnonzero(total[ends] - total[starts] >= LEAST_SHARE - 1e-6):
+        found = []
+        for at in range(0, len(starts), TOGETHER):
+            part = starts[at : at + TOGETHER]
+            found += (at + self.promising(ids[part[0] : ends[at + len(part) - 1]], len(part))).tolist()
+        for k in found:
             start, end = int(starts[k]), int(ends[k])
             terms = np.unique(ids[start:end])
             terms = terms[terms < none]
-            if self.most[terms].sum() < LEAST_SHARE - 1e-6:
-                continue
             shares: dict[int, float] = {}
             for entry, share in self.search(terms.tolist(), LEAST_SHARE):
                 shares[self.item_of[entry]] = max(share, shares.get(self.item_of[entry], 0.0))
