@@ -97,6 +97,20 @@ def test_notices_are_found_by_relative_position(spark, prose):
     assert (got[101].n_base, got[101].first_word, got[101].last_word) == (2, 0, 2)
 
 
+def test_a_text_with_all_notices_has_all_labels(spark, prose):
+    notices = [text for _, text, _ in licenses.NOTICES]
+    bundle = lambda texts: "\n".join(f"{t}\n{prose(40)}" for t in texts)
+    rows = [(0, bundle(notices)), (1, bundle(notices[::-1])), (2, bundle(notices * 3)), (3, bundle(notices[:6]))]
+    rows += [(10 + i, prose(50)) for i in range(20)] + [(40 + i, "software public license of the under") for i in range(20)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    every = sorted(label for label, *_ in licenses.NOTICES)
+    for i in range(3):
+        assert sorted(got[i].labels) == every
+    assert {label for label, *_ in licenses.NOTICES[:6]} <= set(got[3].labels)
+    places = sorted((f.label, f.at) for f in got[2].found if f.share == 1.0)
+    assert Counter(label for label, _ in places) == {label: 3 for label in every}
+
+
 def test_licenses_of_odd_rows(spark, odd):
     rows = licenses.scan(odd).collect()
     assert len(rows) == odd.count()

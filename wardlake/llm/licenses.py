@@ -2,9 +2,10 @@
 
 Fixed phrases (the base) are found where their words stand consecutively. Notices in full are found by an index:
 of each notice the words with the highest inverse document frequency over all documents are indexed with their
-place in the notice. A document's rarest licence words are looked up, postings that agree on the relative position (word
-place minus notice place) are intersected, and a notice is accepted where enough rare words agree and all its mandatory
-phrases stand at their places. Only DataFrame functions are used; the index is a constant of a few hundred entries.
+place in the notice. All indexed words that a document holds are looked up, however many, postings that agree on the
+relative position (word place minus notice place) are intersected, and a notice is accepted where enough rare words agree
+and all its mandatory phrases stand at their places. Only DataFrame functions are used; the index is a constant of a few
+hundred entries.
 
 Defined results: null, empty and wordless texts have no places and empty labels. Repeated rows get the same result each.
 """
@@ -66,8 +67,8 @@ NOTICES = (
      ("free and unencumbered software released into the public domain",)),
 )
 
-#: Indexed words of each notice, and how many of a document's rarest licence words are looked up.
-INDEXED, LOOKED_UP = 6, 24
+#: Indexed words of each notice.
+INDEXED = 6
 
 
 def words_of(text: str) -> list[str]:
@@ -123,7 +124,7 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, notices: tuple = NOTICES, indexed: int = INDEXED, looked_up: int = LOOKED_UP) -> DataFrame:
+def scan(docs: DataFrame, notices: tuple = NOTICES, indexed: int = INDEXED) -> DataFrame:
     """Phrases and notices of every document (doc_id, text; other columns are ignored).
 
     ``found`` holds the notices: label, first word and the share of the notice's words that stand in place.
@@ -142,7 +143,7 @@ def scan(docs: DataFrame, notices: tuple = NOTICES, indexed: int = INDEXED, look
     entries = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("notice"), F.lit(at).alias("at")) for w, t, at in postings])
     needs = F.array(*map(F.lit, need))
     out = docs.select("doc_id", file_words(F.col("text")).alias("words"))
-    out = out.select("*", F.slice(F.array_intersect(index, F.col("words")), 1, looked_up).alias("lookup"))
+    out = out.select("*", F.array_intersect(index, F.col("words")).alias("lookup"))
     # places only in documents with enough licence words; there, one row of work for each hit
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("lookup", x["word"]))
     out = out.select("*", F.when(F.size("lookup") >= min(need), hits).alias("hits"))
