@@ -1,6 +1,7 @@
 """Operators over pairs, lines and sources, and the classifiers."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -224,6 +225,25 @@ def test_held_out_languages(spark):
     assert sum(r.rejected for r in rows) < 0.01 * len(rows)
 
 
+def test_long_texts_far_from_all_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang", "text")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    scripts = {
+        "Cyrillic": range(0x430, 0x450), "Greek": range(0x3B1, 0x3CA), "Arabic": range(0x627, 0x64B), "CJK": range(0x4E00, 0x9000),
+        "consonants": [ord(c) for c in "bcdfghjklmnpqrstvwxz"], "base64": [ord(c) for c in letters + letters.upper() + "0123456789+/"],
+    }
+    for name, points in scripts.items():
+        for n in (30, 100, 300, 1000, 5000):
+            for _ in range(5):
+                text = " ".join("".join(map(chr, rng.choices(list(points), k=rng.randint(3, 9)))) for _ in range(n))
+                assert model.best(text)[2], (name, n)
+    kept = [(model.best(r.text)[2], len(r.text.split())) for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()]
+    assert not any(rejected for rejected, n in kept if n >= 20)
+    assert sum(rejected for rejected, _ in kept) <= 2
+
+
 def test_language_of_odd_rows(spark, odd, documents):
     model = langid.fit(documents.select("lang", "text"))
     rows = odd.select("doc_id", "text", langid.predict(odd["text"], model).alias("p")).collect()

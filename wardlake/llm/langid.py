@@ -4,7 +4,7 @@ A text becomes its letter n-grams (one to three characters, other characters cou
 hashed into a fixed number of dimensions, weighted by log(1 + count) * idf and scaled to length 1. Training rows
 of a language are grouped into a few clusters by spherical k-means; a text gets the language of the centroid with the largest
 cosine. If that cosine is below the floor learned for the centroid's language, the text is rejected: it is too far from
-everything learned.
+everything learned. Very short texts have a lower floor, since the cosine of a few n-grams says little.
 
 The fit uses a bounded sample of the labelled rows (``per_language`` expected rows of each of at most ``MAX_LANGUAGES``
 most frequent values); prediction reads every whole text.
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-DIMENSIONS = 1 << 12
+#: With fewer dimensions the n-grams of any long text fill most of them, and its cosine rises whatever it is.
+DIMENSIONS = 1 << 14
 PER_LANGUAGE = 1500
 CLUSTERS = 4
 MAX_LANGUAGES = 200
-#: A text is rejected below this share of the cosine that 99 of 100 training texts of the language reach.
-FLOOR_SHARE = 0.25
+#: A text is rejected below this share of the cosine that 99 of 100 training texts of the language reach; texts of fewer
+#: than ``SHORT`` n-grams (about six words) below the smaller share.
+FLOOR_SHARE, SHORT_SHARE, SHORT = 0.5, 0.25, 150
 CHUNK = 1 << 20
 UNKNOWN = "und"
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
@@ -90,7 +92,7 @@ def clusters(rows: np.ndarray, k: int, seed: int = 7, rounds: int = 12) -> np.nd
 class Model:
     languages: list[str]  # of each centroid
     centres: np.ndarray
-    floors: np.ndarray
+    reached: np.ndarray  # the cosine that 99 of 100 training texts of the language reach
     idf: np.ndarray
 
     def best(self, text: str | None) -> tuple[str, float, bool]:
@@ -100,7 +102,8 @@ class Model:
         near = self.centres @ unit(found, self.idf)
         j = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[j])))
-        return self.languages[j], score, score < self.floors[j]
+        share = SHORT_SHARE if found.sum() < SHORT else FLOOR_SHARE
+        return self.languages[j], score, bool(score < share * self.reached[j])
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -137,17 +140,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) ->
     def centroids(frame: pd.DataFrame) -> pd.DataFrame:
         vectors = np.array([unit(x, idf) for x in map(counts, sorted(frame["text"])) if x is not None])
         if not len(vectors):
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
+            return pd.DataFrame({"lang": [], "centre": [], "reached": []})
         centres = clusters(vectors, k)
-        floor = FLOOR_SHARE * float(np.quantile((vectors @ centres.T).max(axis=1), 0.01))
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.tolist() for c in centres], "floor": floor})
+        reached = float(np.quantile((vectors @ centres.T).max(axis=1), 0.01))
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.tolist() for c in centres], "reached": reached})
 
-    learned = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre array<float>, floor double").collect()
+    learned = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre array<float>, reached double").collect()
     learned.sort(key=lambda r: r.lang)
     return Model(
         [r.lang for r in learned],
         np.array([r.centre for r in learned], dtype=np.float32).reshape(-1, DIMENSIONS),
-        np.array([r.floor for r in learned]),
+        np.array([r.reached for r in learned]),
         idf,
     )
 
