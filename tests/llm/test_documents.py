@@ -102,6 +102,15 @@ def test_line_dedup_equals_brute_force(spark, texts, prose):
             assert got[i] == want, i
 
 
+def test_a_short_line_in_many_documents_stays_once(spark, prose):
+    short = {n: " ".join(f"w{n}x{k}" for k in range(n)) for n in (2, 3, 5, 9, 20)}
+    rows = [(i, "\n".join(x for n in sorted(short) for x in (short[n], f"{i} {n} {prose(12)}"))) for i in range(60)]
+    got = {r.doc_id: r.deduped for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for n, line in short.items():
+        assert [i for i in range(60) if line in got[i].text.split("\n")] == (list(range(60)) if n == 2 else [0]), n
+    assert all((d.n_lines, d.n_removed) == (10, 4 if i else 0) for i, d in got.items())
+
+
 def test_lines_of_odd_rows(spark, odd):
     rows = linededup.dedup(odd, 1).collect()
     assert len(rows) == odd.count()

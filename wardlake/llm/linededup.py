@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, cut
 
-MIN_WORDS = 40
+#: Lines of one or two words are alike by chance; every other repeated line or run goes, however short.
+MIN_WORDS = 3
 LONGEST = 40  # doublings; a run of 2^40 lines is out of reach
 
 
