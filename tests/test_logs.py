@@ -1,3 +1,4 @@
+import gzip
 import json
 from datetime import datetime
 
@@ -193,6 +194,59 @@ def test_ranges_of_a_log_hold_every_line_once(tmp_path):
         assert reader.partitions(end, end) == []
 
 
+def poll(reader, start):
+    """(lines by file name, new offset) of what a reader finds after ``start``."""
+    end, got = json.loads(json.dumps(reader.latestOffset())), {}
+    for p in reader.partitions(start, end):
+        for b in reader.read(p):
+            got.setdefault(p.file.rsplit("/", 1)[1], []).extend(b.column("value").to_pylist())
+    return got, end
+
+
+def test_files_that_begin_alike_are_all_read(tmp_path):
+    reader, head = TailReader({"path": str(tmp_path)}), "#fields" + "x" * 5000 + "\n"
+    one, two = tmp_path / "a.log", tmp_path / "b.log"
+    one.write_text(head + "a1\na2\n")
+    two.write_text(head + "b1\n")
+    got, at = poll(reader, reader.initialOffset())
+    assert got == {"a.log": [head[:-1], "a1", "a2"], "b.log": [head[:-1], "b1"]}
+    with two.open("a") as f:  # the shorter one becomes the longer one
+        f.write("b2\nb3\nb4\n")
+    got, at = poll(reader, at)
+    assert got == {"b.log": ["b2", "b3", "b4"]}
+    one.rename(tmp_path / "a.log.1")  # a rotated log goes on, the new one of its name begins anew with the same line
+    with (tmp_path / "a.log.1").open("a") as f:
+        f.write("a3\n")
+    one.write_text(head + "a4\na5\na6\na7\n")
+    got, at = poll(reader, at)
+    assert got == {"a.log.1": ["a3"], "a.log": [head[:-1], "a4", "a5", "a6", "a7"]}
+    one.write_text(head + "a8\n")  # cut off and written anew
+    assert poll(reader, at)[0] == {"a.log": [head[:-1], "a8"]}
+
+
+def test_compressed_logs_are_read_from_where_the_plain_one_was(tmp_path):
+    reader = TailReader({"path": str(tmp_path)})
+    log, packed = tmp_path / "a.log.1", tmp_path / "a.log.1.gz"
+    log.write_text("head\na1\n")
+    (tmp_path / "old.gz").write_bytes(gzip.compress(b"head\no1\no2") + gzip.compress(b"\no3\n"))
+    (tmp_path / "bad.gz").write_bytes(b"no gzip file")
+    got, at = poll(reader, reader.initialOffset())
+    bad = got.pop("bad.gz")
+    assert len(bad) == 1 and bad[0].startswith("unreadable") and got == {"a.log.1": ["head", "a1"], "old.gz": ["head", "o1", "o2", "o3"]}
+    whole = log.read_text() + "a2\na3"
+    log.write_text(whole)
+    packed.write_bytes(gzip.compress(whole.encode())[:-9])  # still being made
+    got, at = poll(reader, at)
+    assert got == {"a.log.1": ["a2"]}
+    packed.write_bytes(gzip.compress(whole.encode()))
+    assert poll(reader, at)[0] == {}
+    log.unlink()
+    got, at = poll(reader, at)
+    assert got == {"a.log.1.gz": ["a3"]}
+    packed.rename(tmp_path / "a.log.2.gz")
+    assert poll(reader, at)[0] == {}
+
+
 def test_real_events_of_one_second_stay_and_redelivered_lines_go(spark, rows):
     same = [("s", datetime(2024, 1, 1), "command", f"cmd {i}") for i in range(3)]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(same)] + [(*same[0], 0)], "event_id string, timestamp timestamp, event_type string, raw string, at int")

@@ -1,15 +1,19 @@
-"""Tailing of growing logs: a streaming source whose offset is (file, byte) and not a list of files.
+"""Tailing of growing logs: a streaming source whose offset is (file, byte) and not a list of lines.
 
-A file is known by its first line, so a renamed (rotated) file goes on where it was and a new file of the old
-name starts at its beginning. Only whole lines are read; a line still being written waits for the next batch. New
-bytes are cut into ranges that executors read through the file's own store. Spark keeps the offsets in the checkpoint.
+A file is known by its path. It goes on where it was if the bytes before that place are still the same; a renamed (rotated) file
+is recognised by its first line and those bytes, if no file at the old path goes on. Every other file is read from its
+beginning, so files that begin alike are all read. Only whole lines are read; a line still being written waits for the
+next batch. New bytes are cut into ranges that executors read through the file's own store. Spark keeps the offsets in the
+checkpoint.
 
-Two files with the same first line count as one; of these the longest is read.
+Compressed files (.gz) are read too, each by one task, from where the plain file was that they were made of. What cannot be
+decompressed gives one line that says so, which no log kind accepts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
@@ -20,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 FIRST_BYTES = 4096
 RANGE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+PACKED_BYTES = 64 << 10  # at most a thousand times as much text
 
 
 def _store(path: str):
@@ -36,6 +41,7 @@ class Range(InputPartition):
     first: int  # where the batch begins in this file
     start: int
     stop: int
+    skip: int = 0  # of a compressed file's text, what was read when it was plain
 
 
 def line_end(handle, size: int) -> int:
@@ -51,6 +57,82 @@ def line_end(handle, size: int) -> int:
     return 0
 
 
+def _hash(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def bytes_before(handle, stop: int) -> str:
+    """Hash of the last bytes before ``stop``."""
+    start = max(0, stop - FIRST_BYTES)
+    handle.seek(start)
+    return _hash(handle.read(stop - start))
+
+
+def inflate(handle, size: int) -> Iterator[tuple[bytes, bool]]:
+    """Text of the first ``size`` bytes of a gzip file, in pieces, and whether it is complete with this piece."""
+    handle.seek(0)
+    unzip, left = zlib.decompressobj(31), size
+    while left > 0 and (data := handle.read(min(PACKED_BYTES, left))):
+        left -= len(data)
+        while data:
+            if unzip.eof:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                unzip = zlib.decompressobj(31)
+            text = unzip.decompress(data)
+            data = unzip.unused_data
+            yield text, unzip.eof and not data
+
+
+def text_end(handle, size: int) -> tuple[int, bool]:
+    """How much text the first ``size`` bytes of a gzip file give: whole lines, or all of a complete file."""
+    total, lines, complete = 0, 0, False
+    try:
+        for text, complete in inflate(handle, size):
+            at = text.rfind(b"\n")
+            lines = total + at + 1 if at >= 0 else lines
+            total += len(text)
+    except zlib.error:
+        pass
+    return (total if complete else lines), complete
+
+
+def text_before(handle, size: int, stop: int) -> str | None:
+    """As ``bytes_before``, in the text of a gzip file; None if it has less text."""
+    last, total = b"", 0
+    try:
+        for text, _ in inflate(handle, size):
+            last = last[-FIRST_BYTES:] + text
+            total += len(text)
+            if total >= stop:
+                last = last[: len(last) - (total - stop)]
+                return _hash(last[-min(FIRST_BYTES, stop) :])
+    except zlib.error:
+        pass
+    return None
+
+
+def _first_line(handle, info) -> str:
+    head = b""
+    if _packed(info.path):
+        try:
+            for text, _ in inflate(handle, info.size):
+                head += text
+                if b"\n" in head or len(head) >= FIRST_BYTES:
+                    break
+        except zlib.error:
+            pass
+    else:
+        handle.seek(0)
+        head = handle.read(min(info.size, FIRST_BYTES))
+    return _hash(head[:FIRST_BYTES].split(b"\n", 1)[0])
+
+
+def _packed(file: str) -> bool:
+    return file.endswith(".gz")
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.pattern = options["path"], options.get("pattern", "*")
@@ -60,29 +142,77 @@ class TailReader(DataSourceStreamReader):
         return {"files": {}}
 
     def latestOffset(self) -> dict:
+        """For each file the hash of its first line, the hash of the bytes before its end, and its end."""
         from pyarrow import fs
 
         store, folder = _store(self.path)
         listed = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        wanted = [x for x in listed if x.type == fs.FileType.File and x.base_name[0] not in "._" and fnmatch(x.base_name, self.pattern)]
+        sizes = {x.path: x.size for x in wanted}
         found: dict[str, list] = {}
-        for info in listed:
-            name = info.base_name
-            if info.type != fs.FileType.File or name[0] in "._" or name.endswith(".gz") or not fnmatch(name, self.pattern):
-                continue
+        for info in sorted(wanted, key=lambda x: (_packed(x.path), x.path)):  # plain files first
             with store.open_input_file(info.path) as handle:
-                end = line_end(handle, info.size)
-                handle.seek(0)
-                head = handle.read(min(info.size, FIRST_BYTES)).split(b"\n", 1)[0]
-            identity = hashlib.sha256(head).hexdigest()
-            if end and end > found.get(identity, ["", 0])[1]:
-                found[identity] = [info.path, end]
+                end = info.size if _packed(info.path) else line_end(handle, info.size)
+                if not end:
+                    continue
+                first = _first_line(handle, info)
+                plain = info.path.removesuffix(".gz")
+                if _packed(info.path) and found.get(plain, [""])[0] == first and self._in_making(handle, info.size, sizes[plain]):
+                    continue
+                found[info.path] = [first, bytes_before(handle, end), end]
         return {"files": found}
 
+    @staticmethod
+    def _in_making(handle, size: int, plain: int) -> bool:
+        """A gzip file beside the plain file that it is being made of: not complete, or just as long."""
+        handle.seek(max(0, size - 4))
+        length = int.from_bytes(handle.read(4), "little")
+        return length == plain % (1 << 32) or not text_end(handle, size)[1]
+
+    def places(self, start: dict, end: dict) -> dict[str, tuple[int, int]]:
+        """Where each file of ``end`` goes on: bytes, and of a newly compressed file its text. Each old file goes on once."""
+        # offsets of an earlier form were {first line: [path, end]}
+        old = dict((k, v) if len(v) == 3 else (v[0], [k, "", v[1]]) for k, v in start["files"].items())
+        store, _ = _store(self.path)
+        out: dict[str, tuple[int, int]] = {}
+        for file, now in end["files"].items():
+            if file in old and self._goes_on(store, file, now, file, old[file]):
+                out[file] = (old.pop(file)[2], 0)
+        for file, now in end["files"].items():
+            if file in out:
+                continue
+            out[file] = (0, 0)
+            for was in sorted(old, key=lambda f: (-old[f][2], f)):
+                if self._goes_on(store, file, now, was, old[was]):
+                    stop = old.pop(was)[2]
+                    out[file] = (0, stop) if _packed(file) and not _packed(was) else (stop, 0)
+                    break
+        return out
+
+    @staticmethod
+    def _goes_on(store, file: str, now: list, was: str, before: list) -> bool:
+        first, check, stop = before
+        if _packed(was) and not _packed(file) or now[0] != first and not (_packed(was) and file == was):
+            return False
+        if _packed(file) == _packed(was):
+            if now[2] < stop:
+                return False
+            if now[2] == stop and check:
+                return now[1] == check
+        with store.open_input_file(file) as handle:
+            if _packed(file) and not _packed(was):
+                return text_before(handle, now[2], stop) == check if check else text_end(handle, now[2])[0] >= stop
+            return not check or bytes_before(handle, stop) == check
+
     def partitions(self, start: dict, end: dict) -> list[Range]:
         out = []
-        for identity, (file, stop) in end["files"].items():
-            first = start["files"].get(identity, ["", 0])[1]
-            out += [Range(file, first, at, min(at + self.range_bytes, stop)) for at in range(first, stop, self.range_bytes)]
+        places = self.places(start, end)
+        for file, (_, _, stop) in end["files"].items():
+            first, skip = places[file]
+            if _packed(file):
+                out += [Range(file, first, first, stop, skip)] if first < stop else []
+            else:
+                out += [Range(file, first, at, min(at + self.range_bytes, stop)) for at in range(first, stop, self.range_bytes)]
         return out
 
     def read(self, partition: Range) -> Iterator:
@@ -91,25 +221,56 @@ class TailReader(DataSourceStreamReader):
         store, _ = _store(self.path)
         names = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("value", pa.string())])
         with store.open_input_file(partition.file) as handle:
-            at = partition.start
-            if at > partition.first:  # the line that reaches into this range belongs to the one before
-                at = _next_line(handle, at - 1)
-            handle.seek(at)
-            rest = b""
-            while at < partition.stop:
-                block = handle.read(READ_BYTES)
-                if not block:
-                    break
-                lines = (rest + block).split(b"\n")
-                rest, offsets, values = lines.pop(), [], []
-                for line in lines:
-                    if at >= partition.stop:
-                        break
-                    offsets.append(at)
-                    values.append(line.removesuffix(b"\r").decode("utf-8", "replace"))
-                    at += len(line) + 1
-                if values:
-                    yield pa.RecordBatch.from_arrays([pa.array([partition.file] * len(values)), pa.array(offsets, pa.int64()), pa.array(values)], schema=names)
+            for offsets, values in (_packed_lines if _packed(partition.file) else _plain_lines)(handle, partition):
+                yield pa.RecordBatch.from_arrays([pa.array([partition.file] * len(values)), pa.array(offsets, pa.int64()), pa.array(values)], schema=names)
+
+
+def _text(line: bytes) -> str:
+    return line.removesuffix(b"\r").decode("utf-8", "replace")
+
+
+def _plain_lines(handle, partition: Range) -> Iterator[tuple[list[int], list[str]]]:
+    at = partition.start
+    if at > partition.first:  # the line that reaches into this range belongs to the one before
+        at = _next_line(handle, at - 1)
+    handle.seek(at)
+    rest = b""
+    while at < partition.stop:
+        block = handle.read(READ_BYTES)
+        if not block:
+            break
+        lines = (rest + block).split(b"\n")
+        rest, offsets, values = lines.pop(), [], []
+        for line in lines:
+            if at >= partition.stop:
+                break
+            offsets.append(at)
+            values.append(_text(line))
+            at += len(line) + 1
+        if values:
+            yield offsets, values
+
+
+def _packed_lines(handle, partition: Range) -> Iterator[tuple[list[int], list[str]]]:
+    """Lines of a compressed file; offsets count its text. The last line of a complete file needs no line break."""
+    at = max(partition.skip, text_end(handle, partition.first)[0])
+    rest, total, complete = b"", 0, False
+    try:
+        for text, complete in inflate(handle, partition.stop):
+            new = text[max(0, at + len(rest) - total) :]
+            total += len(text)
+            lines = (rest + new).split(b"\n")
+            rest, offsets, values = lines.pop(), [], []
+            for line in lines:
+                offsets.append(at)
+                values.append(_text(line))
+                at += len(line) + 1
+            if values:
+                yield offsets, values
+        if complete and rest:
+            yield [at], [_text(rest)]
+    except zlib.error as error:
+        yield [at], [f"unreadable gzip file: {error}"]
 
 
 def _next_line(handle, at: int) -> int:
@@ -135,6 +296,6 @@ class LogTail(DataSource):
 
 
 def tail_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Stream of (file, offset, value): the whole lines of the folder's plain files, each once, as they grow."""
+    """Stream of (file, offset, value): the whole lines of the folder's files, plain or gzip, each once, as they grow."""
     spark.dataSource.register(LogTail)
     return spark.readStream.format("log_tail").option("path", folder).option("pattern", pattern).load()
