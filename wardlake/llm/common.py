@@ -33,6 +33,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def offsets(totals: DataFrame) -> DataFrame:
+    """(part, before) from (part, n), a row for each partition of a written table: prefix sums of so few rows, made on the driver."""
+    rows, start = [], 0
+    for row in totals.orderBy("part").collect():
+        rows.append((row.part, start))
+        start += row.n
+    return totals.sparkSession.createDataFrame(rows, "part long, before long")
+
+
 def number_array(values: list[float]) -> Column:
     """A constant array column of a bounded number of weights, usable inside lambdas (subqueries are not)."""
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, linededup, mixing, neardup, quality, secrets, toxicity, urlfilter
+from . import decontaminate, langid, licenses, linededup, merkle, mixing, neardup, packing, periodicity, quality, secrets, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,79 @@ def op8_linededup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op8_linededup"] = op8_linededup
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES["op11_packing"] = op11_packing
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return periodicity.digest(periodicity.collapse(docs.withColumn("text", periodicity.planted(F.col("doc_id"), F.col("text")))))
+
+
+QUERIES["op12_periodic_runs"] = op12_periodic_runs
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return merkle.verify(merkle.manifest(docs, merkle.tampering(F.col("doc_id"), F.col("text"))))
+
+
+def _merkle_sql(source_levels: int = 8, top_levels: int = 6) -> str:
+    """Every level written out, for 16**8 documents of a source; a finished tree passes its root on unchanged."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    siblings = "coalesce(string_agg(h, '') OVER (PARTITION BY tree, idx // 16 ORDER BY idx ROWS BETWEEN {}), '')"
+    before, after = siblings.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), siblings.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+    parts = [
+        f"""checks AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT)),
+    (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      (x, z) -> CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM documents)""",
+        """texts AS (SELECT *, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS told
+  FROM checks)""",
+        f"rows_0 AS (SELECT doc_id, source, {leaf('text')} AS h, {leaf('told')} AS claimed FROM texts)",
+        "trees AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) AS n FROM rows_0 GROUP BY source)",
+        """leaves AS (SELECT doc_id, tree, n, h, claimed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, claimed) - 1 AS idx
+  FROM rows_0 JOIN trees ON rows_0.source IS NOT DISTINCT FROM trees.source)""",
+        "s_n0 AS (SELECT tree, idx, n, h FROM leaves)",
+    ]
+
+    def climb(name: str, levels: int) -> None:
+        for k in range(levels):
+            parts.append(f"{name}_r{k} AS (SELECT tree, idx, n, h, {before} AS l, {after} AS r FROM {name}_n{k})")
+            parts.append(
+                f"{name}_n{k + 1} AS (SELECT tree, idx // 16 AS idx, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(h || r) ELSE h END AS h"
+                f" FROM {name}_r{k} WHERE idx % 16 = 0)"
+            )
+
+    def follow(name: str, levels: int, rows: str, idx: str) -> str:
+        for k in range(levels):
+            parts.append(
+                f"{name}_p{k} AS (SELECT p.* EXCLUDE (proof, folded), p.proof || r.l || r.r AS proof,"
+                f" CASE WHEN r.n > 1 THEN sha256(r.l || p.folded || r.r) ELSE p.folded END AS folded"
+                f" FROM {rows} p JOIN {name}_r{k} r ON r.tree = p.{'tree' if name == 's' else 'top'} AND r.idx = p.{idx} // {16**k})"
+            )
+            rows = f"{name}_p{k}"
+        return rows
+
+    climb("s", source_levels)
+    parts.append(f"t_n0 AS (SELECT 0 AS tree, tree AS idx, count(*) OVER () AS n, h FROM s_n{source_levels})")
+    climb("t", top_levels)
+    parts.append("start AS (SELECT doc_id, tree, 0 AS top, idx, h AS leaf, '' AS proof, claimed AS folded FROM leaves)")
+    rows = follow("t", top_levels, follow("s", source_levels, "start", "idx"), "tree")
+    return f"""WITH {', '.join(parts)}
+SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root, p.folded = t.h AS verified
+FROM {rows} p JOIN s_n{source_levels} s ON s.tree = p.tree CROSS JOIN t_n{top_levels} t"""
+
+
+QUERIES["op13_merkle"] = op13_merkle
+ORACLES["op13_merkle"] = _merkle_sql()
+
+
 # --- URL filters: captures are the pages, fetched on a day that follows from the page's hash; the dated list entries
 # follow from the hosts and paths of the pages themselves, so captures and lists both grow with the table
 
