@@ -111,9 +111,9 @@ def _merkle_sql(source_levels: int = 8, top_levels: int = 6) -> str:
     before, after = siblings.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), siblings.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
     parts = [
         f"""checks AS (
-  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT)),
-    (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-      (x, z) -> CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM documents)""",
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM documents)""",
         """texts AS (SELECT *, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS told
   FROM checks)""",
         f"rows_0 AS (SELECT doc_id, source, {leaf('text')} AS h, {leaf('told')} AS claimed FROM texts)",
