@@ -7,8 +7,9 @@ the block maxima of all passages of a document are summed at once, and where a b
 all entries of which the passage holds at least ``LEAST_SHARE`` of the weight. Finds are verified near the passage: shares of
 the five-word shingles of the item's question and of its answer.
 
-Items are indexed in blocks of ``ITEMS``; each block is broadcast and all documents are read against it. The number of
-documents only adds tasks.
+Document frequency, number of entries and mean length are counted over all items. Items are dealt into blocks of about ``BLOCK_CHARS``
+characters, and each block's index is built by a task, so results do not depend on the number of blocks. One index at a time is broadcast
+and all documents are read against it. The number of documents only adds tasks.
 
 Defined results: items and documents without words match nothing. Equal items match each on their own; repeated document rows give repeated
 finds. A null doc_id or item_id stays null in the finds.
@@ -17,6 +18,7 @@ finds. A null doc_id or item_id stays null in the finds.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -27,15 +29,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD = re.compile(r"[^\W_]+")
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 ENTRY, LEAST_SHARE = 64, 0.5
 SHINGLE, LEAST_OVERLAP = 5, 0.8
-BLOCK, ITEMS = 2, 20_000
-#: Passages of a document whose block sums are taken at once.
-TOGETHER = 512
+BLOCK = 2
+#: Characters of the items of one index.
+BLOCK_CHARS = 4_000_000
+#: Bytes of the block sums that are taken at once, for as many passages as that allows.
+SUM_BYTES = 32 << 20
 K1, B = 1.2, 0.75
 
 
@@ -68,22 +74,25 @@ def overlap(part: list[str], words: list[str], there: set[tuple[str, ...]]) -> f
     return len(own & there) / len(own)
 
 
+def entries_of(text: str | None) -> list[list[str]]:
+    """The words of an item in even parts of at most ``ENTRY`` words."""
+    words = words_of(text)
+    size = math.ceil(len(words) / max(1, math.ceil(len(words) / ENTRY)))
+    return [words[i : i + size] for i in range(0, len(words), size or 1)]
+
+
 class Index:
-    """Inverted index of a bounded list of items."""
+    """Inverted index of a bounded list of items; ``df``, ``n`` and ``mean`` are those of all items if these are only a part."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], df: dict[str, int] | None = None, n: int = 0, mean: float = 0.0):
         self.items = [(item_id, *question_and_answer(text or "")) for item_id, text in items]
-        entries: list[tuple[int, list[str]]] = []
-        for n, (_, text) in enumerate(items):
-            words = words_of(text)
-            pieces = max(1, math.ceil(len(words) / ENTRY))
-            size = math.ceil(len(words) / pieces)
-            entries += [(n, words[i : i + size]) for i in range(0, len(words), size or 1)]
+        entries = [(k, words) for k, (_, text) in enumerate(items) for words in entries_of(text)]
         entries.sort(key=lambda e: len(e[1]))  # equal lengths share blocks, so block maxima are tight
-        self.item_of = [n for n, _ in entries]
-        df = Counter(w for _, words in entries for w in set(words))
-        mean = sum(len(w) for _, w in entries) / max(1, len(entries))
-        idf = {w: math.log(1 + (len(entries) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        self.item_of = [k for k, _ in entries]
+        if df is None:
+            df, n = Counter(w for _, words in entries for w in set(words)), len(entries)
+            mean = sum(len(w) for _, w in entries) / max(1, n)
+        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for e, (_, words) in enumerate(entries):
             weights = {
@@ -176,8 +185,9 @@ class Index:
         ends = np.minimum(starts + 2 * ENTRY, len(words))
         hits: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
         found = []
-        for at in range(0, len(starts), TOGETHER):
-            part = starts[at : at + TOGETHER]
+        together = max(1, SUM_BYTES // (8 * self.blocks))
+        for at in range(0, len(starts), together):
+            part = starts[at : at + together]
             found += (at + self.promising(ids[part[0] : ends[at + len(part) - 1]], len(part))).tolist()
         for k in found:
             start, end = int(starts[k]), int(ends[k])
@@ -212,24 +222,52 @@ class Index:
             yield best
 
 
-def contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> DataFrame:
+def indexes(items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, blob): a pickled index for each block of ``items`` (item_id, text), built by the tasks that hold its items."""
+    items = cut(items.select("item_id", "text").filter(F.col("text").isNotNull()), "items")
+    chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / block_chars))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [(b, set(e), len(e)) for b, t in zip(batch["block"], batch["text"], strict=True) for e in entries_of(t)]
+            rows = [(b, w, 1, 0, 0) for b, e, _ in parts for w in e] + [(None, None, 0, 1, n) for _, _, n in parts]
+            out = pd.DataFrame(rows, columns=["block", "word", "df", "n", "words"])
+            yield out.astype({"block": "Int32"})
+
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    counted = items.mapInPandas(words, "block int, word string, df long, n long, words long")
+    counted = cut(counted.groupBy("block", "word").agg(*[F.sum(c).alias(c) for c in ("df", "n", "words")]), "item-words")
+    whole = counted.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    n, mean = whole.n or 0, (whole.words or 0) / max(1, whole.n or 0)
+    df = counted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("df").alias("df"))
+    df = counted.filter("word IS NOT NULL").select("block", "word").join(df, "word")
+
+    def build(key, rows: pd.DataFrame, frequency: pd.DataFrame) -> pd.DataFrame:
+        found = sorted(zip(rows["item_id"].astype(object).where(rows["item_id"].notna(), None), rows["text"], strict=True), key=str)
+        index = Index(found, dict(zip(frequency["word"], frequency["df"].tolist(), strict=True)), n, mean)
+        return pd.DataFrame({"block": [key[0]], "blob": [pickle.dumps(index)]})
+
+    return items.groupBy("block").cogroup(df.groupBy("block")).applyInPandas(build, "block int, blob binary")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, share, question_overlap, answer_overlap, first_word): items found in documents.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    items = items.select("item_id", "text").filter(F.col("text").isNotNull())
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, "
     schema += "share double, question_overlap double, answer_overlap double, first_word long"
-    blocks = max(1, math.ceil(items.count() / per_block))
-    out = None
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = docs.sparkSession.sparkContext.broadcast(Index(sorted(map(tuple, mine.collect()), key=str)))
+    built = cut(indexes(items, block_chars), "indexes")
+    out = docs.mapInPandas(lambda batches: iter(()), schema) if built.isEmpty() else None
+    for row in built.select("block").collect():
+        blob = built.filter(F.col("block") == row.block).first().blob
+        shared = docs.sparkSession.sparkContext.broadcast(pickle.loads(bytes(blob)))
 
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(d, *f) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for f in index.value.finds(t)]
+                rows = [(d, *f) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for f in shared.value.finds(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "question_overlap", "answer_overlap", "first_word"]).convert_dtypes()
 
         found = docs.mapInPandas(search, schema)

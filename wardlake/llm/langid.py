@@ -4,10 +4,11 @@ A text becomes its letter n-grams (one to three characters, other characters cou
 hashed into a fixed number of dimensions, weighted by log(1 + count) * idf and scaled to length 1. Training rows
 of a language are grouped into a few clusters by spherical k-means; a text gets the language of the centroid with the largest
 cosine. If that cosine is below the floor learned for the centroid's language, the text is rejected: it is too far from
-everything learned. Very short texts have a lower floor, since the cosine of a few n-grams says little.
+everything learned. The floor grows smoothly with the number of n-grams, as the cosine of a text with its own centroid does.
 
-The fit uses a bounded sample of the labelled rows (``per_language`` expected rows of each of at most ``MAX_LANGUAGES``
-most frequent values); prediction reads every whole text.
+The fit uses a bounded sample of the labelled rows (``per_language`` expected rows of each language); every value of ``lang`` is
+learned. Languages are dealt into parts of about ``TOGETHER``; each part is a model of bounded size, and a text
+takes the best of all parts. Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0 and are rejected, as does everything if
 there was nothing to learn from. Repeated rows get equal results. Ties go to the language that sorts first.
@@ -29,10 +30,11 @@ from .common import cut
 DIMENSIONS = 1 << 14
 PER_LANGUAGE = 1500
 CLUSTERS = 4
-MAX_LANGUAGES = 200
-#: A text is rejected below this share of the cosine that 99 of 100 training texts of the language reach; texts of fewer
-#: than ``SHORT`` n-grams (about six words) below the smaller share.
-FLOOR_SHARE, SHORT_SHARE, SHORT = 0.5, 0.25, 150
+#: Languages whose centroids are learned, sent and compared together.
+TOGETHER = 100
+#: A text of m n-grams is rejected below sqrt(m / (m + HALFWAY)) of this share of the cosine that 99 of 100 training texts of
+#: the language reach: the cosine of a text with what it is drawn from grows like this.
+FLOOR_SHARE, HALFWAY = 0.5, 200
 CHUNK = 1 << 20
 UNKNOWN = "und"
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
@@ -102,22 +104,24 @@ class Model:
         near = self.centres @ unit(found, self.idf)
         j = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[j])))
-        share = SHORT_SHARE if found.sum() < SHORT else FLOOR_SHARE
-        return self.languages[j], score, bool(score < share * self.reached[j])
+        return self.languages[j], score, bool(score < floor(int(found.sum())) * self.reached[j])
+
+
+def floor(grams: int) -> float:
+    return FLOOR_SHARE * (grams / (grams + HALFWAY)) ** 0.5
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text): about ``per_language`` rows of each frequent language, chosen by a hash of the row."""
+    """(lang, text): about ``per_language`` rows of each language, chosen by a hash of the row."""
     docs = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    share = F.broadcast(sizes.select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")))
+    share = docs.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
     # texts decide, so that copies of one text are taken or left together; the most copied text counts at most so often
     return docs.join(share, "lang").filter(chance < F.col("share")).select("lang", "text").dropDuplicates()
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) -> Model:
-    """Learn from ``docs`` (lang, text). Only idf and centroids reach the driver."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS, together: int = TOGETHER) -> list[Model]:
+    """Learn from ``docs`` (lang, text): models of about ``together`` languages each. Only idf and centroids reach the driver."""
     sample = cut(training_sample(docs, per_language), "language-sample")
 
     def present(batches):
@@ -145,24 +149,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) ->
         reached = float(np.quantile((vectors @ centres.T).max(axis=1), 0.01))
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.tolist() for c in centres], "reached": reached})
 
-    learned = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre array<float>, reached double").collect()
-    learned.sort(key=lambda r: r.lang)
-    return Model(
-        [r.lang for r in learned],
-        np.array([r.centre for r in learned], dtype=np.float32).reshape(-1, DIMENSIONS),
-        np.array([r.reached for r in learned]),
-        idf,
-    )
+    learned = cut(sample.groupBy("lang").applyInPandas(centroids, "lang string, centre array<float>, reached double"), "centroids")
+    parts = max(1, -(-learned.select("lang").distinct().count() // together))
+    models = []
+    for part in range(parts):  # about ``together`` * k centroids each
+        rows = learned.filter(F.pmod(F.xxhash64("lang"), F.lit(parts)) == part).collect()
+        rows.sort(key=lambda r: r.lang)
+        centres = np.array([r.centre for r in rows], dtype=np.float32).reshape(-1, DIMENSIONS)
+        models.append(Model([r.lang for r in rows], centres, np.array([r.reached for r in rows]), idf))
+    return models
+
 
+def predict(text: Column, models: list[Model]) -> Column:
+    """struct<lang_pred, score, rejected> of each whole text: the nearest centroid of all models."""
 
-def predict(text: Column, model: Model) -> Column:
-    """struct<lang_pred, score, rejected> of each whole text."""
+    def of(model: Model) -> Column:
+        @F.pandas_udf("lang_pred string, score double, rejected boolean")
+        def language(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([model.best(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def language(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.best(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        return language(text)
 
-    return language(text)
+    told = [of(m) for m in models if m.languages] or [of(models[0])]
+    if len(told) == 1:
+        return told[0]
+    nearer = lambda a, b: (b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["lang_pred"] < a["lang_pred"]))
+    return F.aggregate(F.array(*told[1:]), told[0], lambda a, b: F.when(nearer(a, b), b).otherwise(a))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,6 +184,6 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CLUSTERS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every document; held-out rows are not learned from."""
     docs = docs.select("doc_id", "text", "lang")
-    model = fit(docs.filter(~held_out(F.col("doc_id"))), per_language, k)
-    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), model).alias("p"))
+    models = fit(docs.filter(~held_out(F.col("doc_id"))), per_language, k)
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), models).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")

@@ -4,8 +4,8 @@ The lines with a word of every document form a sequence of line ids; documents a
 the first 2^k lines of every suffix are made from ranks of 2^(k-1) lines, as in the construction of a suffix
 array; suffixes whose first 2^k lines stand nowhere else are settled and leave. Walking down the powers then builds the
 tree of LCP intervals: all suffixes that share their first t lines, with the earliest of them. The longest match of a line with
-an earlier place is the longest interval in which it is not the earliest. Matches of ``MIN_WORDS`` words or more are
-deleted, so of each maximal repeated run the first copy stays.
+an earlier place is the longest interval in which it is not the earliest. Matches are deleted, so of each maximal repeated run
+the first copy stays; a caller may ask for a least number of words.
 
 A rank is the earliest place with those lines, so ranks are exact and need no global sort. All grouping is pre-aggregated;
 a line in a third of all places is a skewed join, not a group held by one task.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, cut
 
-#: Lines of one or two words are alike by chance; every other repeated line or run goes, however short.
-MIN_WORDS = 3
+#: Words of a repeated run that is deleted: with one, all of them are.
+MIN_WORDS = 1
 LONGEST = 40  # doublings; a run of 2^40 lines is out of reach
 
 
@@ -72,7 +72,9 @@ def longest_earlier(places: DataFrame) -> DataFrame:
         step = levels[k].select(F.col("at").alias("end"), "rank")
         rows = now.withColumn("end", _moved(F.col("at"), F.col("t"))).join(step, "end", "left").drop("end")
         groups = rows.filter("rank IS NOT NULL").groupBy("first", "t", "rank").agg(F.min("at").alias("low"), F.count("*").alias("n"))
-        rows = rows.join(groups.filter("n > 1"), ["first", "t", "rank"], "left")
+        # those who leave have no rank; each gets a key of its own, as a common null would be one key for nearly all
+        own = F.struct(F.col("at.doc").alias("doc"), F.col("at.key").alias("key"), (-1 - F.col("at.pos")).alias("pos"))
+        rows = rows.withColumn("rank", F.coalesce("rank", own)).join(groups.filter("n > 1"), ["first", "t", "rank"], "left")
         longer = F.col("t") + (1 << k)
         # a suffix moves to the longer interval; its earliest member also stays to witness for those left behind
         moved = F.struct(
@@ -91,15 +93,10 @@ def _strip(text: str | None, starts, lengths, min_words: int) -> tuple[str | Non
     full = [i for i, line in enumerate(lines) if line.strip(SPACE_CHARS)]
     if starts is None or not len(starts):
         return text, len(full), 0, ""
-    # as in the words of other operators: only these six characters part words
-    table = dict.fromkeys(map(ord, SPACE_CHARS), " ")
-    words = [len([w for w in lines[i].translate(table).split(" ") if w]) for i in full]
-    total = [0]
-    for n in words:
-        total.append(total[-1] + n)
     gone, reach = set(), 0
     for p, n in sorted(zip(starts, lengths, strict=True)):
-        if total[p + n] - total[p] >= min_words:
+        # a line taking part has a word; encoded, only the six ASCII spaces part words
+        if n >= min_words or sum(len(lines[i].encode("utf-8", "surrogatepass").split()) for i in full[p : p + n]) >= min_words:
             gone.update(full[max(p, reach) : p + n])
             reach = max(reach, p + n)
     spans: list[list[int]] = []

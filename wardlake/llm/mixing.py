@@ -5,12 +5,14 @@ flatten it. The power is bisected: the largest up to 1 whose mixture has the tar
 then raised as far as needed for no source to be repeated more than ``most_passes`` times within the word budget.
 
 A source's budget is then filled by passes over its documents. Each pass is a permutation by a seeded hash; its blocks are
-ranges of the hash. Whole passes take every document once. The last, partial pass takes blocks in order until the budget is reached:
-the range in which it runs out is found level by level (1024 ranges each), so no source is sorted in one task and a part of
-2^-30 of the hash is the error at most.
+ranges of the hash. Whole passes take every document once. The last, partial pass takes documents in the permutation's order until the
+budget is reached, the one that crosses it included: so a source gets its budget and less than one text more. The place where the
+budget runs out is found level by level (1024 ranges each), so no source is sorted in one task. The lower half of the hash is made of
+the row's own number, so rows that repeat each other have places of their own.
 
 Defined results: a null source is a source of its own. Null and empty texts have no words, cost no budget and are taken in every
-whole pass. Repeated rows are taken alike. Empty tables give an empty result.
+whole pass, and in the partial one as far as it goes. Which of several equal rows a partial pass takes is open. Empty tables give an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .common import cut, space_words
 
 ENTROPY_SHARE = 0.95
 MOST_PASSES = 4.0
-FAN, LEVELS = 1024, 3
+#: Levels of ranges: half of them by the hash of a text, half by the row's number.
+FAN, LEVELS = 1024, 6
 SEED = 17
 #: Inner powers of one bisection job; each job replaces four halvings.
 GRID = 15
@@ -78,38 +81,37 @@ def weights(totals: DataFrame, budget: float | None = None, entropy_share: float
 
 
 def plan(narrow: DataFrame, budget: float | None = None, entropy_share: float = ENTROPY_SHARE, most_passes: float = MOST_PASSES) -> DataFrame:
-    """For each source key: weight, budget, whole passes and the end of its partial pass. ``narrow``: key, id, words."""
+    """For each source key: weight, budget, whole passes and the end of its partial pass. ``narrow``: key, id, row, words."""
     totals = cut(narrow.groupBy("key").agg(F.sum("words").alias("words")), "sources")
     shares, _ = weights(totals, budget, entropy_share, most_passes)
     whole = F.floor(F.col("budget") / F.col("words") + 1e-9)
     shares = shares.select("key", "weight", "budget", whole.cast("int").alias("whole"), (F.col("budget") - whole * F.col("words")).alias("rest"))
     shares = cut(totals.select("key").join(shares, "key", "left").fillna({"weight": 0.0, "budget": 0.0, "whole": 1, "rest": 0.0}), "sources")
     # the partial pass is pass number ``whole``; its permutation depends on that number
-    left = shares.select("key", F.col("whole").alias("turn"), "rest", F.lit(0).alias("base"))
-    rows = narrow.join(left, "key")
-    rows = rows.select("key", "rest", "words", _turn_hash(F.col("id"), F.col("turn")).alias("h"))
+    left = shares.filter("rest > 1e-9").select("key", F.col("whole").alias("turn"), "rest", F.lit(0).cast("long").alias("base"))
+    rows = narrow.join(left.select("key", "turn"), "key").select("key", "words", turn_hash("id", "row", "turn").alias("h"))
     for level in range(LEVELS):
-        width = FAN ** (LEVELS - 1 - level)
-        if level:
+        shift = 10 * (LEVELS - 1 - level)  # a range is 2 ** shift places
+        width = 1 << shift
+        if level:  # what lies in the range that was found
             inside = (F.col("h") >= F.col("base")) & (F.col("h") < F.col("base") + width * FAN)
-            rows = rows.join(left, "key").filter(inside)
-        ranges = rows.groupBy("key", "rest", F.floor(F.col("h") / width).cast("int").alias("range")).agg(F.sum("words").alias("words"))
+            rows = cut(rows.join(left.select("key", "base"), "key").filter(inside).select("key", "words", "h"), "crossing")
+        ranges = rows.groupBy("key", F.shiftright("h", shift).alias("range")).agg(F.sum("words").alias("words")).join(left, "key")
         before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranges = ranges.select("key", "range", "words", "rest", before.alias("before"))
-        # the first range that does not fit; its rows are looked at on the next level
-        split = ranges.filter(F.col("before") + F.col("words") > F.col("rest") + 1e-9).groupBy("key").agg(F.min_by(F.struct("range", "before"), "range").alias("s"))
-        left = left.select("key", "rest", "base").join(split, "key", "left")
-        # without such a range everything on this level fits and the end is its upper end
-        end = F.coalesce(F.col("s.range") * width, F.col("base") + width * FAN)
-        left = cut(left.select("key", (F.col("rest") - F.coalesce("s.before", F.lit(0))).alias("rest"), end.alias("base")), "boundary")
-        rows = rows.select("key", "words", "h")
-    end = F.when(F.col("whole_rest") <= 1e-9, F.lit(0)).otherwise(F.least("base", F.lit(FAN**LEVELS)))
-    ends = left.select("key", "base").join(shares.select("key", F.col("rest").alias("whole_rest")), "key")
-    return cut(shares.join(ends.select("key", end.alias("end")), "key"), "mixture")
+        ranges = ranges.select("key", "range", "words", "rest", "base", before.alias("before"))
+        # the first range in which the budget is reached; a partial pass always has one, as it is shorter than a whole one
+        crossing = F.min_by(F.struct("range", "before", "rest"), "range").alias("s")
+        split = ranges.filter(F.col("before") + F.col("words") >= F.col("rest") - 1e-9).groupBy("key").agg(crossing)
+        left = cut(split.select("key", (F.col("s.rest") - F.col("s.before")).alias("rest"), (F.col("s.range") * F.lit(width)).alias("base")), "boundary")
+    ends = left.select("key", (F.col("base") + 1).alias("end"))
+    return cut(shares.join(ends, "key", "left").fillna({"end": 0}), "mixture")
 
 
-def _turn_hash(row_id: Column, turn: Column) -> Column:
-    return F.pmod(F.xxhash64(turn.cast("int"), row_id), F.lit(FAN**LEVELS)).cast("int")
+def turn_hash(text_id: str, row: str, turn: str) -> Column:
+    """A row's place in the permutation of a pass: FAN ** LEVELS places."""
+    half = FAN ** (LEVELS // 2)
+    part = lambda c: F.pmod(F.xxhash64(F.col(turn).cast("int"), F.col(c)), F.lit(half))
+    return part(text_id) * F.lit(half) + part(row)
 
 
 def row_id(docs: DataFrame, seed: int = SEED) -> Column:
@@ -122,21 +124,23 @@ def mix(docs: DataFrame, budget: float | None = None, entropy_share: float = ENT
     ``mixed`` holds the words, the pass, the block of the pass's permutation, and ``place`` (0 to 1): sorted by it, every
     prefix has about the target weights. A column of that name in ``docs`` is replaced.
     """
-    narrow = cut(
-        docs.select(source_key(docs).alias("key"), row_id(docs, seed).alias("id"), F.size(space_words(docs["text"])).alias("words")), "words"
-    )
+    # a row's number is its place in the written table
+    docs = docs.select(*[c for c in docs.columns if c.lower() != "mixed"])
+    docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "to-mix")
+    keys = docs.withColumn("__key", source_key(docs)).withColumn("__id", row_id(docs, seed)).withColumn("__words", F.size(space_words(F.col("text"))))
+    narrow = cut(keys.select(F.col("__key").alias("key"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__words").alias("words")), "words")
     ends = plan(narrow, budget, entropy_share, most_passes)
     ends = ends.select(F.col("key").alias("__key"), F.struct("whole", "end", "weight").alias("__plan"))
-    rows = docs.withColumn("__key", source_key(docs)).withColumn("__id", row_id(docs, seed)).join(ends, "__key")
-    last = F.when(_turn_hash(F.col("__id"), F.col("__plan.whole")) < F.col("__plan.end"), F.col("__plan.whole")).otherwise(F.col("__plan.whole") - 1)
+    rows = keys.join(ends, "__key").withColumn("__last", F.col("__plan.whole"))
+    last = F.when(turn_hash("__id", "__row", "__last") < F.col("__plan.end"), F.col("__last")).otherwise(F.col("__last") - 1)
     turns = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("__turn", F.explode(turns))
-    h = _turn_hash(F.col("__id"), F.col("__turn"))
+    h = turn_hash("__id", "__row", "__turn")
     length = F.col("__plan.whole") + F.col("__plan.end") / float(FAN**LEVELS)
     mixed = F.struct(
-        F.size(space_words(F.col("text"))).cast("long").alias("n_words"),
+        F.col("__words").cast("long").alias("n_words"),
         F.col("__turn").alias("turn"),
-        F.floor(h / FAN ** (LEVELS - 1)).cast("int").alias("block"),
-        ((F.col("__turn") + h / float(FAN**LEVELS)) / F.greatest(length, F.lit(1e-12))).alias("place"),
+        F.shiftright(h, 10 * (LEVELS - 1)).cast("int").alias("block"),
+        F.least(F.lit(1.0), (F.col("__turn") + h / float(FAN**LEVELS)) / F.greatest(length, F.lit(1e-12))).alias("place"),
     )
-    return rows.withColumn("mixed", mixed).drop("__key", "__id", "__plan", "__turn")
+    return rows.withColumn("mixed", mixed).drop("__key", "__id", "__row", "__words", "__plan", "__last", "__turn")

@@ -11,8 +11,9 @@
 
 A bucket over ``BLOCK`` classes is cut into blocks, and pairs of blocks go to different tasks; no bucket is capped.
 
-Defined results: null, empty and blank texts have an empty set, are linked with nothing and are kept. Rows with equal doc_id are the
-same document and are kept together. A class whose ids are all null has a null component and is kept.
+Defined results: null, empty and blank texts have an empty set, are linked with nothing and are kept. Rows with equal doc_id are one
+document, whatever their texts: it is linked with all that any of its texts is linked with, and its rows are kept or dropped together. A
+class whose ids are all null has a null component and is kept.
 """
 
 from __future__ import annotations
@@ -323,6 +324,13 @@ def units_of(bands: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class")
 
 
+def same_document(read: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of rows with one doc_id."""
+    rows = read.filter("doc_id IS NOT NULL AND class IS NOT NULL").select("doc_id", F.col("class").alias("a"))
+    several = rows.groupBy("doc_id").agg(F.min("a").alias("b"), F.max("a").alias("most")).filter("b <> most").select("doc_id", "b")
+    return rows.join(several, "doc_id").filter("a <> b").select("a", "b").distinct()
+
+
 def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -350,11 +358,15 @@ def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # two rounds join most of each component; what they leave apart is only compared once more
     near = stars(sure, rounds=2, settle=False)
     roots = near.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    roots = components(near.union(links_between(units, signatures, sets, roots)))
+    roots = components(near.union(links_between(units, signatures, sets, roots)).union(same_document(read)))
 
     least = roots.join(classes.select(F.col("class").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
     known = classes.join(least, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     out = read.select("doc_id", "n_shingles", "class").join(known, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    # a blank row goes with the other rows of its document
+    blank = out.filter(F.col("class").isNull()).select("doc_id").distinct()
+    others = out.filter(F.col("class").isNotNull()).join(blank, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("__other"))
+    out = out.join(others, "doc_id", "left")
+    component = F.when(F.col("class").isNull(), F.coalesce("__other", "doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -104,17 +104,24 @@ def sample(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> DataFrame:
     return docs.filter(chance < share.scalar())
 
 
-def learn(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) for every pair of characters, in one list."""
-    texts = sample(docs.select(F.col("text")).filter(F.col("text").isNotNull()), limit)
-    out = texts.select("text", base_spans(F.col("text")).alias("base"))
+def labelled(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """(random, token): the labelled samples. Each class has its own sample, so that neither shrinks as it gets rarer.
+
+    Random strings are the values that the three patterns label, from about ``limit`` of the documents that have any; ordinary ones are
+    the other identifiers, from about ``limit`` documents.
+    """
+    texts = docs.select("text").filter(F.col("text").isNotNull())
+    marked = texts.select("text", base_spans(F.col("text")).alias("base")).filter(F.size("base") > 0)
+    random = sample(marked, limit).select(F.lit(True).alias("random"), F.explode("base.value").alias("token"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.filter(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0)), lambda t: ~mixed(t))
-    tokens = F.concat(
-        F.transform("base", lambda b: F.struct(F.lit(True).alias("random"), b["value"].alias("token"))),
-        F.transform(ordinary, lambda t: F.struct(F.lit(False).alias("random"), t.alias("token"))),
-    )
-    out = out.select(F.explode(tokens).alias("t")).select("t.random", "t.token")
+    others = sample(texts, limit).select(F.lit(False).alias("random"), F.explode(ordinary).alias("token"))
+    return random.unionByName(others)
+
+
+def learn(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> list[float]:
+    """log P(b | a, random) - log P(b | a, ordinary) for every pair of characters, in one list."""
+    out = labelled(docs, limit)
     # equal tokens are added up first; the tokens of one kind then weigh as often as they occur
     out = out.groupBy("random", "token").agg(F.count("*").alias("n")).filter(F.length("token") > 1)
     cells = out.select("random", "n", F.explode(transitions(F.col("token"))).alias("cell")).groupBy("random", "cell").agg(F.sum("n").alias("n"))

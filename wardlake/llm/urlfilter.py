@@ -76,12 +76,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         "url", "fetched_on", "k.kind", "k.value", month(F.col("fetched_on")).alias("month")
     )
     spans = intervals(entries)
-    # an open interval needs only the months that captures have
-    reach = days.agg(F.min("fetched_on").alias("lo"), F.max("fetched_on").alias("hi"))
-    lo, hi = (reach.select(c).scalar() for c in ("lo", "hi"))
-    first, last = F.greatest("since", lo), F.least(F.date_sub("until", 1), hi)
-    spans = spans.withColumn("first", first).withColumn("last", last).filter("first <= last")
-    spans = spans.withColumn("month", F.explode(F.sequence(month(F.col("first")), F.col("last"), F.expr("interval 1 month")))).drop("first", "last")
+    # an interval needs only the months that captures have, however far apart the first and the last are
+    months = days.select(month(F.col("fetched_on")).alias("m")).distinct().agg(F.array_sort(F.collect_list("m")).alias("months"))
+    covered = F.filter(months.select("months").scalar(), lambda m: (m >= month(F.col("since"))) & (m < F.col("until")))
+    spans = spans.withColumn("month", F.explode(covered))
     active = keys.join(spans, ["kind", "value", "month"]).filter("since <= fetched_on AND fetched_on < until")
     verdicts = active.groupBy("url", "fetched_on").agg(
         F.max(F.col("effect") == "block").alias("blocking"),
