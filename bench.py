@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from wardlake.catalog import QUERIES  # noqa: E402
-from wardlake.session import local_session  # noqa: E402
+from wardlake.session import local_session, release  # noqa: E402
 
 HEADLINE = [
     "q01_daily_overview",
@@ -48,7 +48,7 @@ REPORTS = {
         "q18_table_counts", "q19_sensor_breakdown", "q03_country_share_24h", "q20_top_techniques", "q16_country_coverage",
         "q17_technique_coverage", "q13_lateral_count", "q13_lateral_latest", "q14_lateral_alerts", "q21_top_attackers",
     ],
-    "profile_refresh": ["p8_profile_delta", "p6_top_profiles"],
+    "profile_refresh": ["p8_profile_delta", "p1_build_profiles", "p6_top_profiles"],
 }
 
 
@@ -77,6 +77,7 @@ def main() -> None:
         "cpus": int(cpus) if cpus.isdigit() else cpus,
     }
     print(json.dumps(line))
+    release(spark)
     spark.stop()
 
 

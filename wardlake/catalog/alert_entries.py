@@ -185,12 +185,20 @@ def _drain(v, sdf, label, mode="append"):
 
 
 def _stream_rollup(v):
-    return _drain(v, rollup.stream_rollup(_replay(v, v.events(), "rollup"), "1 day"), "rollup")
+    """A stream's daily counts, and whether its sketched counts are within their bound (four standard errors) of the exact ones."""
+    drained = _drain(v, rollup.stream_rollup(_replay(v, v.events(), "rollup"), "1 day"), "rollup")
+    keys = [F.date_trunc("day", "timestamp").alias("window_start"), "honeypot_type", "event_type"]
+    exact = v.events().groupBy(*keys).agg(F.count_distinct("source_ip_hash").alias("a"), F.count_distinct("dest_port").alias("p"))
+    close = lambda sketched, counted: F.abs(F.col(sketched) - F.col(counted)) <= 0.065 * F.col(counted)
+    joined = drained.join(exact, ["window_start", "honeypot_type", "event_type"])
+    return joined.select(
+        "window_start", "honeypot_type", "event_type", "event_count",
+        close("unique_attackers", "a").alias("attackers_close"), close("unique_ports", "p").alias("ports_close"),
+    )
 
 
 add("a8_stream_rollup", _stream_rollup, q(
-    """SELECT CAST(d AS VARCHAR) AS window_start, honeypot_type, event_type, count(*) AS event_count,
-    count(DISTINCT source_ip_hash) AS unique_attackers, count(DISTINCT dest_port) AS unique_ports
+    """SELECT CAST(d AS VARCHAR) AS window_start, honeypot_type, event_type, count(*) AS event_count, true AS attackers_close, true AS ports_close
     FROM (SELECT *, date_trunc('day', timestamp)::TIMESTAMP AS d FROM honeypot_events)
     WHERE d + INTERVAL 1 day <= (SELECT max(timestamp) FROM honeypot_events) - INTERVAL 10 minute GROUP BY d, 2, 3""", HE))
 

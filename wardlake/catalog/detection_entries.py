@@ -262,7 +262,11 @@ add("d_upn_2_ssdp_relevant", lambda v: d.ssdp_relevant(v.raw("events").selectExp
 # --- signatures
 
 add("r1_rules", lambda v: s.rules_table(v.spark).select("sid", "rev", "proto", "classtype", "technique", "msg").join(
-    v.alerts().select(F.col("signature_id").cast("int").alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("alerts")), "sid", "left"))
+    v.alerts().select(F.col("signature_id").cast("int").alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("alerts")), "sid", "left"), q(
+    "SELECT r.*, alerts FROM (VALUES " + ", ".join(
+        f"({r.sid}, {r.rev}, '{r.proto}', '{r.classtype}', '{r.technique}', '{r.msg}')" for r in s.RULES)
+    + ") r(sid, rev, proto, classtype, technique, msg) LEFT JOIN (SELECT signature_id, count(*) AS alerts FROM ids_alerts GROUP BY 1) a "
+    "ON signature_id = sid", IA))
 
 IN_ORDER = {  # text rules written out for DuckDB: gate and conditions, independent of the rule table
     2000002: "dest_port = 23 AND regexp_matches(payload, '(?is)^.{0,6}root.{0,45}admin')",

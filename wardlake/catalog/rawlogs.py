@@ -138,6 +138,20 @@ def zeek_http(v: Views) -> DataFrame:
     })
 
 
+def zeek_dns(v: Views) -> DataFrame:
+    return _json(v, {
+        "ts": EPOCH, "uid": "concat('D', event_id)", "id.orig_h": IP, "id.orig_p": PORT, "id.resp_h": DEST, "id.resp_p": "53",
+        "query": f"concat('host', {K}, '.example')", "qtype_name": "'A'",
+    })
+
+
+def zeek_ssh(v: Views) -> DataFrame:
+    return _json(v, {
+        "ts": EPOCH, "uid": "concat('S', event_id)", "id.orig_h": IP, "id.orig_p": PORT, "id.resp_h": DEST, "id.resp_p": "22",
+        "auth_success": "CASE WHEN event_id % 3 < 2 THEN event_id % 3 = 0 END", "auth_attempts": "1",
+    })
+
+
 def zeek_tsv(v: Views) -> DataFrame:
     """Lines of a tab-separated log, ``-`` for unset; every hundredth is preceded by comments and a blank line."""
     cells = {

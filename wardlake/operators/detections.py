@@ -345,41 +345,58 @@ LOG_SCHEMA = (
 )
 
 
-def _log_walk(fails_n: int, rapid_n: int, window: int):
-    """Both SSH counters of a source side by side, each in its own expiring window.
+def failure_walk_step(fails_n: int, rapid_n: int, window: int):
+    """One second of a source: (failure window, failures, attempt window, attempts), -1 without a window -> the same behind it, firings.
 
     Inside a second: failures, successes, closing short sessions. The attempts of a second are numbered from 1;
     each kind fires at a range of them, given by its ends and step, so a second costs the same however
     many attempts it has. ``turn`` is the attempt that first brings the rapid counter to its limit.
     """
 
+    def step(state, sec, failed, won, shorts):
+        fail_at, fails, try_at, tries = state
+        if fail_at >= 0 and sec >= fail_at + window:
+            fail_at, fails = -1, 0
+        if try_at < 0 or sec >= try_at + window:
+            try_at, tries = sec, 0
+        attempts, turn = failed + won, max(1, rapid_n - tries)
+        ranges = [("bruteforce", max(1, fails_n - fails), failed, 1), ("rapid_connections", turn, attempts, rapid_n)]
+        if won and fails + failed:
+            ranges.append(("bruteforce_success", failed + 1, failed + 1, 1))
+        fired = [(k, lo, hi, by, tries, turn, fails, failed) for k, lo, hi, by in ranges if lo <= hi]
+        if failed and fail_at < 0:
+            fail_at = sec
+        fails = 0 if won else fails + failed
+        tries = (tries + attempts if attempts < turn else (attempts - turn) % rapid_n) + shorts
+        return (fail_at, fails, try_at, tries), fired
+
+    return step
+
+
+def _log_walk(fails_n: int, rapid_n: int, window: int):
+    """Both SSH counters of a source side by side, each in its own expiring window."""
+    step = failure_walk_step(fails_n, rapid_n, window)
+
     def run(batches):
-        source, fail_at, fails, try_at, tries = None, None, 0, None, 0
+        source, state = None, None
         columns = [SRC, "sec", "fails", "wins", "shorts", "dst", "dst_port"]
         names = [SRC, "sec", "dst", "dst_port", "detection_type", "lo", "hi", "step", "tries", "turn", "fails", "failed"]
         for pdf in batches:
             out = []
             for src, sec, failed, won, shorts, dst, port in zip(*[pdf[c].tolist() for c in columns]):
                 if src != source:
-                    source, fail_at, fails, try_at, tries = src, None, 0, None, 0
-                if fail_at is not None and sec >= fail_at + window:
-                    fail_at, fails = None, 0
-                if try_at is None or sec >= try_at + window:
-                    try_at, tries = sec, 0
-                attempts, turn = failed + won, max(1, rapid_n - tries)
-                ranges = [("bruteforce", max(1, fails_n - fails), failed, 1), ("rapid_connections", turn, attempts, rapid_n)]
-                if won and fails + failed:
-                    ranges.append(("bruteforce_success", failed + 1, failed + 1, 1))
-                out += [(src, sec, dst, port, k, lo, hi, by, tries, turn, fails, failed) for k, lo, hi, by in ranges if lo <= hi]
-                if failed and fail_at is None:
-                    fail_at = sec
-                fails = 0 if won else fails + failed
-                tries = (tries + attempts if attempts < turn else (attempts - turn) % rapid_n) + shorts
+                    source, state = src, (-1, 0, -1, 0)
+                state, fired = step(state, sec, failed, won, shorts)
+                out += [(src, sec, dst, port, *f) for f in fired]
             yield pd.DataFrame(out, columns=names)
 
     return run
 
 
+def short_session(max_s: float = 5) -> Column:
+    return (F.col("dest_port") == 22) & (F.col("protocol") == "ssh") & (F.col("duration") < max_s)
+
+
 def ssh_log(
     auth: DataFrame, conns: DataFrame, creds: DataFrame, fails: int = 10, rapid: int = 15, window: int = 600, max_s: float = 5,
     scanner_by: str = "service",
@@ -395,8 +412,7 @@ def ssh_log(
         F.count_if(~F.col("authenticated")).alias("fails"), F.count_if("authenticated").alias("wins"), zero.alias("shorts"),
         F.min("dest_ip").alias("dst"), F.min("dest_port").alias("dst_port"),
     )
-    short = conns.filter((F.col("dest_port") == 22) & (F.col("protocol") == "ssh") & (F.col("duration") < max_s))
-    closed = short.groupBy(SRC, when).agg(
+    closed = conns.filter(short_session(max_s)).groupBy(SRC, when).agg(
         zero.alias("fails"), zero.alias("wins"), F.count(F.lit(1)).alias("shorts"),
         F.min("dest_ip").alias("dst"), F.min("dest_port").alias("dst_port"),
     )
@@ -407,6 +423,11 @@ def ssh_log(
     can_fire = can_fire | (F.col("_fails") + F.col("_wins") + F.col("_shorts") >= rapid)
     live = reachable(seconds, [SRC], can_fire, _fails=F.sum("fails"), _wins=F.sum("wins"), _shorts=F.sum("shorts"))
     counted = walk(live, [SRC], _log_walk(fails, rapid, window), LOG_SCHEMA, placed=True)
+    return ssh_plain_rows(finish_ssh_log(counted, rapid), conns, creds, scanner_by)
+
+
+def finish_ssh_log(counted: DataFrame, rapid: int) -> DataFrame:
+    """Rows of the log from ranges of firing attempts."""
     counted = counted.withColumn("at", F.explode(F.sequence("lo", "hi", "step")))
     # the counters as the attempt saw them: the rapid one starts anew after each turn, a success ends the failures
     since_turn = (F.col("at") - F.col("turn") - 1) % rapid + 1
@@ -415,11 +436,15 @@ def ssh_log(
     counted = counted.withColumn("failed_logins", seen)
     counted = counted.withColumn("conn_attempts", F.when(F.col("at") <= F.col("turn"), F.col("tries") + F.col("at")).otherwise(since_turn))
     saw = F.concat_ws(" ", F.col("conn_attempts").cast("string"), F.lit("attempts,"), F.col("failed_logins").cast("string"), F.lit("failed"))
-    counted = counted.select(
+    return counted.select(
         F.timestamp_seconds("sec").alias("ts"), F.col(SRC).alias("src"), "dst", "dst_port", "detection_type", "conn_attempts",
         "failed_logins", saw.alias("note"),
     )
 
+
+def ssh_plain_rows(counted: DataFrame, conns: DataFrame, creds: DataFrame | None, scanner_by: str) -> DataFrame:
+    """The log's counted rows with those that need no counter: quick disconnects and weak names."""
+
     def plain(rows, dst, port, kind, note):
         return rows.select(
             F.col("timestamp").alias("ts"), F.col(SRC).alias("src"), dst.alias("dst"), port.cast("int").alias("dst_port"),
@@ -428,8 +453,10 @@ def ssh_log(
         )
 
     quick = plain(conns.filter(scanner_condition(by=scanner_by)), F.col("dest_ip"), F.col("dest_port"), "scanner", F.lit("quick disconnect"))
-    weak = plain(creds.filter(F.col("username").isin(*lists.WEAK_USERS)), F.lit(""), F.lit(22), "weak_credentials", F.col("username"))
-    return counted.unionByName(quick).unionByName(weak)
+    out = counted.unionByName(quick)
+    if creds is None:
+        return out
+    return out.unionByName(plain(creds.filter(F.col("username").isin(*lists.WEAK_USERS)), F.lit(""), F.lit(22), "weak_credentials", F.col("username")))
 
 
 # --- downloads

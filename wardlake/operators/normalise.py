@@ -36,9 +36,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns, order, types and defaults of a canonical table.
 
     Missing columns get the default; values that do not cast get it too, so one bad
-    field never loses its row.
+    field never loses its row. The identity of the line that a row was read from stays, if it is known.
     """
-    out = []
+    out = [F.col("line_id")] if "line_id" in df.columns else []
     for field in TABLES[table].schema.fields:
         if field.name not in df.columns:
             out.append(_default(field.dataType).alias(field.name))
@@ -47,7 +47,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         if not isinstance(field.dataType, (T.TimestampType, T.ArrayType)):
             value = F.coalesce(value, _default(field.dataType))
         out.append(value.alias(field.name))
-    return df.select(*out)
+    return df.select(*out[1:], out[0]) if "line_id" in df.columns else df.select(*out)
 
 
 def rename_aliases(df: DataFrame, aliases: dict) -> DataFrame:
@@ -243,6 +243,7 @@ def ids_normalise(raw: DataFrame, salt: str, ranges: DataFrame | None = None) ->
             F.when(F.col("_named") != "", F.col("_named"))
             .otherwise(classify.mitre_tactic("_technique"))
             .alias("mitre_tactic"),
+            *[c for c in df.columns if c == "line_id"],
         ),
         "ids_alerts",
     )
@@ -300,7 +301,9 @@ def zeek_http_normalise(raw: DataFrame, salt: str, ranges: DataFrame | None = No
 
 def zeek_dns_queries(raw: DataFrame, salt: str) -> DataFrame:
     df = _flatten_ids(raw)
+    lined = [c for c in raw.columns if c == "line_id"]
     return df.select(
+        *lined,
         F.date_trunc("second", F.timestamp_seconds("ts")).alias("timestamp"),
         anon_ip("orig_h", salt).alias("source_ip_hash"),
         F.coalesce("query", F.lit("")).alias("query"),
@@ -309,7 +312,9 @@ def zeek_dns_queries(raw: DataFrame, salt: str) -> DataFrame:
 
 def zeek_ssh_auth(raw: DataFrame, salt: str) -> DataFrame:
     df = _flatten_ids(raw)
+    lined = [c for c in raw.columns if c == "line_id"]
     return df.select(
+        *lined,
         F.date_trunc("second", F.timestamp_seconds("ts")).alias("timestamp"),
         anon_ip("orig_h", salt).alias("source_ip_hash"),
         F.col("resp_h").alias("dest_ip"),
@@ -355,7 +360,8 @@ def upnp_normalise(raw: DataFrame, salt: str, ranges: DataFrame | None = None) -
     Rows without a session get an id derived from their content, so a replay
     produces the same id.
     """
-    row_id = F.substring(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])), 256), 1, 32)
+    content = [F.col(f"`{c}`") for c in raw.columns if c != "line_id"]
+    row_id = F.substring(F.sha2(F.to_json(F.struct(*content)), 256), 1, 32)
     df = raw.withColumns({"event_id": F.coalesce("session_id", row_id), "timestamp": parse_ts("timestamp")})
     df = _identify(df, "src_ip", salt, ranges)
     attack = F.coalesce("attack_detected", F.lit(False))

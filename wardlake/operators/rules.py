@@ -38,6 +38,7 @@ class Rule:
     byte_test: tuple | None = None  # bytes, operator, value, offset after the last content
     max_bytes: int | None = None
     outbound: bool = False
+    home: bool = True  # the target must be on the home side
     rev: int = 1
 
 
@@ -124,9 +125,9 @@ RULES = (
     Rule(2000027, "IoT Malware download - suspicious binary via HTTP", "http", (),
          (uri(".sh", nocase=I), c("GET", buffer="method")), None, "trojan-activity", "T1105", "TA0011"),
     Rule(2000028, "IoT C2 beacon to suspicious port", "tcp", (6667, 6697, 8080, 31337, 12345), (),
-         ("both", 3, 300), "trojan-activity", "T1071", "TA0011"),
+         ("both", 3, 300), "trojan-activity", "T1071", "TA0011", home=False),
     Rule(2000029, "IoT Botnet downloader - known malware URLs", "http", (),
-         (uri("bins/", nocase=I), uri(".mips", distance=0, nocase=I)), None, "trojan-activity", "T1105", "TA0011"),
+         (uri("bins/", nocase=I), uri(".mips", distance=0, nocase=I)), None, "trojan-activity", "T1105", "TA0011", home=False),
     Rule(2000030, "IoT DDoS tool download - XOR DDoS signature", "http", (),
          (c("GET", buffer="method"), uri("xor", nocase=I), uri("ddos", distance=0, nocase=I)),
          None, "trojan-activity", "T1584.005", "TA0042"),
@@ -200,7 +201,7 @@ RULES = (
     Rule(1000026, "HONEYPOT NULL Scan Detected", "tcp", (), (),
          ("threshold", 10, 10), "attempted-recon", flags="0"),
     Rule(1000027, "HONEYPOT Potential C2 Beacon Outbound", "tcp", (), (),
-         ("threshold", 10, 300), "trojan-activity", max_bytes=100, outbound=True),
+         ("threshold", 10, 300), "trojan-activity", max_bytes=100, outbound=True, home=False),
     Rule(1000028, "HONEYPOT Directory Traversal Attempt", "tcp", (80,),
          (uri("../"),), None, "web-application-attack"),
     Rule(1000029, "HONEYPOT SQL Injection Attempt", "tcp", (80,),

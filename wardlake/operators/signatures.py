@@ -6,12 +6,14 @@ matched against all of them in the same projection and then exploded to its
 hits, so neither a join nor a second pass over the rows is needed.
 
 Rows may carry: payload (text or binary), uri, user_agent, header, method, body,
-protocol, dest_port. Rules on buffers a row set lacks are left out.
+protocol, dest_port. Rules on buffers a row set lacks must be left out by name. All but two rules are about targets on the home side; where
+rows can have others too, ``home`` names the networks of that side, and ``dest_ip`` is tested.
 """
 
 from __future__ import annotations
 
 import re
+from ipaddress import ip_network
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.classify import lookup, mitre_tactic, transport
 from .folds import anchored, firings, per_second
-from .geo import ipv4_long
+from .geo import address_hex, ipv4_long
 from .rules import RULES, Content, Rule
 
 RULE_SCHEMA = (
@@ -135,7 +137,7 @@ def rule_condition(rule: Rule, cols: set) -> Column | None:
 
 
 def not_evaluated(rows: DataFrame, rules=RULES) -> list[int]:
-    """Rules that ``match_rules`` and ``scan_hits`` leave out over these rows, as a column they look at is missing."""
+    """Rules that ``match_rules`` and ``scan_hits`` cannot evaluate over these rows, as a column they look at is missing."""
     cols = set(rows.columns)
     missing = [r.sid for r in rules if r.contents and rule_condition(r, cols) is None]
     return missing + [r.sid for r in rules if not r.contents and r.flags == "0" and "history" not in cols]
@@ -150,14 +152,41 @@ def _hits(rows: DataFrame, conds: dict, as_list: bool) -> DataFrame:
     return rows.withColumn("sid", F.explode(sids))
 
 
-def match_rules(rows: DataFrame, binary: bool = False, rules=RULES, as_list: bool = False) -> DataFrame:
+def in_networks(ip: str, networks) -> Column:
+    """Whether an address lies in one of some networks (``a.b.c.d/len`` or with colons); configuration, so it is part of the filter."""
+    out = F.lit(False)
+    for network in networks:
+        found = ip_network(network, strict=False)
+        low, high = (int(x) for x in (found[0], found[-1]))
+        mapped = 0xFFFF << 32 if found.version == 4 else 0
+        out = out | address_hex(ip).between(f"{low + mapped:032x}", f"{high + mapped:032x}")
+    return F.coalesce(out, F.lit(False))
+
+
+def _sided(conds: dict, rules, home) -> dict:
+    """Conditions of home-side rules with the side added."""
+    if home is None:
+        return conds
+    free = {r.sid for r in rules if not r.home}
+    return {sid: c if sid in free else c & F.col("_home") for sid, c in conds.items()}
+
+
+def _complete(rows: DataFrame, rules, without) -> None:
+    missing = sorted(set(not_evaluated(rows, rules)) - set(without))
+    if missing:
+        raise ValueError(f"the rows lack columns for rules {missing}: add them, or leave these rules out by name")
+
+
+def match_rules(rows: DataFrame, binary: bool = False, rules=RULES, as_list: bool = False, home=None, without=()) -> DataFrame:
     """Rows × matching rule ids (column ``sid``; with ``as_list`` a row keeps all its ids in ``sids``).
 
     ``binary=False`` evaluates the text rules on a text payload; ``binary=True`` the
-    byte rules on a binary payload, read as one character per byte. :func:`not_evaluated` names the rules
-    that these rows lack a column for.
+    byte rules on a binary payload, read as one character per byte. Rows that lack a column of a rule are an error unless the
+    rule is listed in ``without``. ``home``: networks of the home side; without it every target is taken to be there.
     """
+    _complete(rows, [r for r in rules if r.contents and is_binary(r) == binary], without)
     work = rows.withColumn("_transport", transport("protocol"))
+    work = work if home is None else work.withColumn("_home", in_networks("dest_ip", home))
     if binary:
         work = work.withColumn("_kept", F.col("payload")).withColumn("payload", F.decode("payload", "ISO-8859-1"))
     conds = {
@@ -165,16 +194,17 @@ def match_rules(rows: DataFrame, binary: bool = False, rules=RULES, as_list: boo
         for r in rules
         if is_binary(r) == binary and (cond := rule_condition(r, set(rows.columns))) is not None
     }
-    hits = _hits(work, conds, as_list).drop("_transport")
+    hits = _hits(work, _sided(conds, rules, home), as_list).drop("_transport", "_home")
     return hits.withColumn("payload", F.col("_kept")).drop("_kept") if binary else hits
 
 
-def scan_hits(conns: DataFrame, rules=RULES, as_list: bool = False) -> DataFrame:
+def scan_hits(conns: DataFrame, rules=RULES, as_list: bool = False, home=None, without=()) -> DataFrame:
     """Connection rows × rules on flags or on mere contact (no contents).
 
     A lone SYN shows as state S0, a packet without flags as an empty history.
-    Where the table has no history column, rules for the latter are left out (:func:`not_evaluated`).
+    ``home`` and ``without`` as in :func:`match_rules`.
     """
+    _complete(conns, [r for r in rules if not r.contents], without)
     has_history = "history" in conns.columns
     conds = {}
     for r in rules:
@@ -186,7 +216,9 @@ def scan_hits(conns: DataFrame, rules=RULES, as_list: bool = False) -> DataFrame
         elif r.flags == "0":
             cond = cond & (F.coalesce("history", F.lit("")) == "")
         conds[r.sid] = cond & (F.col("_transport") == r.proto)
-    return _hits(conns.withColumn("_transport", transport("protocol")), conds, as_list).drop("_transport")
+    work = conns.withColumn("_transport", transport("protocol"))
+    work = work if home is None else work.withColumn("_home", in_networks("dest_ip", home))
+    return _hits(work, _sided(conds, rules, home), as_list).drop("_transport", "_home")
 
 
 def beacon_hits(conns: DataFrame, max_bytes: int = 100) -> DataFrame:

@@ -109,6 +109,14 @@ TABLES = {
             None,
             "first_seen",
         ),
+        # name queries and log-in attempts of the network sensor: what the mining and shell detections read
+        Table("dns_queries", "timestamp timestamp, source_ip_hash string, query string", ("timestamp", "source_ip_hash"), 30),
+        Table(
+            "ssh_auth",
+            "timestamp timestamp, source_ip_hash string, dest_ip string, dest_port int, authenticated boolean",
+            ("timestamp", "source_ip_hash"),
+            30,
+        ),
     ]
 }
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,8 +29,7 @@ def local_session(cores: int | str = 8, app: str = "wardlake", checkpoint_dir: s
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
     )
-    if checkpoint_dir:
-        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    builder = builder.config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="wardlake-"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -56,35 +55,27 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _SHIPPED: set[str] = set()
-# temporary folders of local sessions, by application id
-_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+    """The shared folder that ``spark.checkpoint.dir`` names, or one in the session's warehouse where that is unset.
 
-    Reads ``spark.checkpoint.dir``. Only a local master (tests, bench) may fall
-    back to a temporary folder; on a cluster a missing setting is an error,
-    because a machine-local folder would be lost with its machine.
+    Both are the session's own settings and reachable for all executors; nothing here depends on the kind of cluster.
     """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _LOCAL:
-        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="wardlake-")
-    return _LOCAL[context.applicationId]
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/wardlake-shared").rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/wardlake-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the application's own part of it."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; to be called when its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.timing import parse_ts
 from ..schemas import RAW, ZEEK_CONN_TSV
+from .tail import read_lines
 
 SENSOR_LOGS = ("cowrie", "dionaea", "conpot", "rtsp", "upnp", "suricata")
 NETWORK_LOGS = ("conn", "http", "dns", "ssh")
@@ -31,7 +32,7 @@ def _text(spark: SparkSession, path: str, stream: bool, files_per_trigger: int |
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """JSON lines -> fields plus ``raw_data``; empty and unreadable lines are dropped."""
+    """JSON lines -> fields plus ``raw_data``; empty and unreadable lines are dropped. ``read_log`` gives these too, with a reason."""
     # a generator keeps the parse in one place; a filter above a projection would repeat it
     record = F.from_json("value", schema, {"mode": "PERMISSIVE", "allowNumericLeadingZeros": "true"})
     parsed = lines.filter(F.trim("value") != "").select(F.inline(F.array(record)), F.col("value").alias("raw_data"))
@@ -52,11 +53,17 @@ def split_lines(lines: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     time = parse_ts("ts" if kind.startswith("zeek_") else "timestamp")
     reason = F.when(F.trim("value") == "", "empty").when(known.isNull(), "unreadable").when(time.isNull(), "time")
     parsed = parsed.withColumn("_reason", reason)
-    good = parsed.filter(F.col("_reason").isNull()).withColumn("raw_data", F.col("value")).drop("file", "offset", "value", "_reason")
+    good = parsed.filter(F.col("_reason").isNull()).withColumns({"raw_data": F.col("value"), "line_id": line_id("file", F.col("offset"), "value")})
+    good = good.drop("file", "offset", "value", "_reason")
     bad = parsed.filter(F.col("_reason").isNotNull()).select(F.lit(kind).alias("kind"), "file", "offset", F.col("_reason").alias("reason"), "value")
     return good, bad
 
 
+def read_log(spark: SparkSession, folder: str, kind: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """A folder's logs as a table: their rows with ``line_id``, and the rejected lines; together all lines of the files."""
+    return split_lines(read_lines(spark, folder, pattern), kind)
+
+
 def line_id(file, offset, value):
     """Identity of a log line: equal only for a line that is delivered again, not for a line like it."""
     return F.sha2(F.concat_ws("|", file, offset.cast("string"), value), 256)

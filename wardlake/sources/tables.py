@@ -42,17 +42,39 @@ def write_rows(rows: DataFrame, table: str, root: str, batch: str) -> str:
     path = f"{root}/{table}"
     rows = rows.withColumn("batch", F.lit(batch)).sortWithinPartitions("month", *TABLES[table].sort)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch")
-    for col in ("source_ip_hash", "md5_hash", "sha256_hash"):
+    for col in ("source_ip_hash", "md5_hash", "sha256_hash", "line_id"):
         if col in rows.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{col}", "true")
     writer.parquet(path)
     return path
 
 
-def read_table(spark: SparkSession, table: str, root: str) -> DataFrame:
-    """The table with its ``month``, whoever wrote it: appends, imports and ingested batches share one layout."""
-    schema = T.StructType([*TABLES[table].schema.fields, T.StructField("month", T.StringType()), T.StructField("batch", T.StringType())])
-    return spark.read.schema(schema).parquet(f"{root}/{table}").drop("batch")
+def read_table(spark: SparkSession, table: str, root: str, lines: bool = False) -> DataFrame:
+    """The table with its ``month``, whoever wrote it: appends, imports and ingested batches share one layout.
+
+    ``lines`` adds ``line_id``, the identity of the log line that a row came from; null where rows were not read from a log.
+    """
+    return read_batches(spark, f"{root}/{table}", _stored_schema(table)).drop("batch", *([] if lines else ["line_id"]))
+
+
+def _stored_schema(table: str) -> T.StructType:
+    return T.StructType([*TABLES[table].schema.fields, T.StructField("line_id", T.StringType())])
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows below ``path`` with ``month`` and ``batch``, without batches that a rewrite has replaced or not finished."""
+    folders = [T.StructField("month", T.StringType()), T.StructField("batch", T.StringType())]
+    rows = spark.read.schema(T.StructType([*schema.fields, *folders])).parquet(path)
+    finished = _replacements(spark, path)
+    rows = rows.filter(~F.col("batch").startswith(REWRITTEN) | F.col("batch").isin(sorted(finished)))
+    gone = {}
+    for names in finished.values():
+        for name in names:
+            month, batch = name.split("/")
+            gone.setdefault(month, []).append(batch)
+    for month, batches in sorted(gone.items()):
+        rows = rows.filter((F.col("month") != month) | ~F.col("batch").isin(batches))
+    return rows
 
 
 def route(df: DataFrame, targets: dict[str, Column]) -> dict[str, DataFrame]:
@@ -136,24 +158,81 @@ def expired_months(spark: SparkSession, table: str, root: str, as_of) -> DataFra
 
 
 def expire(spark: SparkSession, table: str, root: str, as_of) -> list[str]:
-    """Drop the folders of expired months; a month partly within retention stays whole."""
+    """Drop the folders of expired months, and the expired days of the month in which retention ends, which is rewritten."""
     months = sorted(r.month for r in expired_months(spark, table, root, as_of).collect())
     for month in months:
         _delete(spark, f"{root}/{table}/month={month}")
+    limit, t = as_datetime(as_of) - timedelta(days=TABLES[table].ttl_days), TABLES[table]
+    month = limit.strftime("%Y-%m")
+    if f"month={month}" in _folders(spark, f"{root}/{table}"):
+        rows = read_table(spark, table, root).filter(F.col("month") == month)
+        if not rows.filter(F.col(t.time_col) <= stamp(limit)).isEmpty():
+            kept = lambda old, batch: write_rows(old.filter(F.col(t.time_col) > stamp(limit)), table, root, batch)
+            rewrite(spark, f"{root}/{table}", _stored_schema(table), month, kept)
     return months
 
 
 def compact(spark: SparkSession, table: str, root: str, month: str, files: int = 1) -> None:
-    """Rewrite one month's many small batches as ``files`` ranges in the table's sort order.
+    """Rewrite one month's many small batches as ``files`` ranges in the table's sort order."""
+    ordered = lambda old, batch: write_rows(old.repartitionByRange(files, *TABLES[table].sort), table, root, batch)
+    rewrite(spark, f"{root}/{table}", _stored_schema(table), month, ordered)
+
+
+REWRITTEN = "compact-"
+_LISTS = "_replaced"
 
-    Not for a month that is still written to: a reader between the write and the removal would see rows twice.
+
+def rewrite(spark: SparkSession, path: str, schema: T.StructType, month: str, write: Callable[[DataFrame, str], object]) -> None:
+    """Replace a month's batches by the one that ``write`` makes of their rows; it gets the rows and the new batch's name.
+
+    Readers see the old batches until a small file, put in place by one rename, names what the new one replaces; from then on they see
+    the new one alone. Batches that come while this runs stay as they are. The old folders are deleted last; a lost driver leaves
+    either state, and the next rewrite takes up what is left. A batch that is retried after it was replaced is a new batch.
     """
-    old = [f"{root}/{table}/month={month}/{name}" for name in _folders(spark, f"{root}/{table}/month={month}")]
-    rows = read_table(spark, table, root).filter(F.col("month") == month)
-    rows = rows.repartitionByRange(files, *TABLES[table].sort)
-    write_rows(rows, table, root, f"compact-{uuid.uuid4().hex}")
-    for path in old:
-        _delete(spark, path)
+    finished = _replacements(spark, path)
+    hidden = {name for names in finished.values() for name in names}
+    here = [name.removeprefix("batch=") for name in _folders(spark, f"{path}/month={month}")]
+    old = [b for b in here if f"{month}/{b}" not in hidden and (not b.startswith(REWRITTEN) or b in finished)]
+    batch = f"{REWRITTEN}{uuid.uuid4().hex}"
+    rows = read_batches(spark, path, schema).filter((F.col("month") == month) & F.col("batch").isin(old)).drop("batch")
+    write(rows, batch)
+    _put(spark, f"{path}/{_LISTS}/{batch}", "\n".join(f"{month}/{b}" for b in old))
+    for b in here:
+        _delete(spark, f"{path}/month={month}/batch={b}")
+        if b in finished:  # a rewritten batch holds rows of one month only
+            _delete(spark, f"{path}/{_LISTS}/{b}")
+    _put(spark, f"{path}/{_LISTS}/{batch}", "")
+
+
+def _replacements(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Of each finished rewrite the batches (month/batch) that it replaces and that may not be deleted yet."""
+    folder, store = _path(spark, f"{path}/{_LISTS}")
+    if not store.exists(folder):
+        return {}
+    names = [(s.getPath().getName(), s.getLen()) for s in store.listStatus(folder)]
+    texts = {name: _get(spark, f"{path}/{_LISTS}/{name}") if size else "" for name, size in names if name.startswith(REWRITTEN)}
+    return {name: text.split("\n") if text else [] for name, text in texts.items()}
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file whose content is there as a whole or not at all."""
+    target, store = _path(spark, path)
+    folder, name = path.rsplit("/", 1)
+    draft, _ = _path(spark, f"{folder}/.{name}")
+    out = store.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(target, False)
+    store.rename(draft, target)
+
+
+def _get(spark: SparkSession, path: str) -> str:
+    file, store = _path(spark, path)
+    stream = store.open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def _path(spark: SparkSession, path: str):

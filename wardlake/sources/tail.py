@@ -3,8 +3,12 @@
 A file is known by its path. It goes on where it was if the bytes before that place are still the same; a renamed (rotated) file
 is recognised by its first line and those bytes, if no file at the old path goes on. Every other file is read from its
 beginning, so files that begin alike are all read. Only whole lines are read; a line still being written waits for the
-next batch. New bytes are cut into ranges that executors read through the file's own store. Spark keeps the offsets in the
-checkpoint.
+next batch. The last line of a file needs no line break once the file was renamed or has not changed for ``settle`` seconds. New bytes
+are cut into ranges that executors read through the file's own store. Spark keeps the offsets in the checkpoint.
+
+A batch takes at most about ``batchbytes``, oldest files first; what is planned already is read from the checkpoint's log. Only files that changed
+since are opened to plan, and of new ones as many as fit. A file that is read to its end and ``maxage`` older than the newest one leaves the offset; files
+that old which turn up later are taken as read.
 
 Compressed files (.gz) are read too, each by one task, from where the plain file was that they were made of. What cannot be
 decompressed gives one line that says so, which no log kind accepts.
@@ -13,18 +17,22 @@ decompressed gives one line that says so, which no log kind accepts.
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 FIRST_BYTES = 4096
 RANGE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
 PACKED_BYTES = 64 << 10  # at most a thousand times as much text
+SETTLE = 600
+MAX_AGE = 30 * 86_400
 
 
 def _store(path: str):
@@ -41,6 +49,7 @@ class Range(InputPartition):
     first: int  # where the batch begins in this file
     start: int
     stop: int
+    end: int  # where the batch ends in this file
     skip: int = 0  # of a compressed file's text, what was read when it was plain
 
 
@@ -134,33 +143,101 @@ def _packed(file: str) -> bool:
 
 
 class TailReader(DataSourceStreamReader):
+    """An offset has for each file the hash of its first line, the hash of the bytes before its end, its end, and what it looked like
+    (time and size, null while more of it is there to be read); and the time up to which files are taken as read.
+    """
+
     def __init__(self, options: dict):
         self.path, self.pattern = options["path"], options.get("pattern", "*")
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.batch_bytes = int(options.get("batchbytes", 0)) or None
+        self.settle, self.max_age = float(options.get("settle", SETTLE)), float(options.get("maxage", MAX_AGE))
+        self.checkpoint = options.get("checkpoint")
+        self.planned: dict = self.initialOffset()
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
+    def _start(self) -> dict:
+        """The end of what is planned: of the last offset in the checkpoint's log, or of what this reader was asked for."""
+        from pyarrow import fs
+
+        if self.checkpoint is None:
+            return self.planned
+        store, folder = _store(f"{self.checkpoint}/offsets")
+        logged = [x for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.base_name.isdigit()]
+        if not logged:
+            return self.initialOffset()
+        with store.open_input_file(max(logged, key=lambda x: int(x.base_name)).path) as handle:
+            return json.loads(handle.read().decode().split("\n")[2])
+
     def latestOffset(self) -> dict:
-        """For each file the hash of its first line, the hash of the bytes before its end, and its end."""
         from pyarrow import fs
 
+        start = self._start()
+        old, aged = _files(start), start.get("aged", 0.0)
         store, folder = _store(self.path)
         listed = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        wanted = [x for x in listed if x.type == fs.FileType.File and x.base_name[0] not in "._" and fnmatch(x.base_name, self.pattern)]
-        sizes = {x.path: x.size for x in wanted}
-        found: dict[str, list] = {}
-        for info in sorted(wanted, key=lambda x: (_packed(x.path), x.path)):  # plain files first
-            with store.open_input_file(info.path) as handle:
-                end = info.size if _packed(info.path) else line_end(handle, info.size)
-                if not end:
+        wanted = {x.path: x for x in listed if x.type == fs.FileType.File and x.base_name[0] not in "._" and fnmatch(x.base_name, self.pattern)}
+        times = {f: x.mtime.timestamp() if x.mtime else None for f, x in wanted.items()}
+        settled = {f for f, t in times.items() if t is not None and time.time() - t >= self.settle}
+        open_files, kept = [], {}
+        for file, info in wanted.items():
+            seen = old.get(file)
+            if seen and seen[3:] == [times[file], info.size] and (seen[2] == info.size or file not in settled):
+                kept[file] = seen
+            elif seen or times[file] is None or times[file] > aged:
+                open_files.append(file)
+        open_files.sort(key=lambda f: (f not in old, _packed(f), times[f] or 0.0, f))  # known ones first, then plain before packed, the oldest first
+
+        heads, ends, total = {}, {}, 0
+        going_on = {f for f in old if f in kept}
+        for file in open_files:
+            if self.batch_bytes and file not in old and total >= self.batch_bytes and len(going_on) == len(old):
+                break  # no file has moved and the batch is full: the rest can wait unopened
+            size = wanted[file].size
+            with store.open_input_file(file) as handle:
+                end = size if _packed(file) or file in settled else line_end(handle, size)
+                if not size or not end and file not in old:
                     continue
-                first = _first_line(handle, info)
-                plain = info.path.removesuffix(".gz")
-                if _packed(info.path) and found.get(plain, [""])[0] == first and self._in_making(handle, info.size, sizes[plain]):
+                first, plain = _first_line(handle, wanted[file]), file.removesuffix(".gz")
+                beside = heads.get(plain) or kept.get(plain)
+                if _packed(file) and plain in wanted and beside and beside[0] == first and self._in_making(handle, size, wanted[plain].size):
                     continue
-                found[info.path] = [first, bytes_before(handle, end), end]
-        return {"files": found}
+                heads[file], ends[file] = [first, "", size], end
+            if file in old and self._goes_on(store, file, heads[file], file, old[file]):
+                going_on.add(file)
+            elif file not in old:
+                total += size
+        places = self.places({"files": {f: x for f, x in old.items() if f not in kept}}, {"files": heads})
+
+        files, left = dict(kept), self.batch_bytes or float("inf")
+        for file, (first, _, size) in heads.items():
+            place, skip = places[file]
+            if left <= 0 and not place and not skip:
+                continue
+            with store.open_input_file(file) as handle:
+                moved = place > 0 and file not in old
+                stop = size if moved else ends[file]
+                if left <= 0:
+                    stop = 0 if _packed(file) else place
+                elif not _packed(file) and stop - place > left:
+                    stop = line_end(handle, place + int(left))
+                    stop = stop if stop > place else min(_next_line(handle, place), size)
+                stop = max(stop, 0 if _packed(file) else place)
+                whole = stop == size if _packed(file) else stop >= (size if moved else ends[file])
+                files[file] = [first, bytes_before(handle, stop), stop, *([times[file], size] if whole else [None, None])]
+            left = left - (stop if _packed(file) else stop - place) if files[file][3] is not None else 0
+        # without the checkpoint's log a restart would take aged files for new ones
+        return {"files": files} if self.checkpoint is None else self._with_age(files, wanted, times, aged)
+
+    def _with_age(self, files: dict, wanted: dict, times: dict, aged: float) -> dict:
+        """The offset without files that are read and old; nothing that is still to be read counts as old."""
+        known = [t for t in times.values() if t is not None]
+        unread = [t for f, t in times.items() if t is not None and t > aged and wanted[f].size and (f not in files or files[f][2] < wanted[f].size)]
+        limit = min([max(known, default=0.0) - self.max_age, *[t - 1e-3 for t in unread]])
+        aged = max(aged, limit)
+        return {"files": {f: x for f, x in files.items() if x[3] is None or x[3] > aged or x[2] < x[4]}, "aged": aged}
 
     @staticmethod
     def _in_making(handle, size: int, plain: int) -> bool:
@@ -171,19 +248,18 @@ class TailReader(DataSourceStreamReader):
 
     def places(self, start: dict, end: dict) -> dict[str, tuple[int, int]]:
         """Where each file of ``end`` goes on: bytes, and of a newly compressed file its text. Each old file goes on once."""
-        # offsets of an earlier form were {first line: [path, end]}
-        old = dict((k, v) if len(v) == 3 else (v[0], [k, "", v[1]]) for k, v in start["files"].items())
+        old = _files(start)
         store, _ = _store(self.path)
         out: dict[str, tuple[int, int]] = {}
         for file, now in end["files"].items():
-            if file in old and self._goes_on(store, file, now, file, old[file]):
+            if file in old and (now == old[file] or self._goes_on(store, file, now, file, old[file])):
                 out[file] = (old.pop(file)[2], 0)
         for file, now in end["files"].items():
             if file in out:
                 continue
             out[file] = (0, 0)
             for was in sorted(old, key=lambda f: (-old[f][2], f)):
-                if self._goes_on(store, file, now, was, old[was]):
+                if was != file and self._goes_on(store, file, now, was, old[was]):
                     stop = old.pop(was)[2]
                     out[file] = (0, stop) if _packed(file) and not _packed(was) else (stop, 0)
                     break
@@ -191,14 +267,11 @@ class TailReader(DataSourceStreamReader):
 
     @staticmethod
     def _goes_on(store, file: str, now: list, was: str, before: list) -> bool:
-        first, check, stop = before
+        first, check, stop = before[:3]
         if _packed(was) and not _packed(file) or now[0] != first and not (_packed(was) and file == was):
             return False
-        if _packed(file) == _packed(was):
-            if now[2] < stop:
-                return False
-            if now[2] == stop and check:
-                return now[1] == check
+        if _packed(file) == _packed(was) and now[2] < stop:
+            return False
         with store.open_input_file(file) as handle:
             if _packed(file) and not _packed(was):
                 return text_before(handle, now[2], stop) == check if check else text_end(handle, now[2])[0] >= stop
@@ -207,12 +280,13 @@ class TailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Range]:
         out = []
         places = self.places(start, end)
-        for file, (_, _, stop) in end["files"].items():
+        for file, (_, _, stop, *_) in end["files"].items():
             first, skip = places[file]
             if _packed(file):
-                out += [Range(file, first, first, stop, skip)] if first < stop else []
+                out += [Range(file, first, first, stop, stop, skip)] if first < stop else []
             else:
-                out += [Range(file, first, at, min(at + self.range_bytes, stop)) for at in range(first, stop, self.range_bytes)]
+                out += [Range(file, first, at, min(at + self.range_bytes, stop), stop) for at in range(first, stop, self.range_bytes)]
+        self.planned = end
         return out
 
     def read(self, partition: Range) -> Iterator:
@@ -229,16 +303,25 @@ def _text(line: bytes) -> str:
     return line.removesuffix(b"\r").decode("utf-8", "replace")
 
 
+def _files(offset: dict) -> dict[str, list]:
+    """The files of an offset; earlier forms had {first line: [path, end]} or no times."""
+    named = [(k, v) if len(v) > 2 else (v[0], [k, "", v[1]]) for k, v in offset["files"].items()]
+    return {file: x if len(x) == 5 else [*x, None, None] for file, x in named}
+
+
 def _plain_lines(handle, partition: Range) -> Iterator[tuple[list[int], list[str]]]:
     at = partition.start
     if at > partition.first:  # the line that reaches into this range belongs to the one before
         at = _next_line(handle, at - 1)
     handle.seek(at)
-    rest = b""
+    rest, read = b"", at
     while at < partition.stop:
-        block = handle.read(READ_BYTES)
+        block = handle.read(min(READ_BYTES, partition.end - read))
         if not block:
+            if rest:  # the last line of a file at rest
+                yield [at], [_text(rest)]
             break
+        read += len(block)
         lines = (rest + block).split(b"\n")
         rest, offsets, values = lines.pop(), [], []
         for line in lines:
@@ -283,6 +366,19 @@ def _next_line(handle, at: int) -> int:
     return at
 
 
+class WholeReader(DataSourceReader):
+    """All lines that there are now, the last ones too."""
+
+    def __init__(self, options: dict):
+        self.tail = TailReader(options | {"settle": "-inf"})
+
+    def partitions(self) -> list[Range]:
+        return self.tail.partitions(self.tail.initialOffset(), self.tail.latestOffset())
+
+    def read(self, partition: Range) -> Iterator:
+        return self.tail.read(partition)
+
+
 class LogTail(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -294,8 +390,25 @@ class LogTail(DataSource):
     def streamReader(self, schema) -> TailReader:
         return TailReader({k.lower(): v for k, v in self.options.items()})
 
+    def reader(self, schema) -> WholeReader:
+        return WholeReader({k.lower(): v for k, v in self.options.items()})
+
+
+def tail_lines(spark: SparkSession, folder: str, pattern: str = "*", checkpoint: str | None = None, batch_bytes: int | None = None, **options) -> DataFrame:
+    """Stream of (file, offset, value): the lines of the folder's files, plain or gzip, each once, as they grow.
+
+    ``batch_bytes`` needs ``checkpoint``, the query's own checkpoint, to know after a restart what was planned. Other options: ``settle``,
+    ``maxage`` (seconds), ``rangebytes``.
+    """
+    if batch_bytes and not checkpoint:
+        raise ValueError("batch_bytes needs the query's checkpoint")
+    spark.dataSource.register(LogTail)
+    reader = spark.readStream.format("log_tail").option("path", folder).option("pattern", pattern)
+    given = {"checkpoint": checkpoint, "batchbytes": batch_bytes, **options}
+    return reader.options(**{k: str(v) for k, v in given.items() if v is not None}).load()
+
 
-def tail_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Stream of (file, offset, value): the whole lines of the folder's files, plain or gzip, each once, as they grow."""
+def read_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(file, offset, value): all lines of the folder's files, plain or gzip, as a table."""
     spark.dataSource.register(LogTail)
-    return spark.readStream.format("log_tail").option("path", folder).option("pattern", pattern).load()
+    return spark.read.format("log_tail").option("path", folder).option("pattern", pattern).load()

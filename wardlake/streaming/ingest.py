@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import maintained
 from ..operators import normalise as n
+from ..sources import redelivery
 from ..sources.logs import split_lines
 from ..sources.tables import read_table, with_month, write_rows
 from ..sources.tail import tail_lines
@@ -35,6 +38,8 @@ TARGETS: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] = {
     "suricata": {"ids_alerts": lambda df: df},
     "zeek_conn": {"network_connections": lambda df: df},
     "zeek_http": {"http_requests": lambda df: df},
+    "zeek_dns": {"dns_queries": lambda df: df},
+    "zeek_ssh": {"ssh_auth": lambda df: df},
 }
 
 NORMALISERS = {
@@ -46,46 +51,88 @@ NORMALISERS = {
     "suricata": n.ids_normalise,
     "zeek_conn": n.zeek_conn_normalise,
     "zeek_http": n.zeek_http_normalise,
+    # neither has a country
+    "zeek_dns": lambda raw, salt, ranges: n.zeek_dns_queries(raw, salt),
+    "zeek_ssh": lambda raw, salt, ranges: n.zeek_ssh_auth(raw, salt),
 }
 REJECTED = "rejected_lines"
 
 
-def write_batch(kind: str, root: str, salt: str, ranges: DataFrame | None = None):
+def query_id(spark, checkpoint: str) -> str:
+    """The id of the streaming query that a checkpoint belongs to: the same after every restart, another one for every other source."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+
+
+def write_batch(kind: str, root: str, salt: str, ranges=None, source: str | Callable[[], str] = "", once_each: bool = False, rollups: bool = False):
     """A ``foreachBatch`` function that writes one batch of lines to all tables of its kind, and what it rejects.
 
-    The batch's folders are replaced when it is retried after a lost driver or executor, so
-    no row is doubled. Accepted and rejected lines together are the lines read.
+    A batch is known by its kind, its ``source`` (a name, or a function that gives it) and its number. Its folders are replaced when it
+    is retried after a lost driver or executor, so no row is doubled; sources never share them. Accepted and rejected
+    lines together are the lines read. With ``once_each``, lines that another batch has stored already are left out (redelivered
+    lines); with ``rollups``, the batch's states are added to the maintained rollups.
     """
+    names: list[str] = []
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        names[:] = names or [source() if callable(source) else source]
         batch = batch.persist()
-        label = f"{kind}-{batch_id:012d}"
+        label = "-".join([kind, *filter(None, names), f"{batch_id:012d}"])
+        found = None
         try:
             good, bad = split_lines(batch, kind)
             rows = NORMALISERS[kind](good, salt, ranges)
+            main, project = next(iter(TARGETS[kind].items()))
+            if once_each:
+                lines = with_month(n.conform(project(rows), main), main).select("line_id", "month", "timestamp")
+                fresh, found = redelivery.first_deliveries(lines, main, root, label)
+                rows = rows if found is None else rows.join(fresh.select("line_id"), "line_id", "left_semi")
             for table, project in TARGETS[kind].items():
-                write_rows(with_month(n.conform(project(rows), table), table), table, root, label)
+                out = with_month(n.conform(project(rows), table), table)
+                write_rows(out, table, root, label)
+                if rollups:
+                    maintained.add_batch(out, table, root, label)
+            if once_each:
+                redelivery.write_filters(with_month(n.conform(TARGETS[kind][main](rows), main), main), main, root, label)
             writer = bad.withColumn("batch", F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("batch").parquet(f"{root}/{REJECTED}")
         finally:
             batch.unpersist()
+            if found is not None:
+                found.unpersist()
 
     return run
 
 
 def ingest(
-    spark, kind: str, folder: str, root: str, checkpoint: str, salt: str,
-    ranges: DataFrame | None = None, pattern: str = "*", once: bool = True, every: str = "1 minute",
+    spark, kind: str, folder: str, root: str, checkpoint: str, salt: str, ranges=None, pattern: str = "*", once: bool = True,
+    every: str = "1 minute", batch_bytes: int | None = None, once_each: bool = False, rollups: bool = False,
 ) -> StreamingQuery:
-    """Tail the logs of one kind in ``folder`` into their tables; ``once`` stops when the backlog is done."""
-    writer = tail_lines(spark, folder, pattern).writeStream.foreachBatch(write_batch(kind, root, salt, ranges))
+    """Tail the logs of one kind in ``folder`` into their tables.
+
+    Any number of sources of a kind may write to one ``root``, each with its own checkpoint. ``ranges`` is a table of address ranges or a stored
+    geo index. ``once`` stops when what was there is read; with ``batch_bytes`` that is one batch of about so many bytes (see ``drain``).
+    """
+    run = write_batch(kind, root, salt, ranges, lambda: query_id(spark, checkpoint), once_each, rollups)
+    writer = tail_lines(spark, folder, pattern, checkpoint, batch_bytes).writeStream.foreachBatch(run)
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
 
 
-def read_ingested(spark, table: str, root: str) -> DataFrame:
-    return read_table(spark, table, root)
+def drain(spark, *args, **options) -> int:
+    """``ingest`` until nothing is left, batch after batch; the number of batches."""
+    batches = 0
+    while True:
+        query = ingest(spark, *args, once=True, **options)
+        query.awaitTermination()
+        done = sum(p.numInputRows > 0 for p in query.recentProgress)
+        if not done:
+            return batches
+        batches += done
+
+
+def read_ingested(spark, table: str, root: str, lines: bool = False) -> DataFrame:
+    return read_table(spark, table, root, lines)
 
 
 def read_rejected(spark, root: str) -> DataFrame:
@@ -102,7 +149,11 @@ def without_repeats(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def batch_without_repeats(events: DataFrame) -> DataFrame:
-    """The same on a table, exact: one row of each ``line_id``, the smallest."""
+    """The same on a table (``read_table`` with ``lines``), exact: one row of each ``line_id``, the smallest.
+
+    Rows without one were not read from a log and stay.
+    """
     rest = [c for c in events.columns if c != "line_id"]
-    one = events.groupBy("line_id").agg(F.min(F.struct(*rest)).alias("r"))
-    return one.select("line_id", "r.*").select(*events.columns)
+    lined = events.filter(F.col("line_id").isNotNull())
+    one = lined.groupBy("line_id").agg(F.min(F.struct(*rest)).alias("r")).select("line_id", "r.*").select(*events.columns)
+    return one.unionByName(events.filter(F.col("line_id").isNull()))
