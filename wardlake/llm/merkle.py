@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: one tree for each source, one over the sources, proofs for all documents.
 
 Leaves are numbered inside their source by a range sort and prefix sums over partition counts, so no source is gathered. On
-every level each node is joined by equality with the computed indices of its run (``FANOUT`` slot offsets), which gives it its
+every level each node meets by equality what the nodes of its run sent to its index, computed by ``FANOUT`` slot offsets: its
 siblings; the rows in slot zero then emit the parents. Downwards, each node's siblings are put before those of its
 parent, and a document's path is folded from its leaf.
 
@@ -62,7 +62,7 @@ def _ranked(groups: DataFrame, keys: list[str], label: str) -> DataFrame:
     rows = rows.withColumn("part", F.shiftright("__at", 33))
     starts = offsets(rows.groupBy("part").agg(F.count("*").alias("n")))
     rank = F.col("before") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    return rows.join(starts, "part").withColumn("group_no", rank).drop("part", "before", "__at")
+    return rows.join(F.broadcast(starts), "part").withColumn("group_no", rank).drop("part", "before", "__at")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,14 +85,13 @@ def with_siblings(nodes: DataFrame) -> DataFrame:
     """``nodes`` (tree, idx, size, digest, ...) with ``left`` and ``right``: the digests of a node's run before and after it."""
     run = F.col("idx") - F.col("idx") % FANOUT
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(FANOUT - 1)), lambda d: run + (F.col("idx") + d) % FANOUT), lambda s: s < F.col("size"))
-    asked = nodes.select("tree", "idx", F.explode(slots).alias("sibling"))
-    given = nodes.select("tree", F.col("idx").alias("sibling"), "digest")
-    found = asked.join(given, ["tree", "sibling"])
-    found = found.groupBy("tree", "idx").agg(F.sort_array(F.collect_list(F.struct("sibling", "digest"))).alias("run"))  # FANOUT at most
-    side = lambda keep: F.transform(F.filter("run", keep), lambda s: s["digest"])
+    sent = nodes.select("tree", F.col("idx").alias("sibling"), F.col("digest").alias("given"), F.explode(slots).alias("idx"))
+    own = [F.first(c).alias(c) for c in nodes.columns if c not in ("tree", "idx")]
+    # grouped as it was joined, so the siblings are shuffled once
+    found = nodes.join(sent, ["tree", "idx"]).groupBy("tree", "idx").agg(*own, F.sort_array(F.collect_list(F.struct("sibling", "given"))).alias("run"))
+    side = lambda keep: F.transform(F.filter("run", keep), lambda s: s["given"])
     left, right = side(lambda s: s["sibling"] < F.col("idx")), side(lambda s: s["sibling"] > F.col("idx"))
-    own = F.element_at(F.filter("run", lambda s: s["sibling"] == F.col("idx")), 1)["digest"]
-    return found.select("tree", "idx", own.alias("digest"), left.alias("left"), right.alias("right"))
+    return found.select(*nodes.columns, left.alias("left"), right.alias("right"))
 
 
 def parents(rows: DataFrame, sizes: Callable[[Column], Column]) -> DataFrame:
@@ -107,7 +106,7 @@ def _up(size: Column) -> Column:
 
 
 def forest(nodes: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
-    """The levels of all trees, rows with siblings each, and the tops (tree, level, digest)."""
+    """The levels of all trees, rows with siblings each, and the tops (tree, level, digest). Further columns stay on the lowest level."""
     levels, tops, level = [], None, 0
     while True:
         top = nodes.filter("size = 1").select("tree", F.lit(level).alias("level"), "digest")
@@ -115,30 +114,29 @@ def forest(nodes: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
         open_nodes = nodes.filter("size > 1")
         if open_nodes.isEmpty():
             return levels, tops
-        sizes = open_nodes.select("tree", "idx", "size")
-        rows = cut(with_siblings(open_nodes).join(sizes, ["tree", "idx"]), f"{label}-level")
+        rows = cut(with_siblings(open_nodes), f"{label}-level")
         levels.append(rows)
         nodes = cut(parents(rows, _up), f"{label}-nodes")
         level += 1
 
 
-def paths(levels: list[DataFrame], tops: DataFrame, label: str) -> DataFrame:
-    """(tree, idx, path, rest of ``tops``) of the leaves: siblings on each level, from the leaf upwards.
+def paths(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, label: str) -> DataFrame:
+    """``leaves`` with ``path``, the siblings on each level from the leaf upwards, and the rest of ``tops``.
 
     ``tops`` has tree, level, path and more; its path goes on above the tree.
     """
     more = [c for c in tops.columns if c not in ("tree", "level", "path")]
-    above = tops.filter(F.col("level") == len(levels)).select("tree", F.lit(0).cast("long").alias("idx"), "path", *more)
+    at = lambda level: tops.filter(F.col("level") == level).select("tree", F.lit(0).cast("long").alias("idx"), "path", *more)
+    above = at(len(levels))
     for level in range(len(levels) - 1, -1, -1):
-        rows = levels[level].select("tree", "idx", "left", "right", F.floor(F.col("idx") / FANOUT).alias("up"))
+        rows = levels[level].withColumn("up", F.floor(F.col("idx") / FANOUT))
         rows = rows.join(above.withColumnRenamed("idx", "up"), ["tree", "up"])
-        step = F.array(F.struct("left", "right"))
-        here = rows.select("tree", "idx", F.concat(step, F.col("path")).alias("path"), *more)
-        tops_here = tops.filter(F.col("level") == level).select("tree", F.lit(0).cast("long").alias("idx"), "path", *more)
-        above = here.unionByName(tops_here)
-        if level:  # the leaves' paths are folded where they are joined
-            above = cut(above, f"{label}-paths")
-    return above
+        rows = rows.withColumn("path", F.concat(F.array(F.struct("left", "right")), F.col("path"))).drop("left", "right", "up")
+        if not level:  # not written: what follows folds the paths where they are joined
+            alone = leaves.filter("size = 1").join(at(0).drop("idx"), "tree")
+            return rows.unionByName(alone)
+        above = cut(rows.select("tree", "idx", "path", *more).unionByName(at(level)), f"{label}-paths")
+    return leaves.join(at(0).drop("idx"), "tree")
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -163,7 +161,7 @@ def manifest(docs: DataFrame, tampered_text: Column | None = None) -> DataFrame:
     rows = rows.withColumn("claimed", F.when(F.col("claimed") != F.col("digest"), F.col("claimed")))
     leaves = numbered(rows, ["source"], ["doc_id", "digest", "claimed"], "merkle-leaves")
     leaves = cut(leaves.select("doc_id", "digest", "claimed", F.col("group_no").alias("tree"), "idx", "size"), "merkle-numbered")
-    levels, subroots = forest(leaves.select("tree", "idx", "size", "digest"), "merkle")
+    levels, subroots = forest(leaves, "merkle")
     subroots = cut(subroots, "merkle-subroots")
 
     n_sources = subroots.count()
@@ -171,13 +169,13 @@ def manifest(docs: DataFrame, tampered_text: Column | None = None) -> DataFrame:
     top_levels, top = forest(sources, "merkle-top")
     empty = F.array().cast("array<struct<left:array<binary>,right:array<binary>>>")
     top = top.select("tree", "level", empty.alias("path"), F.lower(F.hex("digest")).alias("root"))
-    above = paths(top_levels, top, "merkle-top").select(F.col("idx").alias("tree"), "path", "root")
+    above = paths(sources, top_levels, top, "merkle-top").select(F.col("idx").alias("tree"), "path", "root")
     tops = cut(subroots.select("tree", "level", F.lower(F.hex("digest")).alias("subroot")).join(above, "tree"), "merkle-tops")
 
-    found = paths(levels, tops, "merkle")
     hexed = lambda c: F.lower(F.hex(c))
-    out = leaves.select("doc_id", "digest", "claimed", "tree", "idx").join(found, ["tree", "idx"])
-    return out.select("doc_id", hexed("digest").alias("leaf"), hexed(F.coalesce("claimed", "digest")).alias("claimed"), "subroot", "root", "path")
+    return paths(leaves, levels, tops, "merkle").select(
+        "doc_id", hexed("digest").alias("leaf"), hexed(F.coalesce("claimed", "digest")).alias("claimed"), "subroot", "root", "path"
+    )
 
 
 def verify(rows: DataFrame) -> DataFrame:
