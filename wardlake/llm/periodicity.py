@@ -276,13 +276,14 @@ def digest(rows: DataFrame) -> DataFrame:
 def planted(doc_id: Column, text: Column) -> Column:
     """The text with a repetition at its end where 10 divides the crc32 of the id: from word ``a`` on, every ``p`` words repeat."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    words = space_words(text)
-    n = F.size(words).cast("long")
     g = F.floor(h / 10)
 
     def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
         a = F.pmod(g, n)
         p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
         return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + F.pmod(i - a, p)).cast("int")))), " ")
 
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), repeated(words)).otherwise(text)
+    # as an element of an array the words are split once and not for each word
+    told = F.get(F.transform(F.filter(F.array(space_words(text)), lambda w: F.size(w) > 0), repeated), F.lit(0))
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.coalesce(told, text)).otherwise(text)
