@@ -38,11 +38,14 @@ def test_quality_score_equals_brute_force(spark, texts):
     got = by_id(QUERIES["op9_quality"](spark, FOLDER))
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
 
-    def bucket(word):
-        h = xxhash.xxh64_intdigest(word[-3:].encode(), seed=42)
+    def bucket(*parts):
+        h = 42
+        for part in parts:
+            h = xxhash.xxh64_intdigest(part.encode(), seed=h)
         return (h - (1 << 64) if h >= 1 << 63 else h) % quality.BUCKETS
 
-    grams = {i: [bucket(w) for w in brute.space_words(t)] for i, t in texts}
+    words = {i: brute.space_words(t) for i, t in texts}
+    grams = {i: [bucket(w[-3:]) for w in ws] + [bucket(a[-2:], b[:2]) for a, b in zip(ws, ws[1:], strict=False)] for i, ws in words.items()}
     raw = Counter(b for g in grams.values() for b in g)
     target = Counter(b for i, g in grams.items() if labels.get(i) == 1 for b in g)
     shift = math.log(raw.total() + quality.BUCKETS) - math.log(target.total() + quality.BUCKETS)

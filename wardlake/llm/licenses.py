@@ -59,6 +59,7 @@ NOTICES = (
      ("eclipse public license",)),
     ("eupl", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent "
      "versions of the EUPL (the \"Licence\")", ("licensed under the eupl",)),
+    ("eupl", "Licensed under the EUPL, Version 1.2", ("licensed under the eupl",)),
     ("eupl", "distributed under the terms of the European Union Public Licence", ("european union public licence",)),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
      "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "

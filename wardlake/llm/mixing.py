@@ -88,7 +88,8 @@ def plan(narrow: DataFrame, budget: float | None = None, entropy_share: float =
     shares = shares.select("key", "weight", "budget", whole.cast("int").alias("whole"), (F.col("budget") - whole * F.col("words")).alias("rest"))
     shares = cut(totals.select("key").join(shares, "key", "left").fillna({"weight": 0.0, "budget": 0.0, "whole": 1, "rest": 0.0}), "sources")
     # the partial pass is pass number ``whole``; its permutation depends on that number
-    left = shares.filter("rest > 1e-9").select("key", F.col("whole").alias("turn"), "rest", F.lit(0).cast("long").alias("base"))
+    # below that the rest is what the bisected power is off by
+    left = shares.filter(F.col("rest") > 0.5 + 1e-7 * F.col("budget")).select("key", F.col("whole").alias("turn"), "rest", F.lit(0).cast("long").alias("base"))
     rows = narrow.join(left.select("key", "turn"), "key").select("key", "words", turn_hash("id", "row", "turn").alias("h"))
     for level in range(LEVELS):
         shift = 10 * (LEVELS - 1 - level)  # a range is 2 ** shift places

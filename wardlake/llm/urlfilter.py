@@ -78,8 +78,9 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     spans = intervals(entries)
     # an interval needs only the months that captures have, however far apart the first and the last are
     months = days.select(month(F.col("fetched_on")).alias("m")).distinct().agg(F.array_sort(F.collect_list("m")).alias("months"))
-    covered = F.filter(months.select("months").scalar(), lambda m: (m >= month(F.col("since"))) & (m < F.col("until")))
-    spans = spans.withColumn("month", F.explode(covered))
+    spans = spans.withColumn("months", months.select("months").scalar())
+    covered = F.filter("months", lambda m: (m >= month(F.col("since"))) & (m < F.col("until")))
+    spans = spans.withColumn("month", F.explode(covered)).drop("months")
     active = keys.join(spans, ["kind", "value", "month"]).filter("since <= fetched_on AND fetched_on < until")
     verdicts = active.groupBy("url", "fetched_on").agg(
         F.max(F.col("effect") == "block").alias("blocking"),
