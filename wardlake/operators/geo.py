@@ -88,21 +88,28 @@ def address_hex(ip: Column | str) -> Column:
     text = F.lower(F.trim(F.col(ip) if isinstance(ip, str) else ip))
     text = F.regexp_replace(F.regexp_replace(text, r"^\[|\]$", ""), "%.*$", "")
     v4 = lambda t: F.lpad(F.lower(F.hex(ipv4_long(t))), 8, "0")
-    # a dotted tail becomes two groups; one that is no address makes the whole unreadable
-    tail = v4(F.regexp_extract(text, _TAIL, 2))
-    colons = F.when(
-        text.rlike(_TAIL), F.concat(F.regexp_extract(text, _TAIL, 1), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))
-    ).otherwise(text)
-    halves = F.split(colons, "::", -1)
-    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
-    left, right = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
-    known = F.size(groups(left)) + F.size(groups(right))
-    open_ = F.size(halves) == 2
-    right_number = (open_ & (known <= 7)) | ((F.size(halves) == 1) & (known == 8))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known))
-    digits = F.array_join(F.transform(F.concat(groups(left), zeros, groups(right)), lambda g: F.lpad(g, 4, "0")), "")
-    six = F.when(left.rlike(_GROUPS) & right.rlike(_GROUPS) & right_number, digits)
-    return F.coalesce(F.concat(F.lit(_MAPPED), v4(text)), F.when(colons.contains(":"), six))
+
+    def with_groups(t: Column) -> Column:
+        # a dotted tail becomes two groups; one that is no address makes the whole unreadable
+        dotted = lambda tail: F.concat(F.regexp_extract(t, _TAIL, 1), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))
+        return F.when(t.rlike(_TAIL), _let(v4(F.regexp_extract(t, _TAIL, 2)), dotted)).otherwise(t)
+
+    def digits(halves: Column) -> Column:
+        groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+        left, right = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        known = F.size(groups(left)) + F.size(groups(right))
+        right_number = ((F.size(halves) == 2) & (known <= 7)) | ((F.size(halves) == 1) & (known == 8))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known))
+        told = F.array_join(F.transform(F.concat(groups(left), zeros, groups(right)), lambda g: F.lpad(g, 4, "0")), "")
+        return F.when(left.rlike(_GROUPS) & right.rlike(_GROUPS) & right_number, told)
+
+    six = lambda t: F.when(t.contains(":"), _let(F.split(with_groups(t), "::", -1), digits))
+    return _let(text, lambda t: F.coalesce(F.concat(F.lit(_MAPPED), v4(t)), six(t)))
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _half(digits: Column, at: int) -> Column:
@@ -170,12 +177,16 @@ def prefix_rows(ranges: DataFrame) -> DataFrame:
         return F.when(F.col(c).rlike("^[0-9a-f]{32}$"), F.col(c)).otherwise(address_hex(c))
 
     unsigned = lambda d, at: F.conv(F.substring(d, at, 16), 16, 10).cast("decimal(20,0)")
-    rows = ranges.select("country", digits("start_ip").alias("a"), digits("end_ip").alias("b")).filter("a <= b")
+    # generators keep each step a column of its own; else every bit would read the addresses anew
+    ends = F.struct(digits("start_ip").alias("a"), digits("end_ip").alias("b"))
+    rows = ranges.select("country", F.explode(F.array(ends)).alias("e")).select("country", "e.a", "e.b").filter("a <= b")
     borrow = unsigned(F.col("b"), 17) < unsigned(F.col("a"), 17)
     hi = unsigned(F.col("b"), 1) - unsigned(F.col("a"), 1) - borrow.cast("int")
     lo = unsigned(F.col("b"), 17) - unsigned(F.col("a"), 17) + F.when(borrow, F.lit(str(2**64)).cast("decimal(21,0)")).otherwise(F.lit(0))
     width = {"width_hi": hi.cast("decimal(20,0)"), "width_lo": lo.cast("decimal(20,0)")}
-    rows = rows.select("country", *[v.alias(k) for k, v in width.items()], F.explode(_prefixes(_bits(F.col("a")), _bits(F.col("b")))).alias("p"))
+    bits = F.struct(_bits(F.col("a")).alias("a"), _bits(F.col("b")).alias("b"))
+    rows = rows.select("country", *[v.alias(k) for k, v in width.items()], F.explode(F.array(bits)).alias("bits"))
+    rows = rows.select("country", *width, F.explode(_prefixes(F.col("bits.a"), F.col("bits.b"))).alias("p"))
     half = lambda at: F.conv(F.substring(F.rpad("p", 128, "0"), at, 64), 2, -10).cast("long")
     rows = rows.select(F.length("p").alias("length"), half(1).alias("hi"), half(65).alias("lo"), *width, "country")
     best = F.min(F.struct(*width, "country")).alias("r")
@@ -210,7 +221,7 @@ def geo_lookup(df: DataFrame, ip_col: str, index: GeoIndex, out: str = "source_i
     spark, plain = df.sparkSession, [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     digits = address_hex(ip_col)
     own = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
-    rows = df.withColumn("_digits", digits)
+    rows = df.withColumn("_digits", F.explode(F.array(digits)))
     known = F.col("_digits").isNotNull()
     rows = rows.withColumns({"_known": known, "_hi": F.when(known, _half(F.col("_digits"), 1)).otherwise(own), "_lo": F.when(known, _half(F.col("_digits"), 17)).otherwise(F.lit(0))})
     rows = rows.drop("_digits")
