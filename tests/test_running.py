@@ -15,6 +15,7 @@ from wardlake.operators import normalise as n
 from wardlake.operators import signatures as s
 from wardlake.operators.folds import distinct_alarm
 from wardlake.plans import alerts as al
+from wardlake.plans import heavy
 from wardlake.sources import logs, redelivery, tables
 from wardlake.sources.tail import TailReader
 from wardlake.streaming import ingest, stateful
@@ -243,6 +244,47 @@ def test_rollups_of_three_batches_one_retried(spark, rows, tmp_path):
             maintained.compact_rollup(spark, name, str(tmp_path), "2024-01")
 
 
+# --- frequent groups and a curve
+
+
+@pytest.mark.parametrize("skew", [True, False])
+def test_frequent_groups_equal_the_full_way(spark, rows, skew):
+    rng = random.Random(7)
+    many = [(f"u{i}", None) for i in range(3000)]  # once each
+    common = [(f"c{k}", "p" if k % 3 else None) for k in range(12) for _ in range(40 + 10 * k if skew else 1)] + [("tie", "a"), ("tie", "b")] * 45
+    data = many + common
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "u string, p string").repartition(4)
+    want = df.groupBy("u", "p").count().orderBy(F.desc("count"), "u", "p").limit(10)
+    got = heavy.of_top(df, ["u", "p"], 10, 512).groupBy("u", "p").count()
+    assert rows(got) == rows(want)
+    left = heavy.candidates(df, ["u", "p"], 10, 512).count()
+    assert left < 0.6 * len(data) if skew else left >= 0.5 * len(data)
+    assert rows(heavy.of_top(df.limit(0), ["u", "p"], 10)) == []
+
+
+def test_a_curve_lets_filters_on_any_column_skip(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(8)
+    data = [(datetime(2024, 1, 1 + rng.randrange(28), rng.randrange(24)), f"{rng.randrange(1 << 30):08x}"[:6], f"C{rng.randrange(40)}") for _ in range(20_000)]
+    df = spark.createDataFrame(data, "timestamp timestamp, source_ip_hash string, source_ip_country string")
+    cols = ["timestamp", "source_ip_hash", "source_ip_country"]
+    tables.append_table(df, "honeypot_events", str(tmp_path))
+    tables.compact_by_curve(spark, "honeypot_events", str(tmp_path), "2024-01", cols, 64)
+    assert tables.read_table(spark, "honeypot_events", str(tmp_path)).count() == len(data)
+    groups = []
+    for file in (tmp_path / "honeypot_events").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(meta.num_columns)}
+            groups.append({c: (columns[c].min, columns[c].max) for c in cols[1:]})
+    assert len(groups) >= 60
+    for c, value in (("source_ip_hash", data[5][1]), ("source_ip_country", data[5][2])):
+        read = [g for g in groups if g[c][0] <= value <= g[c][1]]
+        assert 0 < len(read) < 0.5 * len(groups)
+
+
 # --- addresses
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timing import since
 from ..operators import geo, maintained, rollups
+from ..plans import analytics as a
+from ..plans import heavy
 from ..session import scratch_path
 from ..sources import tables
 from ..streaming import ingest, stateful
@@ -181,6 +184,34 @@ add("s9_expired_days", _expired_days, q(
     "SELECT protocol, count(*) AS rows, CAST(min(timestamp) AS VARCHAR) AS oldest FROM network_connections "
     "WHERE timestamp > TIMESTAMP '2024-01-11 12:00:00' GROUP BY 1", "network_connections"))
 
+# --- the most frequent groups, counted among candidates only
+
+
+def _of_top(rows, keys, n):
+    # as few buckets as the small tables need to leave something out
+    return heavy.of_top(rows, keys, n, 256)
+
+
+for _key, _build in {
+    "q05_top_credentials": lambda v: a.top_credentials(_of_top(since(v.creds(ago(30)), AS_OF, days=30), ["username", "password"], 100), AS_OF),
+    "q06_targeted_usernames": lambda v: a.targeted_usernames(_of_top(since(v.creds(ago(30)), AS_OF, days=30), ["username"], 50), AS_OF),
+    "q30_top_uris": lambda v: a.top_uris(_of_top(since(v.requests(), AS_OF, days=30), ["uri"], 20), AS_OF, 30),
+    "q31_pair_counts": lambda v: a.pair_counts(_of_top(since(v.creds(ago(7)), AS_OF, days=7), ["username", "password"], 20), AS_OF),
+}.items():
+    add(f"{_key}_heavy", _build, ORACLES[_key])
+
+
+def _curved(v):
+    """One month compacted along a curve over time, source and country."""
+    root = scratch_path(v.spark, "curve")
+    tables.append_table(v.events(), HE, root)
+    tables.compact_by_curve(v.spark, HE, root, "2024-01", ["timestamp", "source_ip_hash", "source_ip_country"], 16)
+    return tables.read_table(v.spark, HE, root).select("event_id", "source_ip_hash", "source_ip_country", "timestamp")
+
+
+add("s10_curve", _curved, q(
+    "SELECT event_id::VARCHAR AS event_id, source_ip_hash, source_ip_country, CAST(timestamp AS VARCHAR) AS timestamp FROM honeypot_events", HE))
+
 # --- counters, sets and states on streams
 
 
