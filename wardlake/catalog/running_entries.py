@@ -35,7 +35,7 @@ def _hosts(v):
     one, two, three = _folders(v, 3)
     for folder in (one, two):
         ingest.ingest(v.spark, "cowrie", folder, root, scratch_path(v.spark, "state"), SALT, v.geo_ranges()).awaitTermination()
-    ingest.drain(v.spark, "cowrie", three, root, scratch_path(v.spark, "state"), SALT, v.geo_ranges(), batch_bytes=128 << 10)
+    ingest.drain(v.spark, "cowrie", three, root, scratch_path(v.spark, "state"), SALT, v.geo_ranges(), batch_bytes=512 << 10)
     return tables.read_table(v.spark, HE, root).select(*EVENT_COLS)
 
 

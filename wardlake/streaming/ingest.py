@@ -110,7 +110,7 @@ def ingest(
     """Tail the logs of one kind in ``folder`` into their tables.
 
     Any number of sources of a kind may write to one ``root``, each with its own checkpoint. ``ranges`` is a table of address ranges or a stored
-    geo index. ``once`` stops when what was there is read; with ``batch_bytes`` that is one batch of about so many bytes (see ``drain``).
+    geo index. ``once`` stops when what was there is read; with ``batch_bytes`` that is one batch of about so many bytes (``drain`` takes them all).
     """
     run = write_batch(kind, root, salt, ranges, lambda: query_id(spark, checkpoint), once_each, rollups)
     writer = tail_lines(spark, folder, pattern, checkpoint, batch_bytes).writeStream.foreachBatch(run)
@@ -120,15 +120,13 @@ def ingest(
 
 
 def drain(spark, *args, **options) -> int:
-    """``ingest`` until nothing is left, batch after batch; the number of batches."""
-    batches = 0
-    while True:
-        query = ingest(spark, *args, once=True, **options)
-        query.awaitTermination()
-        done = sum(p.numInputRows > 0 for p in query.recentProgress)
-        if not done:
-            return batches
-        batches += done
+    """``ingest`` batch after batch until nothing is left; the number of batches with rows (of the last hundred at most)."""
+    query = ingest(spark, *args, once=False, every="0 seconds", **options)
+    try:
+        query.processAllAvailable()
+        return sum(p.numInputRows > 0 for p in query.recentProgress)
+    finally:
+        query.stop()
 
 
 def read_ingested(spark, table: str, root: str, lines: bool = False) -> DataFrame:
