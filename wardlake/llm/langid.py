@@ -30,6 +30,8 @@ from .common import cut
 DIMENSIONS = 1 << 14
 PER_LANGUAGE = 1500
 CLUSTERS = 4
+#: Rows of a table of languages that is broadcast.
+SMALL = 10_000
 #: Languages whose centroids are learned, sent and compared together.
 TOGETHER = 100
 #: A text of m n-grams is rejected below sqrt(m / (m + HALFWAY)) of this share of the cosine that 99 of 100 training texts of
@@ -114,7 +116,9 @@ def floor(grams: int) -> float:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text): about ``per_language`` rows of each language, chosen by a hash of the row."""
     docs = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = docs.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    share = cut(docs.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")), "language-shares")
+    # a broadcast spares the texts a shuffle by language; only beyond this many languages they are joined as tables
+    share = F.broadcast(share) if share.count() <= SMALL else share
     chance = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
     # texts decide, so that copies of one text are taken or left together; the most copied text counts at most so often
     return docs.join(share, "lang").filter(chance < F.col("share")).select("lang", "text").dropDuplicates()
