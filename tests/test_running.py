@@ -285,6 +285,22 @@ def test_a_curve_lets_filters_on_any_column_skip(spark, tmp_path):
         assert 0 < len(read) < 0.5 * len(groups)
 
 
+def test_a_row_finds_its_step_once(spark):
+    data = [(k % 97 if k % 5 else None, f"s{k % 3}" if k % 7 else None, None) for k in range(300)]
+    df = spark.createDataFrame(data, "n int, s string, z string").repartition(3)
+    cols = ["n", "s", "z"]
+    steps = df.select(*cols, *tables.curve_steps(df, cols)).collect()
+    for at, c in enumerate(cols):
+        values = sorted({r[at] for r in steps if r[at] is not None})
+        count = min(64, len(values))
+        bounds = [values[len(values) * k // count] for k in range(1, count)]
+        assert all(r[3 + at] == (sum(b <= r[at] for b in bounds) * 64 // count if r[at] is not None else 0) for r in steps)
+    out = tables.cluster_by_curve(df, cols, 4)
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    # a bound of the text column is compared once, not for each bit and each step of the Gray code
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("(s2 <= s#") == 1
+
+
 # --- addresses
 
 

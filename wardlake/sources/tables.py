@@ -265,14 +265,10 @@ def cluster_by(df: DataFrame, cols: list, partitions: int | None = None) -> Data
 CURVE_SAMPLE, CURVE_BITS = 20_000, 6
 
 
-def curve(df: DataFrame, cols: list, bits: int = CURVE_BITS, sample: int = CURVE_SAMPLE) -> Column:
-    """A place on a space-filling curve over several columns: rows near to each other in any of them tend to be near on it.
+def curve_steps(df: DataFrame, cols: list, bits: int = CURVE_BITS, sample: int = CURVE_SAMPLE) -> list[Column]:
+    """For each column the number of a row's step among 2 ** bits steps in the column's own order, so that a range of steps is a range of the column.
 
-    The steps' bits are interleaved and put in the order of the Gray code, in which neighbours differ in one bit: a file that reaches over the
-    border of two cells is wider in one column only.
-
-    Each column is cut into 2 ** bits steps in its own order, so that a range of the curve is a range of each column. The bounds of the steps come from a
-    bounded sample, which reaches the driver.
+    The bounds of the steps come from a bounded sample, which reaches the driver. A row finds its step by halving: ``bits`` comparisons.
     """
     picked = df.select(*cols).orderBy(F.xxhash64(*cols)).limit(sample).collect()
     numbers = []
@@ -280,22 +276,45 @@ def curve(df: DataFrame, cols: list, bits: int = CURVE_BITS, sample: int = CURVE
         values = sorted({r[c] for r in picked if r[c] is not None})
         steps = min(1 << bits, len(values))
         bounds = [values[len(values) * k // steps] for k in range(1, steps)] if steps else []
-        below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(c))) if bounds else F.lit(0)
         # few values are spread over all numbers, so that the first bits part them evenly
-        numbers.append(F.floor(F.coalesce(below, F.lit(0)) * F.lit(1 << bits) / F.lit(max(1, steps))))
-    out = F.lit(0).cast("long")
+        places = [(k << bits) // max(1, steps) for k in range(len(bounds) + 1)]
+        numbers.append(F.when(F.col(c).isNull(), 0).otherwise(_halved(c, bounds, places)).cast("long"))
+    return numbers
+
+
+def _halved(c: str, bounds: list, places: list) -> Column:
+    """The place that belongs to the number of ``bounds`` up to the value of a column."""
+    if not bounds:
+        return F.lit(places[0])
+    half = len(bounds) // 2
+    above = _halved(c, bounds[half + 1 :], places[half + 1 :])
+    return F.when(F.lit(bounds[half]) <= F.col(c), above).otherwise(_halved(c, bounds[:half], places[: half + 1]))
+
+
+def curve(numbers: list, bits: int = CURVE_BITS) -> tuple[Column, Column]:
+    """A place on a space-filling curve over several columns of step numbers: rows near to each other in any of them tend to be near on it.
+
+    The steps' bits are interleaved (the first result, to be stored as column ``_bits``) and put in the order of the Gray code, in which neighbours
+    differ in one bit (the second one): a file that reaches over the border of two cells is wider in one column only.
+    """
+    mixed = F.lit(0).cast("long")
     for bit in range(bits - 1, -1, -1):
         for n in numbers:
-            out = out * 2 + F.shiftright(n, bit).bitwiseAND(F.lit(1))
+            mixed = mixed * 2 + F.shiftright(n, bit).bitwiseAND(F.lit(1))
+    out = F.col("_bits")
     for shift in (1, 2, 4, 8, 16, 32):
         out = out.bitwiseXOR(F.shiftright(out, shift))
-    return out
+    return mixed, out
 
 
 def cluster_by_curve(df: DataFrame, cols: list, partitions: int | None = None) -> DataFrame:
     """Rows by ranges of a curve over ``cols``: a filter on any one of them skips most files and row groups."""
-    # through a generator: the place is computed once, not wherever the order mentions it
-    rows = df.withColumn("_curve", F.explode(F.array(curve(df, cols))))
+    steps = [f"_step{k}" for k in range(len(cols))]
+    mixed, place = curve(steps)
+    # through generators: each part is computed once, not wherever the next one or the order mentions it
+    rows = df.select("*", F.inline(F.array(F.struct(*[n.alias(s) for n, s in zip(curve_steps(df, cols), steps, strict=True)]))))
+    rows = rows.select(*df.columns, F.explode(F.array(mixed)).alias("_bits"))
+    rows = rows.select(*df.columns, F.explode(F.array(place)).alias("_curve"))
     spread = rows.repartitionByRange(partitions, "_curve", *cols) if partitions else rows.repartitionByRange("_curve", *cols)
     return spread.sortWithinPartitions("_curve", *cols).drop("_curve")
 
