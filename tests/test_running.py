@@ -18,7 +18,7 @@ from wardlake.plans import alerts as al
 from wardlake.plans import heavy
 from wardlake.sources import logs, redelivery, tables
 from wardlake.sources.tail import TailReader
-from wardlake.streaming import ingest, stateful
+from wardlake.streaming import ingest, rollup, stateful
 
 
 def sessions(spark, root):
@@ -410,6 +410,17 @@ def test_stream_services_equal_the_batch_ones(spark, rows, tmp_path):
     assert rows(out) == rows(want) and out.count() > 30
 
 
+def test_stream_rollup_counts_distinct_values_exactly(spark, rows, tmp_path):
+    df = spark.range(60_000).selectExpr(
+        "timestamp_seconds(1704067200 + id * 3) AS timestamp", "IF(id % 4 = 0, NULL, 'a') AS honeypot_type", "'e' AS event_type",
+        "IF(id % 50 = 0, NULL, concat('s', id % 20000)) AS source_ip_hash", "CAST(IF(id % 3 = 0, NULL, id % 9000) AS INT) AS dest_port")
+    out = drain(spark, rollup.stream_rollup(stream_of(spark, tmp_path, df), "1 day"), tmp_path)
+    day = F.date_trunc("day", "timestamp").alias("window_start")
+    want = df.filter("timestamp < '2024-01-03'").groupBy(day, "honeypot_type", "event_type").agg(
+        F.count("*"), F.count_distinct("source_ip_hash"), F.count_distinct("dest_port"))
+    assert rows(out) == rows(want) and out.count() == 4
+
+
 def test_stream_ssh_log_equals_the_batch_log(spark, rows, tmp_path):
     rng = random.Random(5)
     second = lambda: 1704067200 + rng.randrange(4000)

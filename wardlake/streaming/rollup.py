@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 def stream_rollup(
     events: DataFrame, window: str = "1 day", watermark: str = "10 minutes", keys=("honeypot_type", "event_type")
 ) -> DataFrame:
-    """Counts and distinct sketches per window and key; works on streams and tables alike.
+    """Counts and exact distinct counts per window and key; works on streams and tables alike.
 
     In append mode a window is emitted once the watermark has passed its end; rows
-    later than that are left to the batch recompute. Distinct counts are sketches,
-    which bounds the state of a window by its number of keys.
+    later than that are left to the batch recompute. Rows are counted per distinct
+    value first and the values are counted when their window closes, so the state is
+    one number for each value and no set has to fit into a row.
     """
+    value = lambda what, col: F.struct(F.lit(what).alias("what"), F.col(col).cast("string").alias("value"))
+    rows = events.withWatermark("timestamp", watermark).select(
+        "timestamp", *keys, F.inline(F.array(value("source", "source_ip_hash"), value("port", "dest_port")))
+    )
+    values = rows.groupBy(F.window("timestamp", window).alias("w"), *keys, "what", "value").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda what, col: F.when(F.col("what") == what, F.col(col))
     return (
-        events.withWatermark("timestamp", watermark)
-        .groupBy(F.window("timestamp", window), *keys)
+        values.select(F.window_time("w").alias("closed"), *keys, "what", "value", "n")
+        .groupBy(F.window("closed", window), *keys)
         .agg(
-            F.count(F.lit(1)).alias("event_count"),
-            F.hll_sketch_agg("source_ip_hash").alias("attackers_sketch"),
-            F.hll_sketch_agg(F.col("dest_port")).alias("ports_sketch"),
-        )
-        .select(
-            F.col("window.start").alias("window_start"),
-            *keys,
-            "event_count",
-            F.hll_sketch_estimate("attackers_sketch").alias("unique_attackers"),
-            F.hll_sketch_estimate("ports_sketch").alias("unique_ports"),
+            F.sum(of("source", "n")).alias("event_count"),
+            F.count(of("source", "value")).alias("unique_attackers"),
+            F.count(of("port", "value")).alias("unique_ports"),
         )
+        .select(F.col("window.start").alias("window_start"), *keys, "event_count", "unique_attackers", "unique_ports")
     )
