@@ -6,6 +6,7 @@ import os
 import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,6 +411,81 @@ def test_stream_services_equal_the_batch_ones(spark, rows, tmp_path):
     assert rows(out) == rows(want) and out.count() > 30
 
 
+class _Store:
+    """State of one key in memory, with the number of times it was asked or told something."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers, self.calls = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, *schemas):
+        store = self
+
+        class Map:
+            def containsKey(self, k):
+                store.calls += 1
+                return k in store.entries
+
+            def updateValue(self, k, v):
+                store.calls += 1
+                store.entries[k] = v
+
+            def clear(self):
+                store.calls += 1
+                store.entries.clear()
+
+        return Map()
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def _fed(processor, store, batches, key):
+    processor.init(store)
+    return [tuple(r) for b in batches for f in processor.handleInputRows(key, iter([b]), None) for r in f.itertuples(index=False)]
+
+
+def test_set_counters_ask_the_store_per_item_and_not_per_row():
+    rng = random.Random(12)
+    seen = sorted((rng.randrange(6000), f"i{rng.randrange(6)}") for _ in range(6000))
+    frame = lambda part: pd.DataFrame([(s, i, 1) for s, i in part], columns=["sec", "item", "cnt"])
+    want, start, items, at = [], None, set(), {}
+    for sec, item in seen:
+        if start is None or sec >= start + 300:
+            start, items = sec, set()
+        items.add(item)
+        at[sec] = (start, len(items), at.get(sec, (0, 0, 0))[2] + 1)
+    want = [("k", sec, a, hits, known) for sec, (a, known, hits) in at.items() if known >= 3]
+    cuts = [k for k in (0, 1500, 1501, 4000, 6000)]
+    while any(0 < c < len(seen) and seen[c - 1][0] == seen[c][0] for c in cuts):  # seconds arrive whole
+        cuts = [c + (0 < c < len(seen) and seen[c - 1][0] == seen[c][0]) for c in cuts]
+    store = _Store()
+    got = _fed(stateful._distinct_counter(3, 300), store, [frame(seen[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b], ("k",))
+    assert got == want
+    assert store.timers == {(start + 300) * 1000} and set(store.entries) == {(i,) for i in items}
+    assert store.calls <= 4 * 16
+
+
 def test_stream_rollup_counts_distinct_values_exactly(spark, rows, tmp_path):
     df = spark.range(60_000).selectExpr(
         "timestamp_seconds(1704067200 + id * 3) AS timestamp", "IF(id % 4 = 0, NULL, 'a') AS honeypot_type", "'e' AS event_type",

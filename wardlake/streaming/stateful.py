@@ -134,22 +134,30 @@ def _distinct_counter(n: int, window: int, in_order=_in_order):
             self.items = handle.getMapState("items", "item string", "since long")
 
         def handleInputRows(self, key, rows, timerValues):
-            start, known = self.window_state.get() if self.window_state.exists() else (None, 0)
+            before, known = self.window_state.get() if self.window_state.exists() else (None, 0)
+            start, met, new = before, set(), {}
             out = []
             for sec, item, cnt in zip(*in_order(rows, "item", "cnt"), strict=True):
                 if start is None or sec >= start + window:
-                    if start is not None:
-                        self.handle.deleteTimer((start + window) * 1000)
-                        self.items.clear()
-                    start, known = sec, 0
-                    self.handle.registerTimer((start + window) * 1000)
-                if not self.items.containsKey((item,)):
-                    self.items.updateValue((item,), (sec,))
-                    known += 1
+                    start, known, met, new = sec, 0, set(), {}
+                if item not in met:
+                    met.add(item)
+                    # the stored items are those of the window that was open before these rows
+                    if start != before or not self.items.containsKey((item,)):
+                        new[item] = sec
+                        known += 1
                 if out and out[-1][1] == sec:
                     out[-1] = (key[0], sec, start, out[-1][3] + cnt, known)
                 else:
                     out.append((key[0], sec, start, cnt, known))
+            # only the last window goes on: the store is asked and told once for each of its items, not for each row
+            if start != before:
+                if before is not None:
+                    self.handle.deleteTimer((before + window) * 1000)
+                    self.items.clear()
+                self.handle.registerTimer((start + window) * 1000)
+            for item, sec in new.items():
+                self.items.updateValue((item,), (sec,))
             self.window_state.update((start, known))
             yield pd.DataFrame([r for r in out if r[4] >= n], columns=["key", "sec", "anchor", "hits", "distinct_items"])
 
