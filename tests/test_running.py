@@ -486,6 +486,20 @@ def test_set_counters_ask_the_store_per_item_and_not_per_row():
     assert store.calls <= 4 * 16
 
 
+def test_sightings_jump_from_one_to_the_next():
+    rng = random.Random(13)
+    secs = sorted(rng.randrange(9000) for _ in range(5000))
+    want = []
+    for sec in secs:
+        if not want or sec >= want[-1] + 400:
+            want.append(sec)
+    batches = [pd.DataFrame({"sec": rng.sample(secs[a:b], b - a)}) for a, b in ((0, 1000), (1000, 1001), (1001, 5000))]
+    store = _Store()
+    assert _fed(stateful._sightings(400), store, batches, ("h", "p")) == [("h", "p", sec) for sec in want]
+    assert store.timers == {(want[-1] + 400) * 1000} and store.value == (want[-1],)
+    assert store.calls <= 3 * 3
+
+
 def test_stream_rollup_counts_distinct_values_exactly(spark, rows, tmp_path):
     df = spark.range(60_000).selectExpr(
         "timestamp_seconds(1704067200 + id * 3) AS timestamp", "IF(id % 4 = 0, NULL, 'a') AS honeypot_type", "'e' AS event_type",

@@ -187,26 +187,28 @@ def stream_distinct_alarm(events: DataFrame, key: str, item: str, n: int, window
     )
 
 
-def _sightings(ttl: int, in_order=_in_order):
+def _sightings(ttl: int):
     class Sightings(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.items = handle.getMapState("items", "item string", "since long")
+            self.since = handle.getValueState("since", "since long")
 
         def handleInputRows(self, key, rows, timerValues):
-            out = []
-            for sec, item in zip(*in_order(rows, "item"), strict=True):
-                since = self.items.getValue((item,))[0] if self.items.containsKey((item,)) else None
-                if since is None or sec >= since + ttl:
-                    self.items.updateValue((item,), (sec,))
-                    self.handle.registerTimer((sec + ttl) * 1000)
-                    out.append((key[0], item, sec))
-            yield pd.DataFrame(out, columns=["key", "item", "sec"])
+            before = self.since.get()[0] if self.since.exists() else None
+            secs = np.sort(np.concatenate([f["sec"].to_numpy() for f in rows]))
+            at, found = 0 if before is None else np.searchsorted(secs, before + ttl), []
+            while at < len(secs):
+                found.append(int(secs[at]))
+                at = np.searchsorted(secs, found[-1] + ttl)
+            if found:
+                if before is not None:
+                    self.handle.deleteTimer((before + ttl) * 1000)
+                self.since.update((found[-1],))
+                self.handle.registerTimer((found[-1] + ttl) * 1000)
+            yield pd.DataFrame([(*key, sec) for sec in found], columns=["key", "item", "sec"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            ended = expiredTimerInfo.getExpiryTimeInMs() // 1000
-            for item in [k for k, since in self.items.iterator() if since[0] + ttl <= ended]:
-                self.items.removeKey(item)
+            self.since.clear()
             yield pd.DataFrame(columns=["key", "item", "sec"])
 
         def close(self) -> None:
@@ -218,12 +220,12 @@ def _sightings(ttl: int, in_order=_in_order):
 def stream_new_services(events: DataFrame, host: str, service: str, ttl: int = 86400, watermark: str = "10 minutes") -> DataFrame:
     """(host, service, first_seen): services of a host seen for the first time, or again ``ttl`` seconds after that.
 
-    A host's services are a map in its state, each with a timer of its own.
+    Each service of a host has a state and a timer of its own, so a host with many rows spreads over tasks.
     """
     use_rocksdb(events.sparkSession)
     seen = (
         _closed_seconds(events, host, watermark, service)
-        .groupBy("key")
+        .groupBy("key", "item")
         .transformWithStateInPandas(
             statefulProcessor=_sightings(ttl),
             outputStructType="key string, item string, sec long",
