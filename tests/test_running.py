@@ -127,6 +127,23 @@ def test_a_backlog_drains_in_bounded_batches(tmp_path):
         assert (batches > 5) == (limit < 10**9) and len(at["files"]) == 40
 
 
+def test_a_long_backlog_takes_few_more_batches(tmp_path):
+    counts = []
+    for k, size in enumerate((200, 2000, 20_000)):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        lines = [f"{i:049d}" for i in range(size)]
+        (folder / "a.log").write_text("\n".join(lines) + "\n")
+        got, _, batches, sizes = read_all(TailReader({"path": str(folder), "batchbytes": 500, "catchup": 16}), 10**6)
+        assert got == lines
+        read = 0
+        for taken in sizes:
+            assert taken <= max(500, read / 16) + 50
+            read += taken
+        counts.append(batches)
+    assert counts[2] - counts[1] <= 45 and counts[2] < 120  # 2 000 batches of 500 bytes
+
+
 def test_a_long_line_is_not_cut(tmp_path):
     (tmp_path / "a.log").write_text("a\n" + "b" * 5000 + "\nc\n")
     got, _, batches, _ = read_all(TailReader({"path": str(tmp_path), "batchbytes": 10}))

@@ -6,7 +6,7 @@ beginning, so files that begin alike are all read. Only whole lines are read; a
 next batch. The last line of a file needs no line break once the file was renamed or has not changed for ``settle`` seconds. New bytes
 are cut into ranges that executors read through the file's own store. Spark keeps the offsets in the checkpoint.
 
-A batch takes at most about ``batchbytes``, oldest files first; what is planned already is read from the checkpoint's log. Only files that changed
+A batch takes at most about ``batchbytes``, oldest files first (with ``catchup``, or such a part of what was read before it, if that is more); what is planned already is read from the checkpoint's log. Only files that changed
 since are opened to plan, and of new ones as many as fit. A file that is read to its end and ``maxage`` older than the newest one leaves the offset; files
 that old which turn up later are taken as read.
 
@@ -151,6 +151,7 @@ class TailReader(DataSourceStreamReader):
         self.path, self.pattern = options["path"], options.get("pattern", "*")
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batchbytes", 0)) or None
+        self.catch_up = int(options.get("catchup", 0)) or None
         self.settle, self.max_age = float(options.get("settle", SETTLE)), float(options.get("maxage", MAX_AGE))
         self.checkpoint = options.get("checkpoint")
         self.planned: dict = self.initialOffset()
@@ -171,11 +172,18 @@ class TailReader(DataSourceStreamReader):
         with store.open_input_file(max(logged, key=lambda x: int(x.base_name)).path) as handle:
             return json.loads(handle.read().decode().split("\n")[2])
 
+    def _limit(self, old: dict) -> int | None:
+        """Bytes of the next batch: a long backlog takes batches in the order of its logarithm, none larger than a part of what is stored."""
+        if not self.batch_bytes or not self.catch_up:
+            return self.batch_bytes
+        return max(self.batch_bytes, sum(x[2] for x in old.values()) // self.catch_up)
+
     def latestOffset(self) -> dict:
         from pyarrow import fs
 
         start = self._start()
         old, aged = _files(start), start.get("aged", 0.0)
+        limit = self._limit(old)
         store, folder = _store(self.path)
         listed = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         wanted = {x.path: x for x in listed if x.type == fs.FileType.File and x.base_name[0] not in "._" and fnmatch(x.base_name, self.pattern)}
@@ -193,7 +201,7 @@ class TailReader(DataSourceStreamReader):
         heads, ends, total = {}, {}, 0
         going_on = {f for f in old if f in kept}
         for file in open_files:
-            if self.batch_bytes and file not in old and total >= self.batch_bytes and len(going_on) == len(old):
+            if limit and file not in old and total >= limit and len(going_on) == len(old):
                 break  # no file has moved and the batch is full: the rest can wait unopened
             size = wanted[file].size
             with store.open_input_file(file) as handle:
@@ -211,7 +219,7 @@ class TailReader(DataSourceStreamReader):
                 total += size
         places = self.places({"files": {f: x for f, x in old.items() if f not in kept}}, {"files": heads})
 
-        files, left = dict(kept), self.batch_bytes or float("inf")
+        files, left = dict(kept), limit or float("inf")
         for file, (first, _, size) in heads.items():
             place, skip = places[file]
             if left <= 0 and not place and not skip:
@@ -398,7 +406,7 @@ def tail_lines(spark: SparkSession, folder: str, pattern: str = "*", checkpoint:
     """Stream of (file, offset, value): the lines of the folder's files, plain or gzip, each once, as they grow.
 
     ``batch_bytes`` needs ``checkpoint``, the query's own checkpoint, to know after a restart what was planned. Other options: ``settle``,
-    ``maxage`` (seconds), ``rangebytes``.
+    ``maxage`` (seconds), ``rangebytes``, ``catchup`` (the part of what was read that a batch may take if it is more than ``batch_bytes``: 16 for a sixteenth).
     """
     if batch_bytes and not checkpoint:
         raise ValueError("batch_bytes needs the query's checkpoint")

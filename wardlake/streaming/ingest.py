@@ -106,22 +106,28 @@ def write_batch(kind: str, root: str, salt: str, ranges=None, source: str | Call
 def ingest(
     spark, kind: str, folder: str, root: str, checkpoint: str, salt: str, ranges=None, pattern: str = "*", once: bool = True,
     every: str = "1 minute", batch_bytes: int | None = None, once_each: bool = False, rollups: bool = False,
+    catch_up: int | None = None,
 ) -> StreamingQuery:
     """Tail the logs of one kind in ``folder`` into their tables.
 
     Any number of sources of a kind may write to one ``root``, each with its own checkpoint. ``ranges`` is a table of address ranges or a stored
     geo index. ``once`` stops when what was there is read; with ``batch_bytes`` that is one batch of about so many bytes (``drain`` takes them all).
+    ``catch_up`` lets a batch be larger, up to such a part of what was read before it.
     """
     run = write_batch(kind, root, salt, ranges, lambda: query_id(spark, checkpoint), once_each, rollups)
-    writer = tail_lines(spark, folder, pattern, checkpoint, batch_bytes).writeStream.foreachBatch(run)
+    writer = tail_lines(spark, folder, pattern, checkpoint, batch_bytes, catchup=catch_up).writeStream.foreachBatch(run)
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
 
 
-def drain(spark, *args, **options) -> int:
-    """``ingest`` batch after batch until nothing is left; the number of batches with rows (of the last hundred at most)."""
-    query = ingest(spark, *args, once=False, every="0 seconds", **options)
+def drain(spark, *args, catch_up: int | None = 16, **options) -> int:
+    """``ingest`` batch after batch until nothing is left; the number of batches with rows (of the last hundred at most).
+
+    Every batch costs about the same however small it is, so after the first sixteen (``catch_up``) their size follows what was read:
+    ten times the backlog takes some forty batches more. None keeps them all at ``batch_bytes``.
+    """
+    query = ingest(spark, *args, once=False, every="0 seconds", catch_up=catch_up, **options)
     try:
         query.processAllAvailable()
         return sum(p.numInputRows > 0 for p in query.recentProgress)
