@@ -77,7 +77,7 @@ def write_batch(kind: str, root: str, salt: str, ranges=None, source: str | Call
         names[:] = names or [source() if callable(source) else source]
         batch = batch.persist()
         label = "-".join([kind, *filter(None, names), f"{batch_id:012d}"])
-        found = None
+        found = kept = None
         try:
             good, bad = split_lines(batch, kind)
             rows = NORMALISERS[kind](good, salt, ranges)
@@ -85,7 +85,8 @@ def write_batch(kind: str, root: str, salt: str, ranges=None, source: str | Call
             if once_each:
                 lines = with_month(n.conform(project(rows), main), main).select("line_id", "month", "timestamp")
                 fresh, found = redelivery.first_deliveries(lines, main, root, label)
-                rows = rows if found is None else rows.join(fresh.select("line_id"), "line_id", "left_semi")
+                # kept, or every table below would parse the lines and look them up again
+                rows = kept = (rows if found is None else rows.join(fresh.select("line_id"), "line_id", "left_semi")).persist()
             for table, project in TARGETS[kind].items():
                 out = with_month(n.conform(project(rows), table), table)
                 write_rows(out, table, root, label)
@@ -96,9 +97,9 @@ def write_batch(kind: str, root: str, salt: str, ranges=None, source: str | Call
             writer = bad.withColumn("batch", F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("batch").parquet(f"{root}/{REJECTED}")
         finally:
-            batch.unpersist()
-            if found is not None:
-                found.unpersist()
+            for df in (batch, kept, found):
+                if df is not None:
+                    df.unpersist()
 
     return run
 
